@@ -36,7 +36,22 @@ def detection(event: str, priority: str, body: Column, score: float = 0.0, rule_
     return F.struct(
         F.lit(0).alias("rule_pos"), F.lit(event).alias("event_name"), F.lit(priority).alias("priority"),
         F.lit(float(score)).alias("score"), F.lit(rule_id).alias("rule_id"), body.alias("payload"),
-    ).cast(DETECTION)
+    )
+
+
+def _restamped(d: Column, pos: Column, score: Column, rule_id: Column) -> Column:
+    return F.when(d.isNotNull(), F.struct(
+        pos.cast("int").alias("rule_pos"), d["event_name"].alias("event_name"), d["priority"].alias("priority"),
+        score.alias("score"), rule_id.alias("rule_id"), d["payload"].alias("payload")))
+
+
+def once(c: Column, keep: Callable[[Column], Column]) -> Column:
+    """Generator of ``c`` if ``keep(c)``, else of no row.
+
+    As a plain column the expression would be copied into every filter on it;
+    a generator evaluates it once per row.
+    """
+    return F.explode(F.filter(F.array(c), keep))
 
 
 def build_payload(kind: str, c: Callable[[str], Column], rule_ref: str = "") -> Column:
@@ -79,12 +94,22 @@ def sla_rule(c) -> Column:
 FIXED_RULES: tuple[Rule, ...] = (critical_rule, intrusion_rule, compliance_rule, sla_rule)
 
 
+class ScoredRule:
+    """A rule with a name and a fixed score."""
+
+    def __init__(self, rule: Rule, rule_id: str, score: float):
+        self.rule, self.rule_id, self.score = rule, rule_id, float(score)
+
+    def __call__(self, c) -> Column:
+        # The one-element array binds the inner struct, so that it is built once.
+        bound = F.transform(F.array(self.rule(c)), lambda d: _restamped(
+            d, d["rule_pos"], F.lit(self.score), F.lit(self.rule_id)))
+        return F.get(bound, F.lit(0))
+
+
 def wrap_rule(rule: Rule, rule_id: str, score: float) -> Rule:
     """Give a rule a name and a fixed score."""
-    def scored(c) -> Column:
-        d = rule(c)
-        return F.when(d.isNotNull(), d.withField("score", F.lit(float(score))).withField("rule_id", F.lit(rule_id)))
-    return scored
+    return ScoredRule(rule, rule_id, score)
 
 
 # Names and scores of the built-in rules in an ensemble.
@@ -146,22 +171,26 @@ def detectable(df: DataFrame) -> DataFrame:
 
 def detections_column(df: DataFrame, rules: Sequence[Rule]) -> Column:
     """Fired rules of a log in rule order, with their position; scores above 0 only."""
-    fired = [rule(lambda n: df[n]) for rule in rules]
-    placed = [F.when(d.isNotNull(), d.withField("rule_pos", F.lit(i))) for i, d in enumerate(fired)]
-    return F.filter(F.array(*placed), lambda d: d.isNotNull() & (d["score"] > 0))
+    named = [r if isinstance(r, ScoredRule) else None for r in rules]
+    fired = [(n.rule if n else r)(lambda c: df[c]) for n, r in zip(named, rules)]
+    scores = F.array(*[F.lit(n.score if n else None).cast("double") for n in named])
+    ids = F.array(*[F.lit(n.rule_id if n else None).cast("string") for n in named])
+    placed = F.transform(F.array(*fired), lambda d, i: _restamped(
+        d, i, F.coalesce(F.get(scores, i), d["score"]), F.coalesce(F.get(ids, i), d["rule_id"])))
+    return F.filter(placed, lambda d: d.isNotNull() & (d["score"] > 0))
 
 
 def detect_first(df: DataFrame, rules: Sequence[Rule] = FIXED_RULES) -> DataFrame:
     """Rules in order, the first match wins; one row per log that matches."""
     logs = detectable(df)
     first = F.coalesce(*[r(lambda n: logs[n]) for r in rules])
-    return flatten(logs.withColumn("detection", first).filter(F.col("detection").isNotNull()))
+    return flatten(logs.withColumn("detection", once(first, lambda d: d.isNotNull())))
 
 
 def detect_ensemble(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Logs with at least one fired rule; fired rules in ``detections``."""
     logs = detectable(df)
-    return logs.withColumn("detections", detections_column(logs, rules)).filter(F.size("detections") > 0)
+    return logs.withColumn("detections", once(detections_column(logs, rules), lambda d: F.size(d) > 0))
 
 
 def aggregate_score(detections: Column, method: str = "max") -> Column:

@@ -328,8 +328,8 @@ DEDUP_CTE = f"""{FIRED_CTE},
       SELECT event_id, rule_pos, k, rn, us AS last_us, true AS kept FROM o WHERE rn = 1
       UNION ALL
       SELECT o.event_id, o.rule_pos, o.k, o.rn,
-        CASE WHEN o.us - w.last_us > {DEDUP_SEC} * 1000000 THEN o.us ELSE w.last_us END,
-        o.us - w.last_us > {DEDUP_SEC} * 1000000
+        CASE WHEN o.us - w.last_us > {DEDUP_SEC} * 1000000::BIGINT THEN o.us ELSE w.last_us END,
+        o.us - w.last_us > {DEDUP_SEC} * 1000000::BIGINT
       FROM walk w JOIN o ON o.k = w.k AND o.rn = w.rn + 1)"""
 
 
