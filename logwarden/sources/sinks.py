@@ -94,7 +94,9 @@ def append_logs(
     marked = mark_duplicates(logs, stored.select("trace_id"), order_cols)
     if strict and not marked.filter("degraded").isEmpty():
         raise RuntimeError("persist log: duplicate trace id")
-    append_table(marked.filter(~F.col("degraded")).drop("degraded", "warning"), root, table, batch_id)
+    # Records that agree in every order column are one and the same: stored once.
+    good = marked.filter(~F.col("degraded")).drop("degraded", "warning").dropDuplicates(["trace_id"])
+    append_table(good, root, table, batch_id)
     return marked
 
 
