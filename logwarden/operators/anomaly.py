@@ -23,19 +23,21 @@ def metric_key() -> Column:
 
 def sliding_counts(
     df: DataFrame, key: str, us: str, order: str, widths_us: Mapping[str, int], slice_us: int | None = None,
-    carry: Sequence[str] = (),
+    carry: Sequence[str] = (), emit: Column | None = None,
 ) -> DataFrame:
     """Per row the rows of its key in [t - w, t] that arrived up to it, per width.
 
     ``order`` breaks ties between equal times and must be unique within a key.
+    Rows for which ``emit`` is false count but give no output.
     """
     slice_us = slice_us or max(1, min(widths_us.values()))
     names = list(widths_us)
     points = [F.struct(F.lit("").alias("what"), F.col(us).alias("at"), F.lit(1).alias("is_row"))]
     for n in names:
         points.append(F.struct(F.lit(n).alias("what"), (F.col(us) - widths_us[n]).alias("at"), F.lit(0).alias("is_row")))
+    wanted = F.array(*points) if emit is None else F.when(emit, F.array(*points)).otherwise(F.array(points[0]))
     rows = df.select(F.col(key).alias("_k"), F.col(us).alias("_us"), F.col(order).alias("_o"), *carry,
-                     F.inline(F.array(*points)))
+                     *([] if emit is None else [emit.alias("_emit")]), F.inline(wanted))
     rows = rows.withColumn("_slice", F.floor(F.col("at") / F.lit(slice_us)).cast("bigint"))
 
     before = (
@@ -47,8 +49,9 @@ def sliding_counts(
     # A probe sorts before the rows of its own time: those are still inside.
     local = Window.partitionBy("_k", "_slice").orderBy("at", "is_row", "_o").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
+    numbered = rows.withColumn("_local", F.sum("is_row").over(local))
     counted = (
-        rows.withColumn("_local", F.sum("is_row").over(local))
+        (numbered if emit is None else numbered.filter("_emit"))
         .join(before, ["_k", "_slice"])
         .withColumn("_c", F.col("_local") + F.col("_before"))
     )
@@ -66,16 +69,18 @@ def sliding_count(df: DataFrame, key: str, us: str, order: str, width_us: int, o
 def detect_anomaly(
     df: DataFrame, window_sec: int = 60, baseline_sec: int = 600, threshold_pct: float = 300.0,
     min_baseline: float = 3.0, order: str = "trace_id", carry: Sequence[str] = (), slice_sec: int | None = None,
+    emit: Column | None = None,
 ) -> DataFrame:
     """Anomaly detections over normalised logs of every origin.
 
     Output: ``order`` and ``carry`` columns plus the detection fields.
     """
-    logs = df.select(metric_key().alias("metric_key"), F.unix_micros("timestamp").alias("event_us"), order, *carry)
+    logs = df.select(metric_key().alias("metric_key"), F.unix_micros("timestamp").alias("event_us"), order, *carry,
+                     *([] if emit is None else [emit.alias("_wanted")]))
     counts = sliding_counts(
         logs, "metric_key", "event_us", order,
         {"_cw": window_sec * 1_000_000, "_cb": baseline_sec * 1_000_000},
-        slice_us=slice_sec * 1_000_000 if slice_sec else None, carry=carry,
+        slice_us=slice_sec * 1_000_000 if slice_sec else None, carry=carry, emit=None if emit is None else F.col("_wanted"),
     )
     return anomaly_rows(counts, window_sec, baseline_sec, threshold_pct, min_baseline)
 

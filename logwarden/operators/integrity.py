@@ -104,7 +104,10 @@ def with_chain_lane(
 # --- building -------------------------------------------------------------
 
 def _chain_step(group: int, key: bytes | None):
-    """Fold over (group columns.., .., head, tail): fill previous hash and hash."""
+    """Fold over (group.., start, is_row, carried.., head, tail): previous hash and hash.
+
+    A row with ``is_row`` false opens its group with the head of an earlier run.
+    """
     def hasher(key):
         if key is None:
             return lambda msg: hashlib.sha256(msg).hexdigest()
@@ -121,61 +124,82 @@ def _chain_step(group: int, key: bytes | None):
         digest = hasher(key)
         last_group, previous = None, ""
         for b in batches:
-            groups = list(zip(*[b.column(i).to_pylist() for i in range(group)]))
+            groups = zip(*[b.column(i).to_pylist() for i in range(group)])
+            starts, is_row = b.column(group).to_pylist(), b.column(group + 1).to_pylist()
             heads = b.column(b.num_columns - 2).to_pylist()
             tails = b.column(b.num_columns - 1).to_pylist()
             prevs, hashes = [], []
-            for g, h, t in zip(groups, heads, tails):
+            for g, start, real, h, t in zip(groups, starts, is_row, heads, tails):
                 if g != last_group:
                     last_group, previous = g, ""
+                if not real:
+                    previous = start
+                    continue
                 prevs.append(previous)
                 previous = digest((h + previous + t + previous).encode())
                 hashes.append(previous)
-            keep = list(range(group, b.num_columns - 2))
+            rows = b.filter(pa.array(is_row, pa.bool_()))
+            keep = range(group + 2, b.num_columns - 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in keep] + [pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
+                [rows.column(i) for i in keep] + [pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
                 names=[b.schema.names[i] for i in keep] + ["previous_hash", "hash"],
             )
     return step
 
 
-def _build(df: DataFrame, chain_cols, order_cols, key: bytes | None, target_rows: int, id_col: str) -> DataFrame:
-    laned = df if "chain_lane" in df.columns else with_chain_lane(df, chain_cols, id_col, target_rows)
+def _build(
+    df: DataFrame, chain_cols, order_cols, key: bytes | None, target_rows: int, id_col: str, lanes: int | None,
+    heads: DataFrame | None,
+) -> DataFrame:
+    if "chain_lane" in df.columns:
+        laned = df
+    elif lanes is not None:
+        laned = df.withColumn("chain_lane", lane_of(F.col(id_col), F.lit(lanes)).cast("int"))
+    else:
+        laned = with_chain_lane(df, chain_cols, id_col, target_rows)
     head, tail = canonical_parts(laned)
     carried = [c for c in laned.columns if c not in ("previous_hash", "hash")]
     group = [*[f"_g{i}" for i in range(len(chain_cols))], "_lane"]
+    named = [*[F.col(c).alias(g) for c, g in zip(chain_cols, group)], F.col("chain_lane").alias("_lane")]
     ready = laned.select(
-        *[F.col(c).alias(g) for c, g in zip(chain_cols, group)], F.col("chain_lane").alias("_lane"),
-        *carried, head.alias("_head"), tail.alias("_tail"),
+        *named, F.lit("").alias("_start"), F.lit(True).alias("_is_row"), *carried,
+        head.alias("_head"), tail.alias("_tail"),
     )
+    if heads is not None:
+        ready = ready.unionByName(heads.select(
+            *named, F.col("head_hash").alias("_start"), F.lit(False).alias("_is_row"),
+            *[F.lit(None).cast(laned.schema[c].dataType).alias(c) for c in carried],
+            F.lit("").alias("_head"), F.lit("").alias("_tail")))
     schema = T.StructType([
         *[T.StructField(c, laned.schema[c].dataType) for c in carried],
         T.StructField("previous_hash", T.StringType()),
         T.StructField("hash", T.StringType()),
     ])
-    return fold_batches(ready, group, order_cols, _chain_step(len(group), key), schema)
+    return fold_batches(ready, group, ["_is_row", *order_cols], _chain_step(len(group), key), schema)
 
 
 def build_hash_chain(
     df: DataFrame, chain_cols: Sequence[str], order_cols: Sequence[str], key: bytes,
-    target_rows: int = CHAIN_ROWS, id_col: str = "trace_id",
+    target_rows: int = CHAIN_ROWS, id_col: str = "trace_id", lanes: int | None = None, heads: DataFrame | None = None,
 ) -> DataFrame:
     """H_n = HMAC(key, canonical(row n with H_{n-1}) + H_{n-1}); the first H is blank.
 
-    Constant ``chain_cols`` and a ``target_rows`` above the row count give the
-    single global chain.
+    ``lanes`` fixes the lanes of every chain instead of counting rows, and
+    ``heads`` (chain columns, chain_lane, head_hash) continues earlier chains:
+    both are for streams.  Constant ``chain_cols`` and one lane give the single
+    global chain.
     """
     if len(key) < 32:
         raise RuntimeError("HMAC key must be at least 32 bytes")
-    return _build(df, chain_cols, order_cols, key, target_rows, id_col)
+    return _build(df, chain_cols, order_cols, key, target_rows, id_col, lanes, heads)
 
 
 def build_sha_chain(
     df: DataFrame, chain_cols: Sequence[str], order_cols: Sequence[str],
-    target_rows: int = CHAIN_ROWS, id_col: str = "trace_id",
+    target_rows: int = CHAIN_ROWS, id_col: str = "trace_id", lanes: int | None = None, heads: DataFrame | None = None,
 ) -> DataFrame:
     """The keyless variant: plain SHA-256."""
-    return _build(df, chain_cols, order_cols, None, target_rows, id_col)
+    return _build(df, chain_cols, order_cols, None, target_rows, id_col, lanes, heads)
 
 
 def chain_heads(df: DataFrame, chain_cols: Sequence[str], order_cols: Sequence[str], key: bytes) -> DataFrame:
