@@ -30,21 +30,37 @@ MIN_KEY_BYTES = 32
 INLINE_LIMIT = 10_000
 
 
-def literal(value: Any, dtype: T.DataType) -> Column:
-    """A typed literal for nested Python values; missing struct fields are null."""
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_literal(value: Any, dtype: T.DataType) -> str:
+    """SQL for a nested Python value; missing struct fields are null."""
     if value is None:
-        return F.lit(None).cast(dtype)
+        return f"CAST(NULL AS {dtype.simpleString()})"
     if isinstance(dtype, T.StructType):
-        return F.struct(*[literal(value.get(f.name), f.dataType).alias(f.name) for f in dtype.fields])
+        return "named_struct(" + ", ".join(
+            f"{sql_text(f.name)}, {sql_literal(value.get(f.name), f.dataType)}" for f in dtype.fields) + ")"
     if isinstance(dtype, T.ArrayType):
         if not value:
-            return F.array().cast(dtype)
-        return F.array(*[literal(v, dtype.elementType) for v in value])
-    return F.lit(value).cast(dtype)
+            return f"CAST(array() AS {dtype.simpleString()})"
+        return "array(" + ", ".join(sql_literal(v, dtype.elementType) for v in value) + ")"
+    if isinstance(dtype, T.MapType):
+        if not value:
+            return f"CAST(map() AS {dtype.simpleString()})"
+        return "map(" + ", ".join(
+            f"{sql_literal(k, dtype.keyType)}, {sql_literal(v, dtype.valueType)}" for k, v in value.items()) + ")"
+    if isinstance(dtype, T.StringType):
+        return sql_text(value)
+    if isinstance(dtype, T.BooleanType):
+        return str(bool(value)).lower()
+    return f"CAST({value!r} AS {dtype.simpleString()})"
 
 
-def struct_array(rows: list[dict], dtype: T.StructType) -> Column:
-    return literal(rows, T.ArrayType(dtype))
+def literal(value: Any, dtype: T.DataType) -> Column:
+    """A typed literal column; one expression however large the value is."""
+    return F.expr(sql_literal(value, dtype))
 
 
 def _filled(row: dict, dtype: T.StructType, pos: int) -> dict:
@@ -283,5 +299,5 @@ def response_rule_rows(rows: list[dict]) -> list[dict]:
 __all__ = [
     "CHAIN_STEP", "EXEC_PARAMS", "GUARDRAILS", "INLINE_LIMIT", "DynamicRule", "MaskPolicy", "MaskRule",
     "RuleSet", "dynamic_rule", "literal", "load_rules", "mask_rules", "response_rule_rows",
-    "routing_rule_rows", "struct_array", "task_rule_rows",
+    "routing_rule_rows", "sql_literal", "sql_text", "task_rule_rows",
 ]

@@ -47,6 +47,11 @@ ALL_ORDER = (
     "DRIVER_LICENSE", "PHONE", "POSTAL_CODE", "HEALTH_INSURANCE",
 )
 
+# What every match of a built-in pattern contains.  A text without it skips the
+# pattern: most texts are decided by one search for "@" and one for a digit run.
+HAS_AT, HAS_DIGITS = "@", r"[0-9][0-9 \-]{5}"
+_UNGUARDED = {("client", "HEALTH_INSURANCE")}
+
 KEY_REPLACEMENT = "[MASKED_KEY]"
 
 
@@ -65,20 +70,49 @@ def category_order(table: Mapping[str, str], categories: Iterable[str] | None =
     return [c for c in names if wanted is None or not wanted or c in wanted]
 
 
+def _family(table: Mapping[str, str], name: str) -> str:
+    """at, digits, or any when nothing is known about the pattern."""
+    for set_name, known in PATTERN_SETS.items():
+        if known.get(name) == table[name] and (set_name, name) not in _UNGUARDED:
+            return "at" if name == "EMAIL" else "digits"
+    return "any"
+
+
+def _has(c: Column, family: str) -> Column:
+    return F.contains(c, F.lit(HAS_AT)) if family == "at" else c.rlike(HAS_DIGITS)
+
+
+def _replace_chain(c: Column, table: Mapping[str, str], names: Sequence[str]) -> Column:
+    for name in names:
+        c = F.regexp_replace(c, F.lit(table[name]), F.lit(spark_replacement(f"[MASKED_{name}]")))
+    return c
+
+
 def mask_pii(c: Column, categories: Sequence[str], pattern_set: str | Mapping[str, str] = "server") -> Column:
-    """Replace matches by ``[MASKED_<CATEGORY>]``, in the order given."""
+    """Replace matches by ``[MASKED_<CATEGORY>]``, in the order given.
+
+    Labels hold no "@" and no digit and never join two digits, so a family of
+    patterns that cannot match the text cannot match it later in the chain either.
+    """
     table = pattern_table(pattern_set)
-    for name in categories:
-        if name in table:
-            c = F.regexp_replace(c, F.lit(table[name]), F.lit(spark_replacement(f"[MASKED_{name}]")))
-    return c
+    names = [n for n in categories if n in table]
+    kinds = {n: _family(table, n) for n in names}
+    families = sorted({k for k in kinds.values() if k != "any"})
+    if not families:
+        return _replace_chain(c, table, names)
+
+    def chain(present: Sequence[str]) -> Column:
+        return _replace_chain(c, table, [n for n in names if kinds[n] in ("any", *present)])
+
+    if len(families) == 1:
+        return F.when(_has(c, families[0]), chain(families)).otherwise(chain(()))
+    at, digits = _has(c, "at"), _has(c, "digits")
+    return F.when(at, F.when(digits, chain(families)).otherwise(chain(("at",)))).when(
+        digits, chain(("digits",))).otherwise(chain(()))
 
 
 def mask_all_pii(c: Column, pattern_set: str | Mapping[str, str] = "server") -> Column:
-    table = pattern_table(pattern_set)
-    for name in category_order(table):
-        c = F.regexp_replace(c, F.lit(table[name]), F.lit(spark_replacement(f"[MASKED_{name.upper()}]")))
-    return c
+    return mask_pii(c, category_order(pattern_table(pattern_set)), pattern_set)
 
 
 def mask_regex(c: Column, pattern: str, replacement: str) -> Column:
@@ -87,22 +121,38 @@ def mask_regex(c: Column, pattern: str, replacement: str) -> Column:
 
 def mask_text(c: Column, rules: Sequence[MaskRule], pattern_set: str | Mapping[str, str] = "server") -> Column:
     """Apply rules in order, each to the result of the one before."""
-    for r in rules:
-        if r.type == "REGEX" and r.pattern:
-            c = mask_regex(c, r.pattern, r.replacement)
-        elif r.type == "PII_TYPE":
-            c = mask_pii(c, [r.category], pattern_set)
+    # KEY_MATCH works on keys, not on text.
+    steps = [r for r in rules if r.type in ("REGEX", "PII_TYPE")]
+    while steps:
+        run = next((i for i, r in enumerate(steps) if r.type == "REGEX"), len(steps))
+        if run:
+            c = mask_pii(c, [r.category for r in steps[:run]], pattern_set)
+            steps = steps[run:]
+        else:
+            c = mask_regex(c, steps[0].pattern, steps[0].replacement) if steps[0].pattern else c
+            steps = steps[1:]
     return c
 
 
 def contains_pii(c: Column, pattern_set: str | Mapping[str, str] = "server") -> Column:
     table = pattern_table(pattern_set)
     hit = F.lit(False)
-    for name in category_order(table):
-        hit = hit | c.rlike(table[name])
+    for family in ("at", "digits", "any"):
+        any_of = F.lit(False)
+        for name in category_order(table):
+            if _family(table, name) == family:
+                any_of = any_of | c.rlike(table[name])
+        hit = hit | (any_of if family == "any" else _has(c, family) & any_of)
     return F.coalesce(hit, F.lit(False))
 
 
+def first_match(c: Column, name: str, pattern_set: str | Mapping[str, str] = "server") -> Column:
+    """The first match of a category, blank when there is none."""
+    table = pattern_table(pattern_set)
+    found, family = F.regexp_extract(c, table[name], 0), _family(table, name)
+    return found if family == "any" else F.when(_has(c, family), found).otherwise("")
+
+
 def key_rule_for(rules: Sequence[MaskRule]) -> dict[str, str]:
     """key -> replacement over all KEY_MATCH rules; the first rule wins."""
     out: dict[str, str] = {}

@@ -13,10 +13,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DynamicRule
+from ..config import DynamicRule, sql_text
 from ..functions.regex import spark_pattern
 from ..functions.severity import priority_rank
-from ..functions.text import actor_or, first_resource, tag_value
 from ..schemas import DETECTION, PAYLOAD, PRIORITIES
 
 Rule = Callable[[Callable[[str], Column]], Column]
@@ -25,11 +24,23 @@ DEFAULT_THRESHOLD = 0.5
 LOG_KEY = ("trace_id",)
 
 
-def payload(kind: str, **fields: Column) -> Column:
-    cols = [F.lit(kind).alias("kind")]
+def payload_sql(kind: str, **fields: str) -> str:
+    """SQL of a payload struct; ``fields`` are SQL expressions over log columns."""
+    parts = [f"'kind', {sql_text(kind)}"]
     for f in PAYLOAD.fields[1:]:
-        cols.append(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name))
-    return F.struct(*cols)
+        parts.append(f"'{f.name}', CAST({fields.get(f.name, 'NULL')} AS {f.dataType.simpleString()})")
+    return f"named_struct({', '.join(parts)})"
+
+
+def payload(kind: str, **fields: str) -> Column:
+    return F.expr(payload_sql(kind, **fields))
+
+
+def detection_sql(event: str, priority: str, body: str, score: float = 0.0, rule_id: str = "") -> str:
+    return (
+        f"named_struct('rule_pos', 0, 'event_name', {sql_text(event)}, 'priority', {sql_text(priority)}, "
+        f"'score', CAST({float(score)!r} AS DOUBLE), 'rule_id', {sql_text(rule_id)}, 'payload', {body})"
+    )
 
 
 def detection(event: str, priority: str, body: Column, score: float = 0.0, rule_id: str = "") -> Column:
@@ -54,42 +65,41 @@ def once(c: Column, keep: Callable[[Column], Column]) -> Column:
     return F.explode(F.filter(F.array(c), keep))
 
 
-def build_payload(kind: str, c: Callable[[str], Column], rule_ref: str = "") -> Column:
+IP_SQL = "coalesce(get(filter(tags, t -> t.key = 'ip'), 0).category, '0.0.0.0')"
+RESOURCE_SQL = "coalesce(get(resource_ids, 0), 'unknown')"
+ACTOR_SQL = "coalesce(nullif(actor_id, ''), 'system')"
+
+
+def builder_sql(kind: str, rule_ref: str = "") -> str:
     """Payload by builder name; an unknown name builds the system payload."""
     kind = kind.lower()
     if kind == "security_intrusion":
-        return payload(kind, ip=tag_value(c("tags"), "ip", "0.0.0.0"), severity=c("level"))
+        return payload_sql(kind, ip=IP_SQL, severity="level")
     if kind == "compliance_violation":
-        return payload(
-            kind, rule_ref=F.lit(rule_ref), document_id=first_resource(c("resource_ids"), "unknown"),
-            user_id=actor_or(c("actor_id"), "system"),
-        )
-    return payload("system_critical", component=c("boundary"), error_details=c("message"))
+        return payload_sql(kind, rule_ref=sql_text(rule_ref), document_id=RESOURCE_SQL, user_id=ACTOR_SQL)
+    return payload_sql("system_critical", component="boundary", error_details="message")
 
 
-# --- fixed rules ----------------------------------------------------------
-
-def critical_rule(c) -> Column:
-    return F.when(c("is_critical"), detection(
-        "SYSTEM_CRITICAL_FAILURE", "HIGH", build_payload("system_critical", c)))
-
+def build_payload(kind: str, rule_ref: str = "") -> Column:
+    return F.expr(builder_sql(kind, rule_ref))
 
-def intrusion_rule(c) -> Column:
-    return F.when((c("type") == "SECURITY") & (c("level") >= 5), detection(
-        "SECURITY_INTRUSION_DETECTED", "HIGH", build_payload("security_intrusion", c)))
 
+def sql_rule(condition: str, event: str, priority: str, body: str, score: float = 0.0, rule_id: str = "") -> Rule:
+    """A rule written as SQL over the log columns."""
+    text = f"CASE WHEN {condition} THEN {detection_sql(event, priority, body, score, rule_id)} END"
+    return lambda c: F.expr(text)
 
-def compliance_rule(c) -> Column:
-    hit = (c("type") == "COMPLIANCE") & F.contains(F.lower(c("message")), F.lit("violation"))
-    return F.when(hit, detection(
-        "COMPLIANCE_VIOLATION", "HIGH", build_payload("compliance_violation", c, "AUTO-DETECT-001")))
 
+# --- fixed rules ----------------------------------------------------------
 
-def sla_rule(c) -> Column:
-    body = payload("system_critical", component=c("boundary"),
-                   error_details=F.concat(F.lit("SLA violation: "), c("message")))
-    return F.when((c("type") == "SLA") & (c("level") >= 4), detection("SYSTEM_CRITICAL_FAILURE", "MEDIUM", body))
-
+critical_rule = sql_rule("is_critical", "SYSTEM_CRITICAL_FAILURE", "HIGH", builder_sql("system_critical"))
+intrusion_rule = sql_rule("type = 'SECURITY' AND level >= 5", "SECURITY_INTRUSION_DETECTED", "HIGH",
+                          builder_sql("security_intrusion"))
+compliance_rule = sql_rule("type = 'COMPLIANCE' AND contains(lower(message), 'violation')", "COMPLIANCE_VIOLATION", "HIGH",
+                           builder_sql("compliance_violation", "AUTO-DETECT-001"))
+sla_rule = sql_rule("type = 'SLA' AND level >= 4", "SYSTEM_CRITICAL_FAILURE", "MEDIUM",
+                    payload_sql("system_critical", component="boundary",
+                                error_details="concat('SLA violation: ', message)"))
 
 FIXED_RULES: tuple[Rule, ...] = (critical_rule, intrusion_rule, compliance_rule, sla_rule)
 
@@ -128,38 +138,33 @@ def ensemble_rules(dynamic: Sequence[DynamicRule] = ()) -> list[Rule]:
 
 # --- configured rules -----------------------------------------------------
 
-def has_tag(tags: Column, key: str) -> Column:
-    return F.exists(tags, lambda t: t["key"] == key)
+def _in(column: str, values: Sequence[str]) -> str:
+    return f"{column} IN ({', '.join(map(sql_text, values))})"
 
 
-def rule_condition(r: DynamicRule, c) -> Column:
+def rule_condition(r: DynamicRule) -> str:
     """Cheap tests first; the message pattern last."""
-    cond = F.lit(True)
+    tests = ["true"]
     if r.log_types:
-        cond = cond & c("type").isin(*r.log_types)
+        tests.append(_in("type", r.log_types))
     if r.min_level > 0:
-        cond = cond & (c("level") >= r.min_level)
+        tests.append(f"level >= {int(r.min_level)}")
     if r.max_level > 0:
-        cond = cond & (c("level") <= r.max_level)
+        tests.append(f"level <= {int(r.max_level)}")
     if r.origins:
-        cond = cond & c("origin").isin(*r.origins)
+        tests.append(_in("origin", r.origins))
     if r.require_critical is not None:
-        cond = cond & (c("is_critical") == F.lit(r.require_critical))
-    for key in r.tag_keys:
-        cond = cond & has_tag(c("tags"), key)
+        tests.append(f"is_critical = {str(r.require_critical).lower()}")
+    tests += [f"exists(tags, t -> t.key = {sql_text(k)})" for k in r.tag_keys]
     if r.message_pattern:
-        cond = cond & c("message").rlike(spark_pattern(r.message_pattern))
-    return cond
+        tests.append(f"rlike(message, {sql_text(spark_pattern(r.message_pattern))})")
+    return " AND ".join(tests)
 
 
 def compile_rule(r: DynamicRule) -> Rule:
     prio = r.priority.upper() if r.priority.upper() in PRIORITIES else "MEDIUM"
     score = r.score if r.score > 0 else 1.0
-
-    def rule(c) -> Column:
-        body = build_payload(r.payload_builder, c, r.rule_id)
-        return F.when(rule_condition(r, c), detection(r.event_name, prio, body, score, r.rule_id))
-    return rule
+    return sql_rule(rule_condition(r), r.event_name, prio, builder_sql(r.payload_builder, r.rule_id), score, r.rule_id)
 
 
 # --- evaluation -----------------------------------------------------------

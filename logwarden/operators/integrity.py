@@ -27,8 +27,13 @@ CHAIN_ROWS = 1_000_000
 
 # --- canonical text -------------------------------------------------------
 
-def _canonical_fields() -> tuple[list[Column], list[Column]]:
-    """Fields before and after the previous hash, sorted by name at every level."""
+# In the canonical text of a row that has no previous hash yet.  What follows it
+# holds no free keys, so its last occurrence is the field itself.
+OPEN_LINK = '"PreviousHash":""'
+
+
+def canonical(previous: Column) -> Column:
+    """The row as JSON, sorted by name at every level; own hash and signature blank."""
     ai, log = F.col("ai_context"), F.col("agent_back_log")
     ai_json = F.when(ai.isNotNull(), F.struct(
         text(ai["agent_id"]).alias("AgentID"), F.coalesce(ai["confidence"], F.lit(0.0)).alias("Confidence"),
@@ -41,43 +46,25 @@ def _canonical_fields() -> tuple[list[Column], list[Column]]:
     ))
     tags = F.transform("tags", lambda t: F.struct(text(t["category"]).alias("Category"), text(t["key"]).alias("Key")))
     details = F.map_from_entries(F.array_sort(F.map_entries("details")))
-    head = [
+    js = F.to_json(F.struct(
         ai_json.alias("AIContext"), text("actor_id").alias("ActorID"), back.alias("AgentBackLog"),
         text("boundary").alias("Boundary"), details.alias("Details"), F.lit("").alias("Hash"),
         text("input").alias("Input"), F.col("is_critical").alias("IsCritical"), F.col("level").alias("Level"),
         F.col("logical_clock").alias("LogicalClock"), text("message").alias("Message"),
         text("origin").alias("Origin"), text("parent_span_id").alias("ParentSpanID"),
-    ]
-    tail = [
-        F.col("resource_ids").alias("ResourceIDs"), text("service_id").alias("ServiceID"),
-        F.lit("").alias("Signature"), text("span_id").alias("SpanID"), tags.alias("Tags"),
-        rfc3339_nano(F.col("timestamp")).alias("Timestamp"), text("trace_id").alias("TraceID"),
+        previous.alias("PreviousHash"), F.col("resource_ids").alias("ResourceIDs"),
+        text("service_id").alias("ServiceID"), F.lit("").alias("Signature"), text("span_id").alias("SpanID"),
+        tags.alias("Tags"), rfc3339_nano(F.col("timestamp")).alias("Timestamp"), text("trace_id").alias("TraceID"),
         F.col("trigger_agent").alias("TriggerAgent"), text("type").alias("Type"),
-    ]
-    return head, tail
-
-
-def _object(fields: list[Column]) -> Column:
-    js = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    ), {"ignoreNullFields": "false"})
     # Whole numbers carry no fraction in the canonical form.
-    js = F.regexp_replace(js, r'(?<!\\)"Confidence":(-?\d+)\.0(?=[,}])', '"Confidence":$1')
-    return json_text(js)
-
-
-def canonical_parts(df: DataFrame) -> tuple[Column, Column]:
-    """Canonical text up to and from the value of the previous hash."""
-    head, tail = _canonical_fields()
-    h, t = _object(head), _object(tail)
-    return (
-        F.concat(F.substring(h, 1, F.length(h) - 1), F.lit(',"PreviousHash":"')),
-        F.concat(F.lit('",'), F.substring(t, F.lit(2), F.length(t))),
-    )
+    whole = F.regexp_replace(js, r'(?<!\\)"Confidence":(-?\d+)\.0(?=[,}])', '"Confidence":$1')
+    return json_text(F.when(ai.isNotNull(), whole).otherwise(js))
 
 
 def canonical_json(df: DataFrame, column: str = "canonical") -> DataFrame:
-    """Serialise every row deterministically; its own hash and signature are blank."""
-    head, tail = canonical_parts(df)
-    return df.withColumn(column, F.concat(head, text("previous_hash"), tail))
+    """Serialise every row deterministically."""
+    return df.withColumn(column, canonical(text("previous_hash")))
 
 
 # --- lanes ----------------------------------------------------------------
@@ -104,7 +91,7 @@ def with_chain_lane(
 # --- building -------------------------------------------------------------
 
 def _chain_step(group: int, key: bytes | None):
-    """Fold over (group.., start, is_row, carried.., head, tail): previous hash and hash.
+    """Fold over (group.., start, is_row, carried.., text): previous hash and hash.
 
     A row with ``is_row`` false opens its group with the head of an earlier run.
     """
@@ -126,20 +113,20 @@ def _chain_step(group: int, key: bytes | None):
         for b in batches:
             groups = zip(*[b.column(i).to_pylist() for i in range(group)])
             starts, is_row = b.column(group).to_pylist(), b.column(group + 1).to_pylist()
-            heads = b.column(b.num_columns - 2).to_pylist()
-            tails = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(b.num_columns - 1).to_pylist()
             prevs, hashes = [], []
-            for g, start, real, h, t in zip(groups, starts, is_row, heads, tails):
+            for g, start, real, body in zip(groups, starts, is_row, texts):
                 if g != last_group:
                     last_group, previous = g, ""
                 if not real:
                     previous = start
                     continue
                 prevs.append(previous)
-                previous = digest((h + previous + t + previous).encode())
+                head, _, tail = body.rpartition(OPEN_LINK)
+                previous = digest(f'{head}"PreviousHash":"{previous}"{tail}{previous}'.encode())
                 hashes.append(previous)
             rows = b.filter(pa.array(is_row, pa.bool_()))
-            keep = range(group + 2, b.num_columns - 2)
+            keep = range(group + 2, b.num_columns - 1)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(i) for i in keep] + [pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
                 names=[b.schema.names[i] for i in keep] + ["previous_hash", "hash"],
@@ -157,19 +144,18 @@ def _build(
         laned = df.withColumn("chain_lane", lane_of(F.col(id_col), F.lit(lanes)).cast("int"))
     else:
         laned = with_chain_lane(df, chain_cols, id_col, target_rows)
-    head, tail = canonical_parts(laned)
     carried = [c for c in laned.columns if c not in ("previous_hash", "hash")]
     group = [*[f"_g{i}" for i in range(len(chain_cols))], "_lane"]
     named = [*[F.col(c).alias(g) for c, g in zip(chain_cols, group)], F.col("chain_lane").alias("_lane")]
     ready = laned.select(
         *named, F.lit("").alias("_start"), F.lit(True).alias("_is_row"), *carried,
-        head.alias("_head"), tail.alias("_tail"),
+        canonical(F.lit("")).alias("_text"),
     )
     if heads is not None:
         ready = ready.unionByName(heads.select(
             *named, F.col("head_hash").alias("_start"), F.lit(False).alias("_is_row"),
             *[F.lit(None).cast(laned.schema[c].dataType).alias(c) for c in carried],
-            F.lit("").alias("_head"), F.lit("").alias("_tail")))
+            F.lit("").alias("_text")))
     schema = T.StructType([
         *[T.StructField(c, laned.schema[c].dataType) for c in carried],
         T.StructField("previous_hash", T.StringType()),
@@ -222,13 +208,9 @@ def verify_chain(
     Every row is checked on its own against the hash of the row before it, so the
     lanes of one chain are verified in parallel.  ``keys=None`` is the keyless variant.
     """
-    head, tail = canonical_parts(df)
     w = Window.partitionBy(*chain_cols, "chain_lane").orderBy(*order_cols)
-    body = F.concat(F.col("_head"), text("previous_hash"), F.col("_tail"), F.col("_expected"))
-    seen = (
-        df.withColumns({"_head": head, "_tail": tail, "_expected": F.lag("hash", 1, "").over(w)})
-        .withColumn("_body", body)
-    )
+    seen = df.withColumn("_expected", F.lag("hash", 1, "").over(w)).withColumn(
+        "_body", F.concat(canonical(text("previous_hash")), F.col("_expected")))
     key_index = F.lit(None).cast("int")
     for i in reversed(range(len(keys) if keys is not None else 1)):
         digest = sha256(F.col("_body")) if keys is None else hmac_sha256(F.col("_body"), keys[i])
@@ -237,7 +219,7 @@ def verify_chain(
     return seen.withColumns({
         "link_ok": text("previous_hash") == F.col("_expected"),
         "key_index": key_index,
-    }).withColumn("hash_ok", F.col("key_index").isNotNull()).drop("_head", "_tail", "_expected", "_body")
+    }).withColumn("hash_ok", F.col("key_index").isNotNull()).drop("_expected", "_body")
 
 
 def chain_report(verified: DataFrame, chain_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
@@ -289,7 +271,7 @@ def agent_input_hash(df: DataFrame, column: str = "input_hash") -> DataFrame:
 
 
 __all__ = [
-    "agent_input_hash", "build_hash_chain", "build_sha_chain", "canonical_json", "canonical_parts",
+    "agent_input_hash", "build_hash_chain", "build_sha_chain", "canonical", "canonical_json",
     "chain_heads", "chain_report", "content_id", "sign_payload", "task_content_hash", "verify_chain",
     "with_chain_lane",
 ]

@@ -15,6 +15,7 @@ from ..config import MaskPolicy, MaskRule
 from ..functions.pii import (
     category_order,
     contains_pii,
+    first_match,
     key_rule_for,
     mask_all_pii,
     mask_text,
@@ -206,7 +207,7 @@ def text_leaks(
     """One row per category found in a text column: ``category`` and ``snippet``."""
     table = pattern_table(pattern_set)
     hits = [
-        F.struct(F.lit(name).alias("category"), F.regexp_extract(F.col(column), table[name], 0).alias("snippet"))
+        F.struct(F.lit(name).alias("category"), first_match(F.col(column), name, table).alias("snippet"))
         for name in category_order(table, categories)
     ]
     found = F.explode(F.filter(F.array(*hits), lambda h: h["snippet"] != ""))

@@ -25,10 +25,7 @@ def rule_index(rules: Sequence[dict]) -> Column:
     for r in sorted(rules, key=lambda r: (r["priority"], r["rule_pos"])):
         rank = SEVERITIES.index(r["severity"]) if r["severity"] in SEVERITIES else 0
         by_event.setdefault(r["event_name"], []).append({**r, "rank": rank})
-    if not by_event:
-        return F.create_map().cast(T.MapType(T.StringType(), T.ArrayType(_INDEXED)))
-    pairs = [x for e, rs in by_event.items() for x in (F.lit(e), literal(rs, T.ArrayType(_INDEXED)))]
-    return F.create_map(*pairs)
+    return literal(by_event, T.MapType(T.StringType(), T.ArrayType(_INDEXED)))
 
 
 def generate_tasks(

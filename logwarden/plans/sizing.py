@@ -28,3 +28,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a source of few partitions over all cores.
+
+    A small file with one row group is read by one task and every narrow stage on
+    it stays there.  A source that already has a partition per core is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

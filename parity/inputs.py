@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.operators.normalize import normalize, split_valid
+from logwarden.plans.sizing import spread_small
 from logwarden.schemas import AI_CONTEXT, BACK_LOG_ENTRY, LOG_SCHEMA
 
 SERVICE = "demo-service"
@@ -70,7 +71,7 @@ NORM_CTE = f"{RAW_CTE}, norm AS (SELECT {NORM_COLUMNS} FROM raw WHERE trim(messa
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,9 +272,9 @@ def _(spark, sf):
 def _(spark, sf):
     df = norm_logs(spark, sf)
     kinds = ["System_Critical", "security_intrusion", "compliance_violation", "whatever"]
-    body = F.when(F.lit(False), detect.build_payload(kinds[0], lambda n: df[n]))
+    body = F.when(F.lit(False), detect.build_payload(kinds[0]))
     for i, k in enumerate(kinds):
-        body = body.when(F.col("event_id") % 4 == i, detect.build_payload(k, lambda n: df[n], "r-1"))
+        body = body.when(F.col("event_id") % 4 == i, detect.build_payload(k, "r-1"))
     return df.select("event_id", body.alias("payload")).select("event_id", *payload_cols())
 
 

@@ -108,7 +108,7 @@ def test_fixed_rules_and_agent_skip(spark):
 def test_custom_rules(spark):
     def loud(c):
         return F.when(c("message").contains("!"), detect.detection(
-            "LOUD", "LOW", detect.payload("system_critical", component=c("boundary"))))
+            "LOUD", "LOW", detect.payload("system_critical", component="boundary")))
     df = norm(spark, dict(trace_id="a", message="hey!"), dict(trace_id="b"))
     assert [r.event_name for r in detect.detect_first(df, [loud]).collect()] == ["LOUD"]
     wrapped = detect.wrap_rule(loud, "loud-1", 0.4)
