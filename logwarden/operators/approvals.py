@@ -58,6 +58,11 @@ def create_approvals(tasks: DataFrame, requested_at: Column | None = None, carry
     )
 
 
+def longest_chain(rules: Sequence[dict]) -> int:
+    """The most decisions any request made under these rules can take."""
+    return max([1, *(len(r["chain"]) for r in rules)])
+
+
 def _usable(decisions: DataFrame) -> Column:
     return (text("task_id") != "") & (text("actor_id") != "") & F.col("action").isin("approved", "rejected")
 
@@ -67,7 +72,9 @@ def accepted_decisions(requests: DataFrame, decisions: DataFrame, max_steps: int
 
     A request takes at most ``total_steps`` decisions, so only the first few of a
     task matter; the rank filter drops the rest before the shuffle, however many
-    decisions one task has.
+    decisions one task has.  ``max_steps`` must be no less than any
+    ``total_steps`` (``longest_chain`` of the routing rules); left out, it is
+    read from the requests.
     """
     if max_steps is None:
         max_steps = requests.agg(F.max("total_steps")).first()[0] or 1

@@ -132,15 +132,17 @@ def run_batch(
     """
     spark = raw.sparkSession
     ready = prepare(raw, rules)
+    sinks.append_table(ready.rejected, root, "rejected_logs", batch_id, "timestamp")
+    if ready.denied is not None:
+        sinks.append_table(ready.denied, root, "denied_logs", batch_id, "timestamp")
     marked = sinks.append_logs(
         chain(ready.logs, rules, order), root, batch_id, rules.fail_on_persist_error, order)
 
     def back(table: str) -> DataFrame:
         return spark.read.parquet(f"{sinks.table_path(root, table)}/{sinks.BATCH}={batch_id}").drop(sinks.DATE)
 
-    # Refused rows are still looked at: only their storage failed.
-    sinks.append_table(marked, root, "processed", batch_id, "timestamp")
-    logs = back("processed")
+    # Refused rows are looked at all the same: only their storage failed.
+    logs = sinks.staged_logs(spark, root, batch_id)
     sinks.append_table(detections_of(logs, rules), root, "detections", batch_id)
     found = back("detections")
 
@@ -174,5 +176,5 @@ def run_batch(
         sinks.append_table(agents.agent_results_to_logs(done), root, "agent_logs", batch_id, "timestamp")
     warnings = F.when(F.col("degraded"), F.array("warning")).otherwise(F.array().cast("array<string>"))
     return tasks.ingestion_result(
-        logs, made.withColumn("trace_id", F.col("source_trace_id")), summaries, rules.enable_hash_chain,
+        marked, made.withColumn("trace_id", F.col("source_trace_id")), summaries, rules.enable_hash_chain,
         rules.enable_masking, warnings=warnings)

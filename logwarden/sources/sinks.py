@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import text
+from ..plans.sizing import broadcast_if_small
 
 DATE = "event_date"
 BATCH = "batch_id"
@@ -73,7 +74,10 @@ def mark_duplicates(
     out = logs.join(repeated, F.col(id_col) == F.col("_rid"), "left")
     bad = F.col("_first").isNotNull() & (order != F.col("_first"))
     if stored_ids is not None:
-        known = stored_ids.select(F.col(id_col).alias("_sid")).distinct().withColumn("_stored", F.lit(True))
+        # Of the stored ids only those of this batch are carried on.
+        mine = broadcast_if_small(logs.select(id_col))
+        known = stored_ids.select(id_col).join(mine, id_col, "left_semi").distinct().select(
+            F.col(id_col).alias("_sid"), F.lit(True).alias("_stored"))
         out = out.join(known, F.col(id_col) == F.col("_sid"), "left")
         bad = bad | F.col("_stored").isNotNull()
     warning = F.concat(F.lit("log persistence failed: duplicate trace id "), F.col(id_col))
@@ -81,22 +85,36 @@ def mark_duplicates(
         "warning", F.when(F.col("degraded"), warning).otherwise("")).drop("_rid", "_first", "_sid", "_stored")
 
 
+def staged_logs(spark: SparkSession, root: str, batch_id: int | str, table: str = "logs") -> DataFrame:
+    """All rows of one batch as they were before uniqueness was tested."""
+    return spark.read.parquet(f"{table_path(root, table + '_staged')}/{BATCH}={batch_id}").drop(DATE)
+
+
 def append_logs(
     logs: DataFrame, root: str, batch_id: int | str, strict: bool = False, order_cols: Sequence[str] = ("timestamp",),
-    table: str = "logs",
+    table: str = "logs", lookback_days: int | None = None, stored: DataFrame | None = None,
 ) -> DataFrame:
     """Store the rows with new trace ids; return all rows marked good or degraded.
 
-    ``strict`` raises instead when any row is refused.
+    The batch is written to a staging table first: what follows does not compute
+    it again, and the position in its files tells equal records apart.
+    ``strict`` raises instead when any row is refused.  ``lookback_days`` looks
+    for stored trace ids only in the days before the batch; without it all days
+    are searched.  ``stored`` gives the rows to search instead.
     """
     spark = logs.sparkSession
-    stored = read_table(spark, root, table, logs.schema).filter(F.col(BATCH) != str(batch_id))
-    marked = mark_duplicates(logs, stored.select("trace_id"), order_cols)
+    append_table(logs, root, table + "_staged", batch_id, TABLES["logs"])
+    staged = staged_logs(spark, root, batch_id, table).select(*logs.columns, "_metadata.file_path", "_metadata.row_index")
+    if stored is None:
+        stored = read_table(spark, root, table, logs.schema).filter(F.col(BATCH) != str(batch_id))
+    if lookback_days is not None:
+        oldest = staged.agg(F.date_sub(F.min(F.to_date(TABLES["logs"])), lookback_days)).first()[0]
+        stored = stored.filter(F.col(DATE) >= F.lit(oldest)) if oldest else stored
+    marked = mark_duplicates(
+        staged, stored.select("trace_id"), (*order_cols, "file_path", "row_index")).drop("file_path", "row_index")
     if strict and not marked.filter("degraded").isEmpty():
         raise RuntimeError("persist log: duplicate trace id")
-    # Records that agree in every order column are one and the same: stored once.
-    good = marked.filter(~F.col("degraded")).drop("degraded", "warning").dropDuplicates(["trace_id"])
-    append_table(good, root, table, batch_id)
+    append_table(marked.filter(~F.col("degraded")).drop("degraded", "warning"), root, table, batch_id)
     return marked
 
 

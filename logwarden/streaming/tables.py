@@ -1,10 +1,12 @@
 """Streams whose state lives in tables: one ``foreachBatch`` per query.
 
 Each micro-batch runs the batch forms of the operators, which cut busy keys into
-slices and lanes.  What must be carried over (chain heads, last kept times,
-recent logs, the watermark) is read from tables written by earlier batches, and
-every write is tagged with its batch id: a replayed batch reads the same state
-and replaces its own rows.
+slices and lanes.  What must be carried over (chain heads, last kept times, the
+times of recent batches) is a small snapshot every batch writes and the next one
+reads: nothing has to list or read the whole history, and a replayed batch reads
+the same snapshot and replaces its own rows.
+
+A root folder belongs to one checkpoint: batch ids name the folders in it.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ HEADS = T.StructType([
     T.StructField("service_id", T.StringType()), T.StructField("boundary", T.StringType()),
     T.StructField("chain_date", T.StringType()), T.StructField("chain_lane", T.IntegerType()),
     T.StructField("n_rows", T.LongType()), T.StructField("head_hash", T.StringType()),
-    T.StructField("head_signature", T.StringType()),
 ])
 KEPT = T.StructType([T.StructField("key", T.StringType()), T.StructField("last_us", T.LongType())])
-MARKS = T.StructType([T.StructField("max_us", T.LongType())])
+MARKS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("max_us", T.LongType())])
+CHAIN = ["service_id", "boundary", "chain_date"]
+ORDER = ["timestamp", "trace_id"]
 STAMP = "stamp"
 
 
@@ -64,13 +67,17 @@ class StreamFlow:
     routing: dict[str, Sequence[str]] = field(default_factory=lambda: dict(flow.DEFAULT_ROUTING))
     channel_types: Sequence[str] = outbox.CHANNEL_TYPES
     feedback: str | None = None
+    # Look for repeated trace ids only in batches this recent; None searches all.
+    unique_sec: int | None = None
 
     # --- state ------------------------------------------------------------
 
-    def _read(self, spark, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
-        """Rows earlier batches wrote."""
-        return sinks.read_table(spark, self.root, table, schema).filter(
-            F.col(sinks.BATCH).cast("bigint") < batch_id)
+    def _snapshot(self, spark, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
+        """The snapshot the batch before this one wrote."""
+        if batch_id == 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(
+            f"{sinks.table_path(self.root, table)}/{sinks.BATCH}={batch_id - 1}").select(*schema.fieldNames())
 
     def _write(self, df: DataFrame, table: str, batch_id: int, date_from: str | None = None) -> DataFrame:
         """Write one batch and hand back what was written."""
@@ -81,52 +88,69 @@ class StreamFlow:
         path = f"{sinks.table_path(self.root, table)}/{sinks.BATCH}={batch_id}"
         return df.sparkSession.read.schema(stored.schema).parquet(path).select(*df.columns)
 
-    def watermark(self, spark, batch_id: int) -> int | None:
-        """Newest time of earlier batches less the delay: one row per batch."""
-        newest = self._read(spark, "watermarks", MARKS, batch_id).agg(F.max("max_us")).first()[0]
-        return None if newest is None else newest - self.delay_sec * 1_000_000
+    def _span_us(self) -> int:
+        """How far back any stage looks from the watermark."""
+        r = self.rules
+        spans = [r.anomaly_window_sec, r.anomaly_baseline_sec] if r.anomaly else [0]
+        return (max(*spans, r.dedup_window_sec, self.unique_sec or 0) + self.delay_sec) * 1_000_000
+
+    def _marks(self, spark, batch_id: int) -> list[tuple[int, int]]:
+        """(batch, newest time) of recent batches: a handful of rows."""
+        return [(r.batch, r.max_us) for r in self._snapshot(spark, "recent_batches", MARKS, batch_id).collect()]
+
+    def _logs_since(self, spark, marks: list[tuple[int, int]], since_us: int) -> DataFrame | None:
+        """Stored logs of the recent batches that reach this far."""
+        paths = [f"{sinks.table_path(self.root, 'logs_staged')}/{sinks.BATCH}={b}" for b, newest in marks if newest >= since_us]
+        return spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else None
 
     # --- stages -----------------------------------------------------------
 
-    def _chained(self, logs: DataFrame, batch_id: int) -> DataFrame:
+    def _chained(self, logs: DataFrame, batch_id: int, watermark: int | None) -> DataFrame:
         if not self.rules.enable_hash_chain:
-            return logs
-        cols = ["service_id", "boundary", "chain_date"]
-        heads = self._read(logs.sparkSession, "chain_heads", HEADS, batch_id)
-        latest = heads.groupBy(*cols, "chain_lane").agg(
-            F.max_by("head_hash", F.col(sinks.BATCH).cast("bigint")).alias("head_hash"))
+            return self._write(logs, "chained", batch_id, "timestamp")
+        before = self._snapshot(logs.sparkSession, "chain_state", HEADS, batch_id)
         dated = logs.withColumn("chain_date", F.to_date("timestamp").cast("string"))
-        order = ["timestamp", "trace_id"]
-        built = integrity.build_hash_chain(dated, cols, order, self.rules.hmac_key, lanes=self.lanes, heads=latest)
+        built = integrity.build_hash_chain(dated, CHAIN, ORDER, self.rules.hmac_key, lanes=self.lanes, heads=before)
         stored = self._write(built, "chained", batch_id, "timestamp")
-        self._write(integrity.chain_heads(stored, cols, order, self.rules.hmac_key), "chain_heads", batch_id)
+        heads = self._write(integrity.chain_heads(stored, CHAIN, ORDER, self.rules.hmac_key), "chain_heads", batch_id)
+        both = before.withColumn("new", F.lit(0)).unionByName(
+            heads.select(*HEADS.fieldNames()).withColumn("new", F.lit(1)))
+        if watermark is not None:
+            # Rows of a day behind the watermark are late: its chains are finished.
+            both = both.filter(F.col("chain_date") >= F.to_date(F.timestamp_micros(F.lit(watermark))).cast("string"))
+        self._write(both.groupBy(*CHAIN, "chain_lane").agg(
+            F.sum("n_rows").alias("n_rows"), F.max_by("head_hash", "new").alias("head_hash")), "chain_state", batch_id)
         return stored
 
-    def _detections(self, logs: DataFrame, batch_id: int) -> DataFrame:
+    def _detections(self, logs: DataFrame, batch_id: int, marks: list[tuple[int, int]], watermark: int | None) -> DataFrame:
         r, spark = self.rules, logs.sparkSession
         if not (r.ensemble and r.dedup_window_sec > 0):
             found = flow.detections_of(logs, replace(r, anomaly=False))
         else:
             fired = detect.explode_detections(detect.detect_ensemble(logs, detect.ensemble_rules(r.dynamic_rules)))
-            state = self._read(spark, "last_kept", KEPT, batch_id).groupBy("key").agg(F.max("last_us").alias("last_us"))
-            kept = self._write(dedup.dedup_detections(fired, r.dedup_window_sec, state=state), "kept", batch_id, "timestamp")
-            self._write(dedup.dedup_state(kept, None), "last_kept", batch_id)
+            before = self._snapshot(spark, "last_kept", KEPT, batch_id)
+            kept = self._write(dedup.dedup_detections(fired, r.dedup_window_sec, state=before), "kept", batch_id, "timestamp")
+            after = dedup.dedup_state(kept, before)
+            if watermark is not None:
+                # A window that ended before the watermark suppresses nothing any more.
+                after = after.filter(F.col("last_us") >= watermark - r.dedup_window_sec * 1_000_000)
+            self._write(after, "last_kept", batch_id)
             found = detect.threshold_rows(kept, r.aggregator, r.threshold).drop("aggregate_score")
         if r.anomaly:
-            found = found.unionByName(self._anomalies(logs, batch_id).select(found.columns))
+            found = found.unionByName(self._anomalies(logs, marks).select(found.columns))
         return found
 
-    def _anomalies(self, logs: DataFrame, batch_id: int) -> DataFrame:
-        """Counts over this batch and the stored logs of the last baseline."""
+    def _anomalies(self, logs: DataFrame, marks: list[tuple[int, int]]) -> DataFrame:
+        """Counts over this batch and the stored logs a baseline before it."""
         r = self.rules
-        span = 2 * max(r.anomaly_window_sec, r.anomaly_baseline_sec) + self.delay_sec
-        oldest = logs.agg(F.min("timestamp")).first()[0]
-        now = logs.select(*LOG_SCHEMA.fieldNames()[:1], "type", "boundary", "timestamp", F.lit(True).alias("_new"))
+        seen = ["trace_id", "type", "boundary", "timestamp"]
+        now = logs.select(*seen, F.lit(True).alias("_new"))
+        oldest = logs.agg(F.min(F.unix_micros("timestamp"))).first()[0]
         if oldest is not None:
-            since = F.timestamp_micros(F.unix_micros(F.lit(oldest)) - span * 1_000_000)
-            past = self._read(logs.sparkSession, "logs", LOG_SCHEMA, batch_id).filter(
-                (F.col(sinks.DATE) >= F.to_date(since)) & (F.col("timestamp") >= since))
-            now = now.unionByName(past.select("trace_id", "type", "boundary", "timestamp", F.lit(False).alias("_new")))
+            since = oldest - max(r.anomaly_window_sec, r.anomaly_baseline_sec) * 1_000_000
+            past = self._logs_since(logs.sparkSession, marks, since)
+            if past is not None:
+                now = now.unionByName(past.filter(F.unix_micros("timestamp") >= since).select(*seen, F.lit(False).alias("_new")))
         rows = anomaly.detect_anomaly(
             now, r.anomaly_window_sec, r.anomaly_baseline_sec, r.anomaly_threshold_pct, r.anomaly_min_baseline,
             emit=F.col("_new"))
@@ -144,22 +168,30 @@ class StreamFlow:
 
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
         spark, r = raw.sparkSession, self.rules
-        now, late = split_late(raw, self.watermark(spark, batch_id))
+        marks = self._marks(spark, batch_id)
+        watermark = max(m for _, m in marks) - self.delay_sec * 1_000_000 if marks else None
+        now, late = split_late(raw, watermark)
         self._write(late, "late_logs", batch_id)
         ready = flow.prepare(now, r)
         self._write(ready.rejected, "rejected_logs", batch_id, "timestamp")
         if ready.denied is not None:
             self._write(ready.denied, "denied_logs", batch_id, "timestamp")
-        logs = self._write(ready.logs, "prepared", batch_id, "timestamp")
-        logs = self._chained(logs, batch_id)
-        self._write(logs.agg(F.max(F.unix_micros("timestamp")).alias("max_us")).filter("max_us IS NOT NULL"),
-                    "watermarks", batch_id)
+        logs = self._chained(ready.logs, batch_id, watermark)
+        newest = logs.agg(F.max(F.unix_micros("timestamp"))).first()[0]
+        recent = marks if newest is None else [
+            m for m in marks if m[1] >= max(newest, *(x for _, x in marks)) - self._span_us() - self.delay_sec * 1_000_000] + [(batch_id, newest)]
+        self._write(spark.createDataFrame(recent, MARKS), "recent_batches", batch_id)
+        stored = None
+        if self.unique_sec is not None:
+            reach = (newest or 0) - self.unique_sec * 1_000_000
+            stored = self._logs_since(spark, marks, reach)
+            stored = spark.createDataFrame([], LOG_SCHEMA) if stored is None else stored
         sinks.append_logs(logs.select(*LOG_SCHEMA.fieldNames()), self.root, batch_id, r.fail_on_persist_error,
-                          ("timestamp", "logical_clock", "span_id"))
+                          ("timestamp", "logical_clock", "span_id"), stored=stored)
         if self.on_logs:
             self.on_logs(logs)
 
-        found = self._write(self._detections(logs, batch_id), "detections", batch_id)
+        found = self._write(self._detections(logs, batch_id, marks, watermark), "detections", batch_id)
         made = tasks.dispatch_status(tasks.generate_tasks(found, r.task_rules, F.col("source_timestamp")))
         made = self._write(made, "generated", batch_id, "created_at")
         made = tasks.run_handlers(made, self.handlers, self.default_handler)

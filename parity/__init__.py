@@ -7,7 +7,7 @@ import logwarden
 # Executors need not have the packages installed: their functions travel by value.
 cloudpickle.register_pickle_by_value(logwarden)
 
-from . import intake, outcomes, signals  # noqa: E402,F401
+from . import intake, outcomes, signals, streams  # noqa: E402,F401
 from .registry import ORACLES, QUERIES  # noqa: E402
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -216,6 +216,9 @@ DECISION_CTE = f"""{ROUTED_CTE},
       FROM requests r LEFT JOIN agg USING (task_id))"""
 
 
+STEPS = approvals.longest_chain(rules().routing_rules)
+
+
 def routed(spark, sf):
     return approvals.route_approvals(task_df(spark, sf), rules().routing_rules)
 
@@ -263,7 +266,7 @@ def _(spark, sf):
 """)
 def _(spark, sf):
     req = request_df(spark, sf)
-    states = approvals.apply_approvals(req, approvals.accepted_decisions(req, decision_df(req)))
+    states = approvals.apply_approvals(req, approvals.accepted_decisions(req, decision_df(req), STEPS))
     return states.select("task_id", "status", F.col("current_step").cast("bigint").alias("current_step"),
                          F.unix_micros("resolved_at").alias("resolved_us"))
 
@@ -274,7 +277,7 @@ def _(spark, sf):
 """)
 def _(spark, sf):
     req = request_df(spark, sf)
-    rec = approvals.step_records(approvals.accepted_decisions(req, decision_df(req)))
+    rec = approvals.step_records(approvals.accepted_decisions(req, decision_df(req), STEPS))
     return rec.select("record_id", "approval_id", F.col("step_order").cast("bigint").alias("step_order"), "action",
                       "actor_id", F.unix_micros("created_at").alias("created_us"))
 
@@ -287,7 +290,7 @@ def _(spark, sf):
 def _(spark, sf):
     req = request_df(spark, sf)
     dec = decision_df(req)
-    states = approvals.apply_approvals(req, approvals.accepted_decisions(req, dec))
+    states = approvals.apply_approvals(req, approvals.accepted_decisions(req, dec, STEPS))
     return approvals.refused_decisions(dec, states).select("task_id", "seq", "error")
 
 
@@ -298,7 +301,7 @@ def _(spark, sf):
 def _(spark, sf):
     made = routed(spark, sf)
     req = approvals.create_approvals(made, carry=("event_id",))
-    states = approvals.apply_approvals(req, approvals.accepted_decisions(req, decision_df(req)))
+    states = approvals.apply_approvals(req, approvals.accepted_decisions(req, decision_df(req), STEPS))
     return approvals.approved_tasks(made, states).groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -317,7 +320,7 @@ def _(spark, sf):
 def _(spark, sf):
     """History of the request with the most steps."""
     req = request_df(spark, sf)
-    rec = approvals.step_records(approvals.accepted_decisions(req, decision_df(req)))
+    rec = approvals.step_records(approvals.accepted_decisions(req, decision_df(req), STEPS))
     counts = rec.groupBy("approval_id").agg(F.count(F.lit(1)).alias("n"))
     busiest = counts.agg(F.max_by("approval_id", F.struct("n", "approval_id"))).scalar()
     return approvals.approval_history(rec, busiest).select(
