@@ -39,9 +39,17 @@ def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
-def append_table(df: DataFrame, root: str, table: str, batch_id: int | str, date_from: str | None = None) -> None:
-    """Append one batch; writing the same batch id again replaces it."""
+def append_table(
+    df: DataFrame, root: str, table: str, batch_id: int | str, date_from: str | None = None, rebalance: bool = True,
+) -> None:
+    """Append one batch; writing the same batch id again replaces it.
+
+    Rows are rebalanced by date first: a date gets as many files as its size
+    needs, a busy date is split, and no task writes a file for every date.
+    """
     dated = df.withColumn(DATE, F.to_date(date_from or TABLES[table]))
+    if rebalance:
+        dated = dated.hint("rebalance", F.col(DATE))
     dated.write.mode("overwrite").partitionBy(DATE).parquet(f"{table_path(root, table)}/{BATCH}={batch_id}")
 
 
@@ -103,7 +111,8 @@ def append_logs(
     are searched.  ``stored`` gives the rows to search instead.
     """
     spark = logs.sparkSession
-    append_table(logs, root, table + "_staged", batch_id, TABLES["logs"])
+    # Chained logs are grouped by day already.
+    append_table(logs, root, table + "_staged", batch_id, TABLES["logs"], rebalance=False)
     staged = staged_logs(spark, root, batch_id, table).select(*logs.columns, "_metadata.file_path", "_metadata.row_index")
     if stored is None:
         stored = read_table(spark, root, table, logs.schema).filter(F.col(BATCH) != str(batch_id))

@@ -108,7 +108,7 @@ def test_stream_flow_equals_batch(spark, sf):
     # Trace ids sort like arrival, so that ties break the same way.
     raw = raw_logs(spark, sf).withColumn("trace_id", F.format_string("ev-%08d", "event_id"))
     raw = raw.select(*[c for c in raw.columns if c in LOG_SCHEMA.fieldNames()])
-    folder, root, check = write_parts(raw, 3), tempfile.mkdtemp(prefix="lw-t-"), tempfile.mkdtemp(prefix="lw-c-")
+    folder, root, check = write_parts(raw, 2), tempfile.mkdtemp(prefix="lw-t-"), tempfile.mkdtemp(prefix="lw-c-")
     feedback = tempfile.mkdtemp(prefix="lw-f-")
     seen = []
     job = StreamFlow(r, root, lanes=2, feedback=feedback, on_logs=lambda d: seen.append(d.count()),
@@ -139,8 +139,8 @@ def test_stream_flow_equals_batch(spark, sf):
 
     before = {t: spark.read.parquet(f"{root}/{t}").count() for t in ("logs", "detections", "tasks", "outbox", "chain_heads")}
     part = spark.read.schema(raw.schema).parquet(folder)
-    times = logs.filter(F.col(sinks.BATCH) == 2).agg(F.min("timestamp"), F.max("timestamp")).first()
-    job(part.filter(F.col("timestamp").between(*times)), 2)
+    times = logs.filter(F.col(sinks.BATCH) == 1).agg(F.min("timestamp"), F.max("timestamp")).first()
+    job(part.filter(F.col("timestamp").between(*times)), 1)
     after = {t: spark.read.parquet(f"{root}/{t}").count() for t in before}
     assert before == after
     assert spark.read.schema(LOG_SCHEMA).parquet(feedback).filter("origin = 'AI_AGENT'").count() > 0
