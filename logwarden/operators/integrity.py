@@ -45,7 +45,7 @@ def canonical(previous: Column) -> Column:
         text(e["status"]).alias("Status"), rfc3339_nano(e["timestamp"]).alias("Timestamp"),
     ))
     tags = F.transform("tags", lambda t: F.struct(text(t["category"]).alias("Category"), text(t["key"]).alias("Key")))
-    details = F.map_from_entries(F.array_sort(F.map_entries("details")))
+    details = F.map_from_entries(F.sort_array(F.map_entries("details")))
     js = F.to_json(F.struct(
         ai_json.alias("AIContext"), text("actor_id").alias("ActorID"), back.alias("AgentBackLog"),
         text("boundary").alias("Boundary"), details.alias("Details"), F.lit("").alias("Hash"),

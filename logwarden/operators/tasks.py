@@ -138,9 +138,9 @@ def ingestion_result(
     ``key`` identifies one log; a log has at most rules x rules results, so the
     collected lists are bounded by the rule tables.
     """
-    t = tasks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
+    t = tasks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(
         "detection_pos", "task_seq", "task_id", "rule_id", "status"))).alias("tasks_generated"))
-    r = threats.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
+    r = threats.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(
         "rule_pos", "response_id", "event_name", "strategy", "blocked", "block_target",
         "analyzed", "risk_level", "notified"))).alias("threat_responses"))
     base = logs.select(
