@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_rules, ngram_join, quality, secrets, toxicity
+from . import chat, decontaminate, language_model, line_rules, ngram_join, quality, secrets, sentencepieces, suffixes, toxicity
 from .common import id_bucket, table
 from .queries_sql import SQL
 
@@ -18,6 +20,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: A public vocabulary file; nothing of it is kept in this repository.
+PIECES = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    ids = F.col("encoded.ids")
+    return encoded.select("doc_id", F.size(ids).cast("bigint").alias("n_pieces"), ids.alias("ids"), F.col("encoded.exact").alias("exact"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -27,6 +39,16 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.format_examples(turns.unionByName(own)))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"), modulus=10)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     line = F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
@@ -70,7 +92,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op3_chat": op3_chat, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules,
+    "op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_chat": op3_chat, "op4_suffix_dedup": op4_suffix_dedup, "op5_language_model": op5_language_model, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination, "op9_quality": op9_quality, "op10_ngram_join": op10_ngram_join,
 }
 ORACLES = SQL
