@@ -23,7 +23,7 @@ from .common import id_bucket
 from .decontaminate import split_words
 
 SAMPLE_ROWS = 8_000
-MAX_TERMS = 4_096
+MAX_TERMS = 1_024
 MIN_DOCS = 6
 PREFIXES = (4, 5, 6)
 
@@ -59,6 +59,10 @@ def shape_terms(text: str | None) -> set[int]:
         out.add(crc32(b"%d" % round(8 * stutter / k), 102))
         out.add(crc32(b"%d" % round(8 * top / k), 103))
         out.add(crc32(b"%d" % min(6, len(words).bit_length()), 104))
+        odd = sum(c for s, c in shapes.items() if s.strip(b".,") not in (b"", b"A", b"B"))
+        shouted = sum(c for s, c in shapes.items() if s.startswith(b"B"))
+        for number, (share, whole) in enumerate(((stutter, k), (top, k), (odd, n), (shouted, n))):
+            out.update([crc32(b"%d" % step, 110 + number) for step in (2, 3, 4, 8, 16) if share * step > whole])
     return out
 
 
@@ -96,7 +100,7 @@ def choose_terms(sample: DataFrame, max_terms: int, min_docs: int) -> list[int]:
     n, m, s = float(all_rows.n), float(all_rows.m), float(all_rows.s)
     c = F.col("c").cast("double")
     z = F.abs(F.col("t") - c * m) / (s * F.sqrt(c * (1 - c / n) + 1))
-    best = by.where(c >= min_docs).withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "term").limit(max_terms)
+    best = by.where(c >= min_docs).withColumn("z", z).where("z > 4").orderBy(F.desc("z"), "term").limit(max_terms)
     return sorted(r.term for r in best.select("term").collect())
 
 
