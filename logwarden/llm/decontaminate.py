@@ -127,10 +127,10 @@ def find_contamination(
         if found is None:
             docs, found = docs.withColumn(out, hits), F.col(out)
         else:  # a further block: ranges are joined below
-            docs = docs.withColumn("_more", hits).withColumn(out, F.struct(
-                found["n_words"].alias("n_words"), F.concat(found["first"], F.col("_more.first")).alias("first"),
-                F.concat(found["last"], F.col("_more.last")).alias("last"),
-                F.array_sort(F.array_union(found["items"], F.col("_more.items"))).alias("items"))).drop("_more")
+            docs = docs.withColumn("__llm_more", hits).withColumn(out, F.struct(
+                found["n_words"].alias("n_words"), F.concat(found["first"], F.col("__llm_more.first")).alias("first"),
+                F.concat(found["last"], F.col("__llm_more.last")).alias("last"),
+                F.array_sort(F.array_union(found["items"], F.col("__llm_more.items"))).alias("items"))).drop("__llm_more")
     return docs
 
 
@@ -174,5 +174,5 @@ def cut_spans(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Serie
 
 def remove_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents with benchmark passages cut out of the text; no document goes."""
-    found = find_contamination(docs, items, text=text, out="_hits", **options)
-    return found.withColumn(text, F.pandas_udf(cut_spans, "string")(F.col(text), F.col("_hits.first"), F.col("_hits.last"))).drop("_hits")
+    found = find_contamination(docs, items, text=text, out="__llm_hits", **options)
+    return found.withColumn(text, F.pandas_udf(cut_spans, "string")(F.col(text), F.col("__llm_hits.first"), F.col("__llm_hits.last"))).drop("__llm_hits")

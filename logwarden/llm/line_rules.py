@@ -34,30 +34,30 @@ WORD_CHAR = r"[^\x20\x09-\x0D]"
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_w", words(F.col(text)))
-    df = df.withColumn("_lines", F.filter(F.split(whole, "\n"), lambda x: F.regexp_like(x, F.lit(WORD_CHAR))))
-    n = F.size("_w")
+    df = docs.withColumn("__llm_w", words(F.col(text)))
+    df = df.withColumn("__llm_lines", F.filter(F.split(whole, "\n"), lambda x: F.regexp_like(x, F.lit(WORD_CHAR))))
+    n = F.size("__llm_w")
     windows = F.when(n >= 4, F.transform(
-        F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
-    df = df.withColumn("_h", windows)
+        F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("__llm_w", i), F.get("__llm_w", i + 1), F.get("__llm_w", i + 2))))
+    df = df.withColumn("__llm_h", windows)
     # Only texts with a repeated window go on: (hash, position) sorted, neighbours of equal hash.
-    repeated = F.size(F.array_distinct("_h")) < F.size("_h")
-    df = df.withColumn("_p", F.when(repeated, F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+    repeated = F.size(F.array_distinct("__llm_h")) < F.size("__llm_h")
+    df = df.withColumn("__llm_p", F.when(repeated, F.sort_array(F.transform("__llm_h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
 
     def equal(p, j):
-        return F.coalesce(F.get("_p", j - 1)["x"] == p["x"], F.lit(False)) | F.coalesce(F.get("_p", j + 1)["x"] == p["x"], F.lit(False))
+        return F.coalesce(F.get("__llm_p", j - 1)["x"] == p["x"], F.lit(False)) | F.coalesce(F.get("__llm_p", j + 1)["x"] == p["x"], F.lit(False))
 
-    df = df.withColumn("_at", F.sort_array(F.transform(F.filter("_p", equal), lambda p: p["i"])))
+    df = df.withColumn("__llm_at", F.sort_array(F.transform(F.filter("__llm_p", equal), lambda p: p["i"])))
     covered = F.aggregate(
-        "_at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
+        "__llm_at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda s, i: F.struct((s["n"] + i + 3 - F.greatest(i, s["to"])).alias("n"), (i + 3).alias("to")))
     return df.withColumns({
         "n_words": n.cast("bigint"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("bigint"),
+        "word_chars": F.length(F.array_join("__llm_w", "")).cast("bigint"),
         "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("bigint"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
+        "n_dup_lines": (F.size("__llm_lines") - F.size(F.array_distinct("__llm_lines"))).cast("bigint"),
         "n_repeat_words": F.coalesce(covered["n"], F.lit(0)).cast("bigint"),
-    }).drop("_w", "_lines", "_h", "_p", "_at")
+    }).drop("__llm_w", "__llm_lines", "__llm_h", "__llm_p", "__llm_at")
 
 
 def host_key(host: Column) -> Column:
@@ -137,8 +137,8 @@ def remove_lines(
 ) -> DataFrame:
     """The documents without their boilerplate lines; other columns as they are."""
     lost = lost_words(docs, doc_id=doc_id, text=text, host=host, max_docs=max_docs, max_share=max_share).select(
-        F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"), "removed_lines")
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (host_key(F.col(host)) == F.col("_host")) & (text_key(F.col(text)) == F.col("_key"))
-    left = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("removed_lines"), F.xxhash64(normal_line(x))))
-    joined = docs.join(lost, same, "left")
-    return joined.withColumn(text, F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+        F.col("doc_id").alias("__llm_id"), F.col("host").alias("__llm_host"), F.col("text_key").alias("__llm_key"), F.col("removed_lines").alias("__llm_removed"))
+    same = F.col(doc_id).eqNullSafe(F.col("__llm_id")) & (host_key(F.col(host)) == F.col("__llm_host")) & (text_key(F.col(text)) == F.col("__llm_key"))
+    left = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("__llm_removed"), F.xxhash64(normal_line(x))))
+    new = F.when(F.col("__llm_removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    return docs.join(lost, same, "left").withColumn(text, new).select(*docs.columns)

@@ -236,8 +236,8 @@ def link_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def drop_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each group: the one with the smallest id; the columns of ``docs``."""
     classes = similar_texts(docs, doc_id=doc_id, text=text, **options)
-    first = classes.where("first").select(F.col("key").alias("_key"), F.col("class_id").alias("_id"), F.col("id_rows").alias("_rows"))
-    kept = docs.join(first, (text_key(F.col(text)) == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")))
+    first = classes.where("first").select(F.col("key").alias("__llm_key"), F.col("class_id").alias("__llm_id"), F.col("id_rows").alias("__llm_rows"))
+    kept = docs.join(first, (text_key(F.col(text)) == F.col("__llm_key")) & F.col(doc_id).eqNullSafe(F.col("__llm_id")))
     # A row that stands in the table several times: one of its copies stays.
-    once = kept.where("_rows > 1").dropDuplicates(["_key"])
-    return kept.where("_rows = 1").unionByName(once).select(*docs.columns)
+    once = kept.where("__llm_rows > 1").dropDuplicates(["__llm_key"])
+    return kept.where("__llm_rows = 1").unionByName(once).select(*docs.columns)

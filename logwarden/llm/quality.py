@@ -110,5 +110,5 @@ def rate(docs: DataFrame, model: Ordinal, *, text: str = "text", out: str = "rat
 def select_quality(docs: DataFrame, ratings: DataFrame, *, least_grade: int = 1, accept: float = ACCEPT, **options) -> DataFrame:
     """The documents whose probability of ``least_grade`` or more is at least ``accept``; the columns of ``docs``."""
     model = train(docs, ratings, **options)
-    rated = rate(docs, model, text=options.get("text", "text"), out="_rating")
-    return rated.where(F.get(F.col("_rating.tails"), F.lit(least_grade - 1)) >= accept).drop("_rating")
+    rated = rate(docs, model, text=options.get("text", "text"), out="__llm_rating")
+    return rated.where(F.get(F.col("__llm_rating.tails"), F.lit(least_grade - 1)) >= accept).drop("__llm_rating")

@@ -238,5 +238,5 @@ def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def redact_secrets(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents with every span replaced by ``[SECRET]`` (overlapping spans by one)."""
-    found = find_secrets(docs, text=text, out="_secrets", **options)
-    return found.withColumn(text, F.pandas_udf(cover, "string")(F.col(text), F.col("_secrets"))).drop("_secrets")
+    found = find_secrets(docs, text=text, out="__llm_secrets", **options)
+    return found.withColumn(text, F.pandas_udf(cover, "string")(F.col(text), F.col("__llm_secrets"))).drop("__llm_secrets")
