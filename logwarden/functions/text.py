@@ -71,14 +71,27 @@ def actor_or(actor: Column, default: str) -> Column:
     return F.coalesce(F.nullif(actor, F.lit("")), F.lit(default))
 
 
+def utc_text(ts: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss[.fraction]`` in UTC, whatever the session time zone is."""
+    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)).cast("string")
+
+
+def utc_date(ts: Column) -> Column:
+    """The day of an instant in UTC, whatever the session time zone is."""
+    days = F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days)
+
+
 def rfc3339(ts: Column) -> Column:
     """Seconds precision, UTC: the form timestamps have inside stored text."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.concat(F.replace(F.substring(utc_text(ts), 1, 19), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def rfc3339_nano(ts: Column) -> Column:
     """Fractional seconds without trailing zeros."""
-    return F.concat(F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
+    return F.concat(F.replace(utc_text(ts), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def json_text(js: Column) -> Column:

@@ -210,17 +210,7 @@ def flag_blocked_traffic(
 
 # --- analysis by a user function ------------------------------------------
 
-def stub_analysis(prompt: str, context: dict) -> dict:
-    """Deterministic stand-in for a model call."""
-    risk = {"HIGH": "high", "MEDIUM": "medium"}.get(context["priority"], "low")
-    return {
-        "summary": f"{context['event_name']} at {context['boundary']}", "risk_level": risk,
-        "confidence": 0.9 if risk == "high" else 0.6, "indicators": [context["type"]],
-        "recommended": "review", "model": "stub", "tokens_used": len(prompt),
-    }
-
-
-def analyze(df: DataFrame, fn: Callable[[str, dict], dict] = stub_analysis) -> DataFrame:
+def analyze(df: DataFrame, fn: Callable[[str, dict], dict]) -> DataFrame:
     """Add ``analysis`` where the strategy asks for it, by a user function.
 
     Only the eight columns the function sees travel to Python, in Arrow batches.

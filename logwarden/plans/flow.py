@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RuleSet
+from ..functions.text import utc_date
 from ..operators import access, agents, anomaly, approvals, dedup, detect, integrity, masking, normalize
 from ..operators import outbox, response, tasks
 from ..schemas import DETECTION
@@ -57,7 +58,7 @@ def chain(logs: DataFrame, rules: RuleSet, order: Sequence[str]) -> DataFrame:
     """Hash chains per service, boundary and day."""
     if not rules.enable_hash_chain:
         return logs
-    dated = logs.withColumn(sinks.DATE, F.to_date("timestamp").cast("string"))
+    dated = logs.withColumn(sinks.DATE, utc_date(F.col("timestamp")).cast("string"))
     built = integrity.build_hash_chain(dated, ["service_id", "boundary", sinks.DATE], order, rules.hmac_key)
     return built.drop(sinks.DATE)
 
@@ -111,7 +112,7 @@ def notify(records: DataFrame, rules: RuleSet, routing: dict[str, Sequence[str]]
     return outbox.render_payload(outbox.route_notifications(rows, routing, types), rules.brand, secret=secret)
 
 
-def delegate(made: DataFrame, rules: RuleSet, model: Callable[[dict], dict] = agents.stub_inference) -> DataFrame:
+def delegate(made: DataFrame, rules: RuleSet, model: Callable[[dict], dict]) -> DataFrame:
     chosen = agents.delegate_tasks(made, rules.allowed_actions, rules.min_severity)
     return agents.infer(agents.loop_guard(chosen, rules.max_loop_depth), model, rules.agent_provider)
 
@@ -130,6 +131,8 @@ def run_batch(
 
     A repeated batch id replaces the rows of its first attempt.
     """
+    if rules.agent and model is None:
+        raise ValueError("agents are enabled: pass the function that calls the model")
     spark = raw.sparkSession
     ready = prepare(raw, rules)
     sinks.append_table(ready.rejected, root, "rejected_logs", batch_id, "timestamp")
@@ -138,17 +141,18 @@ def run_batch(
     marked = sinks.append_logs(
         chain(ready.logs, rules, order), root, batch_id, rules.fail_on_persist_error, order)
 
-    def back(table: str) -> DataFrame:
-        return spark.read.parquet(f"{sinks.table_path(root, table)}/{sinks.BATCH}={batch_id}").drop(sinks.DATE)
+    def stored(df: DataFrame, table: str, date_from: str | None = None) -> DataFrame:
+        """Append the rows and read them again; a batch without rows is an empty table."""
+        sinks.append_table(df, root, table, batch_id, date_from)
+        path = f"{sinks.table_path(root, table)}/{sinks.BATCH}={batch_id}"
+        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     # Refused rows are looked at all the same: only their storage failed.
     logs = sinks.staged_logs(spark, root, batch_id)
-    sinks.append_table(detections_of(logs, rules), root, "detections", batch_id)
-    found = back("detections")
+    found = stored(detections_of(logs, rules), "detections")
 
     made = assign(found, rules, F.col("source_timestamp"), handled, has_default)
-    sinks.append_table(made, root, "assigned", batch_id, "created_at")
-    made = back("assigned")
+    made = stored(made, "assigned", "created_at")
     sinks.append_tasks(made, root, batch_id)
     sinks.append_table(made.select("task_id", "rule_id", "status", "error", F.col("created_at").alias("dispatched_at")),
                        root, "task_results", batch_id)
@@ -156,8 +160,7 @@ def run_batch(
     sinks.append_table(requests, root, "approvals", batch_id)
 
     if rules.response:
-        sinks.append_table(respond(found, rules, analyzer), root, "responded", batch_id, "created_at")
-        records = back("responded")
+        records = stored(respond(found, rules, analyzer), "responded", "created_at")
         sinks.append_table(response.flat_responses(records), root, "threat_responses", batch_id)
         sinks.append_table(notify(records, rules, routing or DEFAULT_ROUTING, types), root, "outbox", batch_id)
         if rules.block_mode == "REQUIRE_APPROVAL":
@@ -169,9 +172,8 @@ def run_batch(
         empty = respond(found, rules).limit(0)
         summaries = response.response_summary(empty)
     if rules.agent:
-        runs = delegate(made, rules, model or agents.stub_inference)
-        sinks.append_table(runs, root, "agent_runs", batch_id, "source_timestamp")
-        done = back("agent_runs")
+        runs = delegate(made, rules, model)
+        done = stored(runs, "agent_runs", "source_timestamp")
         sinks.append_table(agents.agent_task_results(done), root, "agent_task_results", batch_id, "dispatched_at")
         sinks.append_table(agents.agent_results_to_logs(done), root, "agent_logs", batch_id, "timestamp")
     warnings = F.when(F.col("degraded"), F.array("warning")).otherwise(F.array().cast("array<string>"))

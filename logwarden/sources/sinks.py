@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.text import text
+from ..functions.text import text, utc_date
 from ..plans.sizing import broadcast_if_small
 
 DATE = "event_date"
@@ -47,7 +47,7 @@ def append_table(
     Rows are rebalanced by date first: a date gets as many files as its size
     needs, a busy date is split, and no task writes a file for every date.
     """
-    dated = df.withColumn(DATE, F.to_date(date_from or TABLES[table]))
+    dated = df.withColumn(DATE, utc_date(F.col(date_from or TABLES[table])))
     if rebalance:
         dated = dated.hint("rebalance", F.col(DATE))
     dated.write.mode("overwrite").partitionBy(DATE).parquet(f"{table_path(root, table)}/{BATCH}={batch_id}")
@@ -117,7 +117,7 @@ def append_logs(
     if stored is None:
         stored = read_table(spark, root, table, logs.schema).filter(F.col(BATCH) != str(batch_id))
     if lookback_days is not None:
-        oldest = staged.agg(F.date_sub(F.min(F.to_date(TABLES["logs"])), lookback_days)).first()[0]
+        oldest = staged.agg(F.date_sub(F.min(utc_date(F.col(TABLES["logs"]))), lookback_days)).first()[0]
         stored = stored.filter(F.col(DATE) >= F.lit(oldest)) if oldest else stored
     marked = mark_duplicates(
         staged, stored.select("trace_id"), (*order_cols, "file_path", "row_index")).drop("file_path", "row_index")

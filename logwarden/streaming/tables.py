@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import RuleSet
+from ..functions.text import utc_date
 from ..operators import agents, anomaly, approvals, dedup, detect, integrity, outbox, response, tasks
 from ..plans import flow
 from ..schemas import DETECTION, LOG_SCHEMA
@@ -38,10 +39,10 @@ STAMP = "stamp"
 
 
 def split_late(df: DataFrame, watermark_us: Column | int | None, time_col: str = "timestamp") -> tuple[DataFrame, DataFrame]:
-    """(rows in time, rows older than the watermark)."""
+    """(rows in time, rows older than the watermark); a row without a time counts as new."""
     if watermark_us is None:
         return df, df.limit(0)
-    late = F.unix_micros(time_col) < watermark_us
+    late = F.coalesce(F.unix_micros(time_col) < watermark_us, F.lit(False))
     return df.filter(~late), df.filter(late)
 
 
@@ -59,7 +60,7 @@ class StreamFlow:
     lanes: int = 8
     delay_sec: int = 600
     analyzer: Callable[[str, dict], dict] | None = None
-    model: Callable[[dict], dict] = agents.stub_inference
+    model: Callable[[dict], dict] | None = None
     handlers: dict[str, Sequence[Callable[[DataFrame], None]]] = field(default_factory=dict)
     default_handler: Callable[[DataFrame], None] | None = None
     on_logs: Callable[[DataFrame], None] | None = None
@@ -72,6 +73,10 @@ class StreamFlow:
 
     # --- state ------------------------------------------------------------
 
+    def __post_init__(self) -> None:
+        if self.rules.agent and self.model is None:
+            raise ValueError("agents are enabled: pass the function that calls the model")
+
     def _snapshot(self, spark, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
         """The snapshot the batch before this one wrote."""
         if batch_id == 0:
@@ -109,7 +114,7 @@ class StreamFlow:
         if not self.rules.enable_hash_chain:
             return self._write(logs, "chained", batch_id, "timestamp")
         before = self._snapshot(logs.sparkSession, "chain_state", HEADS, batch_id)
-        dated = logs.withColumn("chain_date", F.to_date("timestamp").cast("string"))
+        dated = logs.withColumn("chain_date", utc_date(F.col("timestamp")).cast("string"))
         built = integrity.build_hash_chain(dated, CHAIN, ORDER, self.rules.hmac_key, lanes=self.lanes, heads=before)
         stored = self._write(built, "chained", batch_id, "timestamp")
         heads = self._write(integrity.chain_heads(stored, CHAIN, ORDER, self.rules.hmac_key), "chain_heads", batch_id)
@@ -117,7 +122,7 @@ class StreamFlow:
             heads.select(*HEADS.fieldNames()).withColumn("new", F.lit(1)))
         if watermark is not None:
             # Rows of a day behind the watermark are late: its chains are finished.
-            both = both.filter(F.col("chain_date") >= F.to_date(F.timestamp_micros(F.lit(watermark))).cast("string"))
+            both = both.filter(F.col("chain_date") >= utc_date(F.timestamp_micros(F.lit(watermark))).cast("string"))
         self._write(both.groupBy(*CHAIN, "chain_lane").agg(
             F.sum("n_rows").alias("n_rows"), F.max_by("head_hash", "new").alias("head_hash")), "chain_state", batch_id)
         return stored

@@ -11,6 +11,7 @@ from logwarden.operators import agents, approvals, detect, integrity, lookups, o
 from logwarden.plans import flow
 from logwarden.sources import sinks
 
+from . import stubs
 from .inputs import NORM_CTE, SERVICE, norm_logs, raw_logs, us
 from .intake import mask_sql
 from .registry import query
@@ -398,7 +399,7 @@ def planned(spark, sf):
 
 
 def record_df(spark, sf):
-    return flow.respond(all_rows(spark, sf), rules(), response.stub_analysis, carry=("event_id",))
+    return flow.respond(all_rows(spark, sf), rules(), stubs.stub_analysis, carry=("event_id",))
 
 
 @query("match_response_rule", f"WITH {RESP_CTE} SELECT event_id, rule_pos::BIGINT AS rule_pos, strategy FROM resp")
@@ -556,7 +557,7 @@ def _(spark, sf):
     def picky(prompt, context):
         if context["level"] == 5:
             raise ValueError("no answer")
-        return response.stub_analysis(prompt, context)
+        return stubs.stub_analysis(prompt, context)
 
     out = response.analyze(planned(spark, sf), picky)
     return out.select("event_id", "rule_pos", "analysis.summary", "analysis.risk_level", "analysis.error")
@@ -575,7 +576,7 @@ def _(spark, sf):
 def _(spark, sf):
     found = all_rows(spark, sf)
     made = tasks.dispatch_status(tasks.generate_tasks(found, rules().task_rules, carry=("trace_id",)))
-    summaries = response.response_summary(flow.respond(found, rules(), response.stub_analysis))
+    summaries = response.response_summary(flow.respond(found, rules(), stubs.stub_analysis))
     out = tasks.ingestion_result(norm_logs(spark, sf), made, summaries, True, True)
     return out.select(
         "trace_id", "hash_chain_valid", "masked", "degraded",
@@ -594,7 +595,7 @@ AGENT_CTE = f"""{TASK_CTE}, chosen AS (SELECT *, CASE WHEN origin = 'AI_AGENT' T
 
 def run_df(spark, sf):
     chosen = agents.delegate_tasks(task_df(spark, sf), ["AI_ANALYZE", "KILL_SWITCH"], "HIGH")
-    return agents.infer(agents.loop_guard(chosen, 5), agents.stub_inference, "stub")
+    return agents.infer(agents.loop_guard(chosen, 5), stubs.stub_inference, "stub")
 
 
 @query("delegate_tasks", f"WITH {AGENT_CTE} SELECT task_id FROM chosen")

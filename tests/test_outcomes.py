@@ -11,6 +11,7 @@ from logwarden.operators import agents, approvals, detect, lookups, outbox, resp
 from logwarden.plans import flow
 from logwarden.sources import logs as sources
 from logwarden.sources import sinks
+from parity import stubs
 from parity.rules import CONF
 
 NOW = None
@@ -207,7 +208,7 @@ def test_agents(spark):
     def model(task):
         if task["source_message"] == "fail":
             raise RuntimeError("down")
-        return agents.stub_inference(task)
+        return stubs.stub_inference(task)
     runs = agents.infer(agents.loop_guard(chosen), model, "prov")
     got = {r.source_trace_id: r for r in runs.collect()}
     assert (got["d4"].agent_status, got["d4"].loop_depth) == ("success", 5)
@@ -273,7 +274,7 @@ def test_run_batch(spark, sf):
     raw = raw_logs(spark, sf)
     raw = raw.select(*[c for c in raw.columns if c in LOG_SCHEMA.fieldNames()])
     root = tempfile.mkdtemp(prefix="lw-batch-")
-    result = flow.run_batch(raw, rules, root, 7, analyzer=response.stub_analysis)
+    result = flow.run_batch(raw, rules, root, 7, analyzer=stubs.stub_analysis)
     n = sinks.read_table(spark, root, "logs").count()
     assert result.count() == n == flow.prepare(raw, rules).logs.count()
     rows = result.select(F.sum(F.size("tasks_generated")).alias("t"), F.sum(F.size("threat_responses")).alias("r")).first()
@@ -281,3 +282,35 @@ def test_run_batch(spark, sf):
     assert rows.r == sinks.read_table(spark, root, "threat_responses").count() > 0
     assert sinks.read_table(spark, root, "pending_blocks").count() > 0 and sinks.read_table(spark, root, "outbox").count() > 0
     assert sinks.read_table(spark, root, "logs").filter(F.contains("message", F.lit("4111-1111"))).count() == 0
+
+
+def test_run_batch_without_findings(spark):
+    root = tempfile.mkdtemp(prefix="lw-quiet-")
+    raw = logs(spark, [{"message": f"all is well {i}", "trace_id": f"t{i}"} for i in range(5)])
+    rules = load_rules({**CONF, "authorization": {}, "agent": {"enabled": False}})
+    result = flow.run_batch(raw, rules, root, 1, analyzer=stubs.stub_analysis)
+    assert result.count() == 5 == sinks.read_table(spark, root, "logs").count()
+
+
+def test_agents_need_a_model(spark):
+    rules = load_rules({**CONF, "authorization": {}, "agent": {"enabled": True}})
+    with pytest.raises(ValueError, match="model"):
+        flow.run_batch(logs(spark, [{"message": "x"}]), rules, "/nowhere", 1)
+
+
+def test_times_do_not_follow_the_session_zone(spark):
+    from logwarden.functions.text import rfc3339, rfc3339_nano, utc_date
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    out = []
+    try:
+        for zone in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (1700000000500000, 1699163999000001, 0, -1, 1720000000000000)])).alias("us"))
+            ts = F.timestamp_micros("us")
+            out.append([tuple(r) for r in df.select(rfc3339(ts), rfc3339_nano(ts), utc_date(ts).cast("string")).collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert out[0] == out[1] == out[2]
+    assert out[0][0] == ("2023-11-14T22:13:20Z", "2023-11-14T22:13:20.5Z", "2023-11-14")
+    assert out[0][3][2] == "1969-12-31"
