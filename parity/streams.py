@@ -22,6 +22,7 @@ from .inputs import NORM_CTE, RAW_SQL, SERVICE, with_nested
 from .intake import mask_sql
 from .outcomes import BLOCKS_CTE, ROUTED_CTE, _net, request_df, task_df
 from .registry import query
+from .stubs import stub_inference
 from .rules import CONF, rules
 from .signals import ANOMALY, ANOMALY_CTE, DEDUP_CTE, fired_cte
 from logwarden.operators.normalize import normalize, split_valid
@@ -120,7 +121,7 @@ def _(spark, sf):
     root = scratch(spark)
     raw = raw_stream(spark, sf)
     raw = raw.select(*[c for c in raw.columns if c in LOG_SCHEMA.fieldNames()])
-    job = StreamFlow(r, f"{root}/tables", default_handler=lambda d: None)
+    job = StreamFlow(r, f"{root}/tables", default_handler=lambda d: None, model=stub_inference)
     job.start(raw, f"{root}/state", availableNow=True).awaitTermination()
     return sinks.read_table(spark, f"{root}/tables", "detections").select("trace_id", "rule_id")
 

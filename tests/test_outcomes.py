@@ -274,7 +274,7 @@ def test_run_batch(spark, sf):
     raw = raw_logs(spark, sf)
     raw = raw.select(*[c for c in raw.columns if c in LOG_SCHEMA.fieldNames()])
     root = tempfile.mkdtemp(prefix="lw-batch-")
-    result = flow.run_batch(raw, rules, root, 7, analyzer=stubs.stub_analysis)
+    result = flow.run_batch(raw, rules, root, 7, analyzer=stubs.stub_analysis, model=stubs.stub_inference)
     n = sinks.read_table(spark, root, "logs").count()
     assert result.count() == n == flow.prepare(raw, rules).logs.count()
     rows = result.select(F.sum(F.size("tasks_generated")).alias("t"), F.sum(F.size("threat_responses")).alias("r")).first()
@@ -286,7 +286,7 @@ def test_run_batch(spark, sf):
 
 def test_run_batch_without_findings(spark):
     root = tempfile.mkdtemp(prefix="lw-quiet-")
-    raw = logs(spark, [{"message": f"all is well {i}", "trace_id": f"t{i}"} for i in range(5)])
+    raw = logs(spark, *[{"message": f"all is well {i}", "trace_id": f"t{i}"} for i in range(5)])
     rules = load_rules({**CONF, "authorization": {}, "agent": {"enabled": False}})
     result = flow.run_batch(raw, rules, root, 1, analyzer=stubs.stub_analysis)
     assert result.count() == 5 == sinks.read_table(spark, root, "logs").count()
@@ -295,7 +295,7 @@ def test_run_batch_without_findings(spark):
 def test_agents_need_a_model(spark):
     rules = load_rules({**CONF, "authorization": {}, "agent": {"enabled": True}})
     with pytest.raises(ValueError, match="model"):
-        flow.run_batch(logs(spark, [{"message": "x"}]), rules, "/nowhere", 1)
+        flow.run_batch(logs(spark, {"message": "x"}), rules, "/nowhere", 1)
 
 
 def test_times_do_not_follow_the_session_zone(spark):

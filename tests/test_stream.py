@@ -12,6 +12,7 @@ from logwarden.streaming import keyed
 from logwarden.streaming.tables import StreamFlow, detect_stream, split_late
 from parity.inputs import SERVICE, norm_logs, raw_logs
 from parity.rules import CONF, HMAC_KEY, rules
+from parity.stubs import stub_inference
 
 
 def write_parts(df, n=4):
@@ -112,7 +113,7 @@ def test_stream_flow_equals_batch(spark, sf):
     feedback = tempfile.mkdtemp(prefix="lw-f-")
     seen = []
     job = StreamFlow(r, root, lanes=2, feedback=feedback, on_logs=lambda d: seen.append(d.count()),
-                     default_handler=lambda d: d.count())
+                     default_handler=lambda d: d.count(), model=stub_inference)
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     q = job.start(stream, check, availableNow=True)
     assert q.awaitTermination(400)
