@@ -169,24 +169,31 @@ def active_blocks(blocks: DataFrame, unblocks: DataFrame | None, as_of: Column,
 
 def flag_blocked_traffic(
     logs: DataFrame, blocks: DataFrame, ttl_sec: int = 0, ip: str = "ip", us: str = "event_us",
-    slice_sec: int = 3600, carry: Sequence[str] = ("trace_id",),
+    slice_sec: int = 3600, carry: Sequence[str] = ("trace_id",), lifts: DataFrame | None = None,
 ) -> DataFrame:
     """Was the address of an event blocked at that moment: an as-of lookup.
 
+    ``lifts`` has ip and lifted_at; the latest of block and lift holds, a lift at the
+    moment of a block wins.
+
     Traffic and blocks are cut into time slices per address, so a busy address is
     spread out; the latest block before a slice comes from one row per slice.
     Rows without an address are not shuffled.
     """
     unit = slice_sec * 1_000_000
-    moves = blocks.select(F.col("ip").alias("_ip"), F.unix_micros("blocked_at").alias("_at")).filter(text("_ip") != "")
+    moves = blocks.select(F.col("ip").alias("_ip"), F.unix_micros("blocked_at").alias("_at"), F.lit(0).alias("_lift"))
+    if lifts is not None:
+        moves = moves.unionByName(lifts.select(F.col("ip").alias("_ip"), F.unix_micros("lifted_at").alias("_at"), F.lit(1).alias("_lift")))
+    moves = moves.filter(text("_ip") != "")
     known = logs.filter(text(ip) != "")
     sliced = lambda c: F.floor(c / F.lit(unit)).cast("bigint")
     carried = [F.col(c).alias(c) for c in carry]
     empty = [F.lit(None).cast(logs.schema[c].dataType).alias(c) for c in carry]
-    points = known.select(F.col(ip).alias("_ip"), F.col(us).alias("_at"), F.lit(1).alias("_kind"), *carried).unionByName(
-        moves.select("_ip", "_at", F.lit(0).alias("_kind"), *empty)).withColumn("_slice", sliced(F.col("_at")))
+    points = known.select(F.col(ip).alias("_ip"), F.col(us).alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_lift"), *carried).unionByName(
+        moves.select("_ip", "_at", F.lit(0).alias("_kind"), "_lift", *empty)).withColumn("_slice", sliced(F.col("_at")))
 
-    block_at = F.when(F.col("_kind") == 0, F.col("_at"))
+    # Twice the time, plus 1 for a lift: the greatest is the latest move.
+    block_at = F.when(F.col("_kind") == 0, F.col("_at") * 2 + F.col("_lift"))
     before = points.groupBy("_ip", "_slice").agg(F.max(block_at).alias("_m")).withColumn("_before", F.max("_m").over(
         Window.partitionBy("_ip").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
     local = Window.partitionBy("_ip", "_slice").orderBy("_at", "_kind").rowsBetween(
@@ -194,7 +201,8 @@ def flag_blocked_traffic(
     found = (
         points.withColumn("_local", F.max(block_at).over(local)).join(before, ["_ip", "_slice"])
         .filter(F.col("_kind") == 1)
-        .withColumn("blocked_at_us", F.coalesce("_local", "_before"))
+        .withColumn("_move", F.coalesce("_local", "_before"))
+        .withColumn("blocked_at_us", F.when(F.col("_move").bitwiseAND(1) == 0, F.shiftright("_move", 1)))
     )
     inside = F.col("blocked_at_us").isNotNull()
     if ttl_sec > 0:

@@ -314,3 +314,15 @@ def test_times_do_not_follow_the_session_zone(spark):
     assert out[0] == out[1] == out[2]
     assert out[0][0] == ("2023-11-14T22:13:20Z", "2023-11-14T22:13:20.5Z", "2023-11-14")
     assert out[0][3][2] == "1969-12-31"
+
+
+def test_lifted_blocks_do_not_flag(spark):
+    us = 1_700_000_000_000_000
+    hour = 3_600_000_000
+    seen = spark.createDataFrame([(f"t{k}", "10.0.0.1", us + k * hour) for k in range(6)], "trace_id string, ip string, event_us bigint")
+    blocks = spark.createDataFrame([("10.0.0.1", us + hour), ("10.0.0.1", us + 4 * hour)], "ip string, at bigint").select("ip", F.timestamp_micros("at").alias("blocked_at"))
+    lifts = spark.createDataFrame([("10.0.0.1", us + 3 * hour)], "ip string, at bigint").select("ip", F.timestamp_micros("at").alias("lifted_at"))
+    rows = response.flag_blocked_traffic(seen, blocks, lifts=lifts).collect()
+    assert {r.trace_id: r.is_blocked for r in rows} == {"t0": False, "t1": True, "t2": True, "t3": False, "t4": True, "t5": True}
+    without = response.flag_blocked_traffic(seen, blocks).collect()
+    assert sum(r.is_blocked for r in without) == 5
