@@ -10,8 +10,8 @@ scores: the fold takes, step by step, the best-scored edge that spans two neighb
 segments, the leftmost of equals, which gives exactly the path of the merges.  Sums of
 scores (a unigram Viterbi) would be other pieces than the library's.
 
-``lattice`` is that plan for a table of words of any size.  ``encode`` runs it for the
-``max_words`` most frequent words of the input of up to ``max_chars`` characters; this
+``lattice`` is that plan for a table of words of any size.  ``encode`` runs it for the most
+frequent words of the input of up to ``max_chars`` characters, ``max_words`` at most; this
 dictionary has a proven bound and goes to the workers.  Words outside of it are folded
 in the workers by the same rule, so texts never leave their partition: sending all
 distinct words through the join and back to the documents would write about twice the
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, written
 
 BAR = "▁"
 MAX_WORDS = 1 << 17
@@ -182,10 +182,26 @@ def word_counts(docs: DataFrame, pieces: Pieces, *, text: str, max_chars: int, f
     return docs.select(F.col(text).cast("string")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, max_words: int) -> DataFrame:
+    """word: those above the lowest frequency class at which they are ``max_words`` or fewer.
+
+    A frequency class is an eighth of an octave, so the histogram has a few hundred rows at any
+    size of the input, and nothing is sorted.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    lowest, total = None, 0
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > max_words:
+            break
+        lowest = row["level"]
+    return counts.where(F.lit(False) if lowest is None else level >= lowest).select("word")
+
+
 def dictionary(docs: DataFrame, pieces: Pieces, *, text: str, max_words: int, max_chars: int) -> dict[str, list[int]]:
     """The ids of the most frequent words, from the lattice; ``max_words`` x ``max_chars`` numbers at most."""
-    top = word_counts(docs, pieces, text=text, max_chars=max_chars).orderBy(F.desc("n"), "word").limit(max_words).select("word")
-    rows = lattice(saved(top), pieces).toPandas()
+    counts = written(word_counts(docs, pieces, text=text, max_chars=max_chars))
+    rows = lattice(saved(frequent(counts, max_words)), pieces).toPandas()
     return {w: [i for s in segments for i in pieces.fallback(s)] for w, segments in zip(rows["word"], rows["segments"], strict=True)}
 
 
