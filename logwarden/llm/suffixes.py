@@ -19,6 +19,9 @@ bytes that their windows can reach on either side:
   their bytes, and those that are not the first of their name start earlier;
 * alone in its bucket: nothing repeats.
 
+Each task first settles what its own rows show about each other, so common strings do not
+gather in one place.
+
 Null texts are empty.  Null ids are the smallest.  Different texts of one id count as separate
 documents in order of a hash of the text.  Rows of equal id and text are judged
 as one document (all get its result).  Extra columns are not read.
@@ -42,6 +45,8 @@ from .ngram_join import MIX, mixed
 Q = 32
 LENGTH = 100
 NO_ID = -(1 << 63)
+CHUNK = 100_000
+FEW = 64
 
 
 def refine(buckets: np.ndarray, offset: int) -> np.ndarray:
@@ -86,42 +91,93 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return b[a].view(np.int64), context.view(np.int64), (first << 16) | ((a - first) << 8) | (last - first)
 
 
-def anchor_rows(length: int):
-    schema = pa.schema([("v", pa.int64()), ("ctx", pa.int64()), ("did", pa.int64()), ("tk", pa.int32()), ("place", pa.int64())])
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """True where a row of the sorted columns differs from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
+
+def spread(names: np.ndarray, rows: np.ndarray) -> None:
+    """Names of decided rows become one of a kind, so that they gather in no task."""
+    with np.errstate(over="ignore"):
+        names[rows] = mixed(names[rows].view(np.uint64) * MIX + rows.astype(np.uint64)).view(np.int64)
+
+
+def settle_anchors(v, ctx, did, tk, place):
+    """Columns of some anchors -> the same and their state: 0 to be compared with others, 1 decided
+    as not the first of its context, 2 decided as open.
+
+    What these rows show about each other needs no shuffle: one row stands for a
+    context, and of a bucket with more than ``FEW`` contexts here, two prove that it is open; the
+    windows of the others are named directly.  So a bucket takes a bounded number of rows from each
+    ``CHUNK`` anchors, however common it is.
+    """
+    order = np.lexsort((place, tk, did, ctx, v))
+    v, ctx, did, tk, place = (c[order] for c in (v, ctx, did, tk, place))
+    state = np.zeros(len(v), np.int8)
+    first = runs(v, ctx)
+    state[~first] = 1
+    at = np.flatnonzero(first)
+    starts = np.flatnonzero(runs(v[at]))
+    size = np.diff(np.append(starts, len(at)))
+    rank = np.arange(len(at)) - np.repeat(starts, size)
+    state[at[(np.repeat(size, size) > FEW) & (rank > 1)]] = 2
+    spread(v, np.flatnonzero(state))
+    return v, ctx, did, tk, place, state
+
+
+def settle_windows(name, did, tk, start):
+    """Columns of some windows -> the same and whether an equal window here starts earlier."""
+    order = np.lexsort((start, tk, did, name))
+    name, did, tk, start = (c[order] for c in (name, did, tk, start))
+    later = ~runs(name)
+    spread(name, np.flatnonzero(later))
+    return name, did, tk, start, later
+
+
+def in_chunks(read, settle, names: tuple[str, ...]):
+    """Batches of documents -> batches of ``settle`` over the columns ``read`` gives, ``CHUNK`` rows or more each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        size = 0
+
+        def out():
+            columns = settle(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+
         for batch in batches:
-            parts: list[tuple] = []
-            size = 0
-            for did, tk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                v, ctx, place = anchors(text.as_py().encode("utf-8", "replace"), length)
-                parts.append((v, ctx, np.full(len(v), did), np.full(len(v), tk, np.int32), place))
-                size += len(v)
-                if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+            for i in range(batch.num_rows):
+                part = read(*(batch.column(c)[i].as_py() for c in range(batch.num_columns)))
+                parts.append(part)
+                size += len(part[0])
+                if size >= CHUNK:
+                    yield out()
                     parts, size = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+        if parts:
+            yield out()
 
     return run
 
 
+def anchor_rows(length: int):
+    def read(did: int, tk: int, text: str):
+        v, ctx, place = anchors(text.encode("utf-8", "replace"), length)
+        return v, ctx, np.full(len(v), did), np.full(len(v), tk, np.int32), place
+
+    return in_chunks(read, settle_anchors, ("v", "ctx", "did", "tk", "place", "state"))
+
+
 def window_rows(length: int):
     """Documents with marks -> name and start of every window of their open anchors."""
-    schema = pa.schema([("name", pa.int64()), ("did", pa.int64()), ("tk", pa.int32()), ("start", pa.int64())])
+    def read(did: int, tk: int, text: str, marks: list[int]):
+        data = text.encode("utf-8", "replace")
+        starts = [p for m in marks if m & 1 for p in range(m >> 17, (m >> 17) + (m >> 1 & 255) + 1)]
+        names = np.array([xxhash.xxh64_intdigest(data[p:p + length]) for p in starts], np.uint64).view(np.int64)
+        return names, np.full(len(starts), did), np.full(len(starts), tk, np.int32), np.array(starts, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for did, tk, text, marks in zip(
-                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                data = text.as_py().encode("utf-8", "replace")
-                starts = [p for m in marks.as_py() if m & 1 for p in range(m >> 17, (m >> 17) + (m >> 1 & 255) + 1)]
-                names = np.array([xxhash.xxh64_intdigest(data[p:p + length]) for p in starts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(names), pa.array(np.full(len(starts), did)), pa.array(np.full(len(starts), tk, np.int32)),
-                    pa.array(np.array(starts, np.int64))], schema=schema)
-
-    return run
+    return in_chunks(read, settle_windows, ("name", "did", "tk", "start", "later"))
 
 
 def removed_spans(data: bytes, marks, starts, length: int) -> list[tuple[int, int]]:
@@ -144,12 +200,14 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def repeat_marks(own: DataFrame, length: int) -> DataFrame:
     """did, tk, mark: place << 1, plus 1 if the windows of the anchor are still open."""
-    rows = own.mapInArrow(anchor_rows(length), "v bigint, ctx bigint, did bigint, tk int, place bigint")
+    rows = own.mapInArrow(anchor_rows(length), "v bigint, ctx bigint, did bigint, tk int, place bigint, state tinyint")
     same = Window.partitionBy("v", "ctx").orderBy("did", "tk", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bucket = Window.partitionBy("v")
     is_first = (F.first("did").over(same) == F.col("did")) & (F.first("tk").over(same) == F.col("tk")) & (F.first("place").over(same) == F.col("place"))
     ranked = rows.withColumn("first", is_first).withColumn("open", F.min("ctx").over(bucket) != F.max("ctx").over(bucket))
-    return ranked.where("open or not first").select("did", "tk", (F.col("place") * 2 + F.col("first").cast("int")).alias("mark"))
+    ranked = ranked.withColumn("first", F.when(F.col("state") == 0, F.col("first")).otherwise(F.col("state") == 2))
+    return ranked.where("open or state > 0 or not first").select(
+        "did", "tk", (F.col("place") * 2 + F.col("first").cast("int")).alias("mark"))
 
 
 def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -160,10 +218,12 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     marks = written(repeat_marks(own, length))
     per_doc = marks.groupBy("did", "tk").agg(F.collect_set("mark").alias("marks"))
     open_docs = per_doc.where(F.exists("marks", lambda m: m.bitwiseAND(1) == 1))
-    windows = own.join(open_docs, ["did", "tk"]).mapInArrow(window_rows(length), "name bigint, did bigint, tk int, start bigint")
+    windows = own.join(open_docs, ["did", "tk"]).mapInArrow(
+        window_rows(length), "name bigint, did bigint, tk int, start bigint, later boolean")
     order = Window.partitionBy("name").orderBy("did", "tk", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = ~((F.first("did").over(order) == F.col("did")) & (F.first("tk").over(order) == F.col("tk")) & (F.first("start").over(order) == F.col("start")))
-    starts = windows.withColumn("later", later).where("later").groupBy("did", "tk").agg(F.collect_set("start").alias("starts"))
+    is_first = (F.first("did").over(order) == F.col("did")) & (F.first("tk").over(order) == F.col("tk")) & (F.first("start").over(order) == F.col("start"))
+    starts = windows.withColumn("later", F.col("later") | ~is_first).where("later").groupBy("did", "tk").agg(
+        F.collect_set("start").alias("starts"))
     return own.join(per_doc, ["did", "tk"], "left").join(starts, ["did", "tk"], "left")
 
 

@@ -171,6 +171,26 @@ def test_suffixes_against_brute_force(docs):
     assert got == brute_removed(rows, 100)
 
 
+def test_suffixes_with_a_string_in_many_contexts(docs):
+    """More contexts of one string than ``FEW`` in one task, and the same contexts in other tasks."""
+    common = prose(7, 14)
+    bodies = [f"{prose(100 + k, 12)} {common} {prose(300 + k % 90, 12)}" for k in range(150)]
+    rows = [(k, bodies[k]) for k in range(150)] + [(200 + k, bodies[3 * k][40:]) for k in range(40)]
+    for parts in (1, 5):
+        got = {r.doc_id: bytes(r.kept) for r in suffixes.without_repeats(docs(*[(i, t, "a") for i, t in rows]).repartition(parts)).collect()}
+        assert got == brute_removed(rows, 100)
+
+
+def test_settling_sends_few_rows_of_a_common_bucket():
+    n = 5000
+    same, ids = np.zeros(n, np.int64), np.arange(n)
+    for contexts in (same, ids % 10, ids):
+        v, ctx, did, tk, place, state = suffixes.settle_anchors(same, contexts, ids, np.zeros(n, np.int32), same)
+        assert (state == 0).sum() <= suffixes.FEW and (v[state == 0] == 0).all() and len(set(v[state > 0])) == (state > 0).sum()
+    name, did, tk, start, later = suffixes.settle_windows(same, ids, np.zeros(n, np.int32), same)
+    assert (~later).sum() == 1 and did[~later] == [0] and len(set(name)) == n
+
+
 # --- SentencePiece -----------------------------------------------------------
 
 needs_model = pytest.mark.skipif(not os.path.exists(PIECES), reason="no vocabulary file here")
@@ -196,6 +216,14 @@ def test_lattice_equals_the_fold(spark):
     assert {r.word: [i for s in r.segments for i in pieces.fallback(s)] for r in rows} == {w: pieces.fold(w) for w in words}
 
 
+def test_frequent_words_are_bounded(spark):
+    counts = spark.range(1, 1001).select(F.concat(F.lit("w"), "id").alias("word"), F.col("id").alias("n"))
+    for limit in (0, 1, 10, 300, 1000, 5000):
+        kept = {r.word for r in sentencepieces.frequent(counts, limit).collect()}
+        assert len(kept) <= limit and kept == {f"w{i}" for i in range(1001 - len(kept), 1001)}
+        assert len(kept) == 1000 if limit >= 1000 else len(kept) >= limit * 0.5 - 100
+
+
 # --- language model ----------------------------------------------------------
 
 def test_language_model_base_and_probability(docs):
