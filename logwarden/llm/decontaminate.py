@@ -121,19 +121,23 @@ def find_contamination(
     window: int = WINDOW, block_chars: int = BLOCK_CHARS, out: str = "contamination",
 ) -> DataFrame:
     """All columns of ``docs`` and ``out``: n_words, first / last (hit word ranges), items (ids as text, sorted)."""
-    found: Column | None = None
-    for block in item_blocks(items, item, item_text, block_chars):
-        hits = scan_udf(block, window)(F.col(text))
-        if found is None:
-            docs, found = docs.withColumn(out, hits), F.col(out)
-        else:  # a further block: ranges are joined below
-            docs = docs.withColumn("__llm_more", hits).withColumn(out, F.struct(
-                found["n_words"].alias("n_words"), F.concat(found["first"], F.col("__llm_more.first")).alias("first"),
-                F.concat(found["last"], F.col("__llm_more.last")).alias("last"),
-                F.array_sort(F.array_union(found["items"], F.col("__llm_more.items"))).alias("items"))).drop("__llm_more")
+    for i, block in enumerate(item_blocks(items, item, item_text, block_chars)):
+        docs = with_hits(docs, block, window, text, out, more=i > 0)
     return docs
 
 
+def with_hits(docs: DataFrame, block: list[tuple[str, str]], window: int, text: str, out: str, more: bool) -> DataFrame:
+    """The hits of one block in ``out``; with ``more`` they are joined to those in it."""
+    hits = scan_udf(block, window)(F.col(text))
+    if not more:
+        return docs.withColumn(out, hits)
+    found = F.col(out)
+    return docs.withColumn("__llm_more", hits).withColumn(out, F.struct(
+        found["n_words"].alias("n_words"), F.concat(found["first"], F.col("__llm_more.first")).alias("first"),
+        F.concat(found["last"], F.col("__llm_more.last")).alias("last"),
+        F.array_sort(F.array_union(found["items"], F.col("__llm_more.items"))).alias("items"))).drop("__llm_more")
+
+
 def n_hit(hits: Column) -> Column:
     """Number of words in at least one range, whatever ranges overlap."""
     ranges = F.array_sort(F.arrays_zip(hits["first"], hits["last"]))
@@ -160,19 +164,42 @@ def with_spans(df: DataFrame, *, text: str = "text", hits: str = "contamination"
     return df.withColumn(out, F.pandas_udf(original_spans, SPANS)(F.col(text), F.col(hits)["first"], F.col(hits)["last"]))
 
 
-def cut_spans(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
-    """The text without the hit words and what stands between them."""
-    out = []
-    for text, first, last in zip(texts, firsts, lasts, strict=True):
-        if text is not None and len(first):
-            at = [m.span() for m in WORD.finditer(text)]
-            for a, b in reversed(merged(list(zip(first, last, strict=True)))):
-                text = text[:at[a][0]] + text[at[b][1]:]
-        out.append(text)
-    return pd.Series(out)
+def cut(text: str | None, ranges: list[tuple[int, int]]) -> str | None:
+    """The text without the words in the ranges and what stands between them."""
+    if text is not None and ranges:
+        at = [m.span() for m in WORD.finditer(text)]
+        for a, b in reversed(merged(ranges)):
+            text = text[:at[a][0]] + text[at[b][1]:]
+    return text
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """The documents with benchmark passages cut out of the text; no document goes."""
-    found = find_contamination(docs, items, text=text, out="__llm_hits", **options)
-    return found.withColumn(text, F.pandas_udf(cut_spans, "string")(F.col(text), F.col("__llm_hits.first"), F.col("__llm_hits.last"))).drop("__llm_hits")
+def cut_udf(block: list[tuple[str, str]], window: int):
+    """Texts and the ranges of earlier blocks -> texts without those and without the hits of this block."""
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        matcher = Matcher(block, window)
+        for texts, firsts, lasts in batches:
+            yield pd.Series([
+                cut(t, [*zip(first, last, strict=True), *matcher.scan(t)[1]])
+                for t, first, last in zip(texts, firsts, lasts, strict=True)], dtype=object)
+
+    return run
+
+
+def remove_contamination(
+    docs: DataFrame, items: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The documents with benchmark passages cut out of the text; no document goes.
+
+    The last block (as a rule the only one) is searched and cut by the same function, so a task
+    has one Python worker for it.
+    """
+    hits = "__llm_hits"
+    blocks = item_blocks(items, item, item_text, block_chars)
+    found, last, more = docs, next(blocks), False
+    for block in blocks:
+        found, last, more = with_hits(found, last, window, text, hits, more), block, True
+    none = F.array().cast("array<int>")
+    first_words, last_words = (F.col(hits)["first"], F.col(hits)["last"]) if more else (none, none)
+    return found.withColumn(text, cut_udf(last, window)(F.col(text), first_words, last_words)).drop(hits)

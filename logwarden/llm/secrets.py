@@ -195,21 +195,14 @@ def discovery_limits(histogram: list[tuple[int, int, int]], fdr: float) -> dict[
     return limits
 
 
-def spans_udf(limits: dict[int, int], uniform_alpha: float, rate: float):
-    @F.pandas_udf(SPANS)
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            spans = []
-            if text:
-                spans = pattern_spans(text)
-                found = [(s, 3, e) for s, e, level, b, random in candidates(text, spans, uniform_alpha, rate)
-                         if random and b >= limits.get(level, BINS)]
-                spans = sorted(spans + found)
-            out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
-        return pd.Series(out)
-
-    return run
+def all_spans(text: str | None, limits: dict[int, int], uniform_alpha: float, rate: float) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the patterns and of the candidates whose bin is accepted, sorted."""
+    if not text:
+        return []
+    spans = pattern_spans(text)
+    found = [(s, 3, e) for s, e, level, b, random in candidates(text, spans, uniform_alpha, rate)
+             if random and b >= limits.get(level, BINS)]
+    return sorted(spans + found)
 
 
 def find_secrets(
@@ -217,26 +210,41 @@ def find_secrets(
     uniform_alpha: float = UNIFORM_ALPHA, switch_rate: float = SWITCH_RATE,
 ) -> DataFrame:
     """All columns of ``docs`` and ``out``: the spans by start, then kind."""
-    rows = p_value_histogram(docs, text, uniform_alpha, switch_rate).collect()  # 32 x BINS rows at most
-    limits = discovery_limits([tuple(r) for r in rows], fdr)
-    return docs.withColumn(out, spans_udf(limits, uniform_alpha, switch_rate)(F.col(text)))
+    limits = accepted_limits(docs, text, fdr, uniform_alpha, switch_rate)
+
+    @F.pandas_udf(SPANS)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([
+            [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(t, limits, uniform_alpha, switch_rate)] for t in texts], dtype=object)
 
+    return docs.withColumn(out, run(F.col(text)))
 
-def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, found in zip(texts, spans, strict=True):
-        if text is not None and len(found):
-            parts, at = [], 0
-            for s in found:
-                if s["end"] > at:
-                    parts += [text[at:max(at, s["start"])], "[SECRET]" if s["start"] >= at else ""]
-                    at = s["end"]
-            text = "".join(parts) + text[at:]
-        out.append(text)
-    return pd.Series(out)
-
-
-def redact_secrets(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
+
+def accepted_limits(docs: DataFrame, text: str, fdr: float, uniform_alpha: float, rate: float) -> dict[int, int]:
+    rows = p_value_histogram(docs, text, uniform_alpha, rate).collect()  # 32 x BINS rows at most
+    return discovery_limits([tuple(r) for r in rows], fdr)
+
+
+def cover(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+    """The text with ``[SECRET]`` for every span, for overlapping spans once."""
+    if not spans:
+        return text
+    parts, at = [], 0
+    for start, _, end in spans:
+        if end > at:
+            parts += [text[at:max(at, start)], "[SECRET]" if start >= at else ""]
+            at = end
+    return "".join(parts) + text[at:]
+
+
+def redact_secrets(
+    docs: DataFrame, *, text: str = "text", fdr: float = FDR, uniform_alpha: float = UNIFORM_ALPHA, switch_rate: float = SWITCH_RATE,
+) -> DataFrame:
     """The documents with every span replaced by ``[SECRET]`` (overlapping spans by one)."""
-    found = find_secrets(docs, text=text, out="__llm_secrets", **options)
-    return found.withColumn(text, F.pandas_udf(cover, "string")(F.col(text), F.col("__llm_secrets"))).drop("__llm_secrets")
+    limits = accepted_limits(docs, text, fdr, uniform_alpha, switch_rate)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([cover(t, all_spans(t, limits, uniform_alpha, switch_rate)) for t in texts], dtype=object)
+
+    return docs.withColumn(text, run(F.col(text)))

@@ -25,9 +25,11 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -157,7 +159,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
             lambda b, i: F.substring(F.col("word"), b, F.get(F.col("bounds"), i + 1) - b)).alias("segments"))
 
 
-def word_counts(docs: DataFrame, pieces: Pieces, *, text: str, max_chars: int, flush: int = 200_000) -> DataFrame:
+def word_counts(docs: DataFrame, pieces: Pieces, *, text: str, max_chars: int, flush: int = 50_000) -> DataFrame:
     """word, n over all texts, for words of up to ``max_chars`` characters; counted per task first."""
     pattern = pieces.pattern
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -198,11 +200,11 @@ def frequent(counts: DataFrame, max_words: int) -> DataFrame:
     return counts.where(F.lit(False) if lowest is None else level >= lowest).select("word")
 
 
-def dictionary(docs: DataFrame, pieces: Pieces, *, text: str, max_words: int, max_chars: int) -> dict[str, list[int]]:
+def dictionary(docs: DataFrame, pieces: Pieces, *, text: str, max_words: int, max_chars: int) -> dict[str, array]:
     """The ids of the most frequent words, from the lattice; ``max_words`` x ``max_chars`` numbers at most."""
     counts = written(word_counts(docs, pieces, text=text, max_chars=max_chars))
     rows = lattice(saved(frequent(counts, max_words)), pieces).toPandas()
-    return {w: [i for s in segments for i in pieces.fallback(s)] for w, segments in zip(rows["word"], rows["segments"], strict=True)}
+    return {w: array("i", [i for s in segments for i in pieces.fallback(s)]) for w, segments in zip(rows["word"], rows["segments"], strict=True)}
 
 
 def encode(
@@ -214,24 +216,25 @@ def encode(
     known = dictionary(docs, pieces, text=text, max_words=max_words, max_chars=max_chars)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, known))
 
-    @F.pandas_udf(ENCODED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(ENCODED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces, known = shared.value
         find = re.compile(pieces.pattern).findall
         for texts in batches:
-            ids, exact, more = [], [], {}
+            flat, ends, exact, more = array("i"), [0], [], {}
             for t in texts:
-                row: list[int] = []
+                t = t.as_py() or ""
                 for w in find(BAR + t.replace(" ", BAR)) if t else ():
                     p = known.get(w) or more.get(w)
                     if p is None:
-                        p = more[w] = pieces.fold(w)
-                        if len(more) > 100_000:
+                        p = more[w] = array("i", pieces.fold(w))
+                        if len(more) > 50_000:
                             more.clear()
-                    row += p
-                ids.append(row)
-                exact.append(pieces.decode(row) == (t or ""))
-            yield pd.DataFrame({"ids": ids, "exact": exact})
+                    flat.extend(p)
+                exact.append(pieces.decode(flat[ends[-1]:]) == t)
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+            yield pa.StructArray.from_arrays([ids, pa.array(exact, pa.bool_())], names=["ids", "exact"])
 
     return docs.withColumn(out, run(F.col(text)))
 
