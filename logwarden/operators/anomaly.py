@@ -27,7 +27,7 @@ def sliding_counts(
 ) -> DataFrame:
     """Per row the rows of its key in [t - w, t] that arrived up to it, per width.
 
-    ``order`` breaks ties between equal times and must be unique within a key.
+    ``order`` breaks ties between equal times; with ``carry`` it must tell the rows of a key apart.
     Rows for which ``emit`` is false count but give no output.
     """
     slice_us = slice_us or max(1, min(widths_us.values()))
@@ -47,7 +47,7 @@ def sliding_counts(
         .select("_k", "_slice", "_before")
     )
     # A probe sorts before the rows of its own time: those are still inside.
-    local = Window.partitionBy("_k", "_slice").orderBy("at", "is_row", "_o").rowsBetween(
+    local = Window.partitionBy("_k", "_slice").orderBy("at", "is_row", "_o", *carry).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     numbered = rows.withColumn("_local", F.sum("is_row").over(local))
     counted = (

@@ -98,11 +98,15 @@ def normalize_enums(df: DataFrame, service_id: str, now: Column | None = None) -
     })
 
 
-def assign_trace_id(df: DataFrame, random: bool = False) -> DataFrame:
-    """Give blank trace ids a value; from the content, so that a retry agrees."""
+def assign_trace_id(df: DataFrame, random: bool = False, nth: Column | None = None) -> DataFrame:
+    """Give blank trace ids a value; from the content, so that a retry agrees.
+
+    ``nth``, a number that no two rows share, tells equal records without an id apart.
+    """
     made = F.uuid() if random else content_id(
         text("message"), text("boundary"), text("actor_id"), text("type"),
         F.col("level").cast("string"), F.unix_micros("timestamp").cast("string"),
+        *([] if nth is None else [nth.cast("string")]),
     )
     return df.withColumn("trace_id", F.coalesce(F.nullif(F.col("trace_id"), F.lit("")), made))
 
@@ -125,8 +129,8 @@ def sanitize_input(df: DataFrame) -> DataFrame:
     return df.withColumn("input", sanitize_text(text("input")))
 
 
-def normalize(df: DataFrame, service_id: str, now: Column | None = None) -> DataFrame:
+def normalize(df: DataFrame, service_id: str, now: Column | None = None, nth: Column | None = None) -> DataFrame:
     """All of the above for rows that passed ``split_valid``; one narrow stage."""
     df = normalize_message(conform(df))
     df = normalize_enums(df, service_id, now)
-    return sanitize_input(normalize_details(cap_arrays(assign_trace_id(df))))
+    return sanitize_input(normalize_details(cap_arrays(assign_trace_id(df, nth=nth))))

@@ -23,6 +23,9 @@ from ..sources import sinks
 
 KEY = ("trace_id",)
 
+#: What identifies one log of a stored batch: many logs can share a trace id.
+ROW = ("trace_id", sinks.ROW_ID)
+
 
 @dataclass
 class Prepared:
@@ -45,13 +48,18 @@ def mask(logs: DataFrame, rules: RuleSet) -> DataFrame:
     return masking.remask_leaks(out, rules.preserve_fields) if rules.verify_masking else out
 
 
-def prepare(raw: DataFrame, rules: RuleSet, now: Column | None = None) -> Prepared:
-    """Authorise on the raw values, reject, normalise, mask: one narrow stage."""
+def prepare(raw: DataFrame, rules: RuleSet, now: Column | None = None, tell_apart: bool = False) -> Prepared:
+    """Authorise on the raw values, reject, normalise, mask: one narrow stage.
+
+    With ``tell_apart`` equal records without a trace id get different ones; the result must then
+    be written before it is used twice.
+    """
     denied = None
     if rules.authorization:
         raw, denied = access.authorize_writes(raw, rules.client_roles, rules.roles, rules.default_role)
     valid, rejected = normalize.split_valid(normalize.conform(raw))
-    return Prepared(mask(normalize.normalize(valid, rules.service_id, now), rules), rejected, denied)
+    nth = F.monotonically_increasing_id() if tell_apart else None
+    return Prepared(mask(normalize.normalize(valid, rules.service_id, now, nth), rules), rejected, denied)
 
 
 def chain(logs: DataFrame, rules: RuleSet, order: Sequence[str]) -> DataFrame:
@@ -127,14 +135,14 @@ def run_batch(
     routing: dict[str, Sequence[str]] | None = None, types: Sequence[str] = outbox.CHANNEL_TYPES,
     handled: Sequence[str] = (), has_default: bool = True,
 ) -> DataFrame:
-    """Run one batch into the tables under ``root``; return the result per log.
+    """Run one batch into the tables under ``root``; return the result per log, by trace_id and row_id.
 
     A repeated batch id replaces the rows of its first attempt.
     """
     if rules.agent and model is None:
         raise ValueError("agents are enabled: pass the function that calls the model")
     spark = raw.sparkSession
-    ready = prepare(raw, rules)
+    ready = prepare(raw, rules, tell_apart=True)
     sinks.append_table(ready.rejected, root, "rejected_logs", batch_id, "timestamp")
     if ready.denied is not None:
         sinks.append_table(ready.denied, root, "denied_logs", batch_id, "timestamp")
@@ -149,9 +157,9 @@ def run_batch(
 
     # Refused rows are looked at all the same: only their storage failed.
     logs = sinks.staged_logs(spark, root, batch_id)
-    found = stored(detections_of(logs, rules), "detections")
+    found = stored(detections_of(logs, rules, ROW), "detections")
 
-    made = assign(found, rules, F.col("source_timestamp"), handled, has_default)
+    made = assign(found, rules, F.col("source_timestamp"), handled, has_default, [sinks.ROW_ID], ROW)
     made = stored(made, "assigned", "created_at")
     sinks.append_tasks(made, root, batch_id)
     sinks.append_table(made.select("task_id", "rule_id", "status", "error", F.col("created_at").alias("dispatched_at")),
@@ -160,17 +168,16 @@ def run_batch(
     sinks.append_table(requests, root, "approvals", batch_id)
 
     if rules.response:
-        records = stored(respond(found, rules, analyzer), "responded", "created_at")
+        records = stored(respond(found, rules, analyzer, [sinks.ROW_ID], ROW), "responded", "created_at")
         sinks.append_table(response.flat_responses(records), root, "threat_responses", batch_id)
         sinks.append_table(notify(records, rules, routing or DEFAULT_ROUTING, types), root, "outbox", batch_id)
         if rules.block_mode == "REQUIRE_APPROVAL":
             planned = response.expand_strategy(response.extract_target(
                 response.match_response_rule(found, rules.response_rules, rules.default_strategy)))
             sinks.append_table(response.block_mode(planned, rules.block_mode)[1], root, "pending_blocks", batch_id)
-        summaries = response.response_summary(records)
+        summaries = response.response_summary(records, [sinks.ROW_ID])
     else:
-        empty = respond(found, rules).limit(0)
-        summaries = response.response_summary(empty)
+        summaries = response.response_summary(respond(found, rules, carry=[sinks.ROW_ID], id_cols=ROW).limit(0), [sinks.ROW_ID])
     if rules.agent:
         runs = delegate(made, rules, model)
         done = stored(runs, "agent_runs", "source_timestamp")
@@ -179,4 +186,4 @@ def run_batch(
     warnings = F.when(F.col("degraded"), F.array("warning")).otherwise(F.array().cast("array<string>"))
     return tasks.ingestion_result(
         marked, made.withColumn("trace_id", F.col("source_trace_id")), summaries, rules.enable_hash_chain,
-        rules.enable_masking, warnings=warnings)
+        rules.enable_masking, ROW, warnings)

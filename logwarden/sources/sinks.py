@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.crypto import content_id
 from ..functions.text import text, utc_date
 from ..plans.sizing import broadcast_if_small
 
 DATE = "event_date"
 BATCH = "batch_id"
+ROW_ID = "row_id"
 
 # The append-only tables and the column that dates their rows.
 TABLES = {
@@ -93,9 +95,22 @@ def mark_duplicates(
         "warning", F.when(F.col("degraded"), warning).otherwise("")).drop("_rid", "_first", "_sid", "_stored")
 
 
+def row_id(batch_id: int | str) -> Column:
+    """The identity of a row of a written batch: where it stands in the files.
+
+    Many logs can share a trace id.  The number of the task that wrote the file counts, not
+    the random part of its name, so the same rows written in the same order get the same ids.
+    """
+    file = F.col("_metadata.file_path")
+    place = [F.regexp_extract(file, r"([^/]*)/part-(\d+)-", 1), F.regexp_extract(file, r"([^/]*)/part-(\d+)-", 2),
+             F.regexp_extract(file, r"\.c(\d+)\.", 1)]
+    return content_id(F.lit(str(batch_id)), *place, F.col("_metadata.row_index").cast("string"))
+
+
 def staged_logs(spark: SparkSession, root: str, batch_id: int | str, table: str = "logs") -> DataFrame:
-    """All rows of one batch as they were before uniqueness was tested."""
-    return spark.read.parquet(f"{table_path(root, table + '_staged')}/{BATCH}={batch_id}").drop(DATE)
+    """All rows of one batch as they were before uniqueness was tested, each with a ``row_id``."""
+    staged = spark.read.parquet(f"{table_path(root, table + '_staged')}/{BATCH}={batch_id}").drop(DATE)
+    return staged if ROW_ID in staged.columns else staged.withColumn(ROW_ID, row_id(batch_id))
 
 
 def append_logs(
@@ -106,14 +121,16 @@ def append_logs(
 
     The batch is written to a staging table first: what follows does not compute
     it again, and the position in its files tells equal records apart.
-    ``strict`` raises instead when any row is refused.  ``lookback_days`` looks
+    They have a ``row_id`` then, made here unless ``logs`` has it.  ``strict`` raises instead when any row is refused.  ``lookback_days`` looks
     for stored trace ids only in the days before the batch; without it all days
     are searched.  ``stored`` gives the rows to search instead.
     """
     spark = logs.sparkSession
     # Chained logs are grouped by day already.
     append_table(logs, root, table + "_staged", batch_id, TABLES["logs"], rebalance=False)
-    staged = staged_logs(spark, root, batch_id, table).select(*logs.columns, "_metadata.file_path", "_metadata.row_index")
+    staged = staged_logs(spark, root, batch_id, table)
+    staged = staged.select(
+        *logs.columns, *([] if ROW_ID in logs.columns else [ROW_ID]), "_metadata.file_path", "_metadata.row_index")
     if stored is None:
         stored = read_table(spark, root, table, logs.schema).filter(F.col(BATCH) != str(batch_id))
     if lookback_days is not None:

@@ -33,6 +33,7 @@ HEADS = T.StructType([
 ])
 KEPT = T.StructType([T.StructField("key", T.StringType()), T.StructField("last_us", T.LongType())])
 MARKS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("max_us", T.LongType())])
+ROWS = T.StructType([*LOG_SCHEMA.fields, T.StructField(sinks.ROW_ID, T.StringType())])
 CHAIN = ["service_id", "boundary", "chain_date"]
 ORDER = ["timestamp", "trace_id"]
 STAMP = "stamp"
@@ -106,7 +107,7 @@ class StreamFlow:
     def _logs_since(self, spark, marks: list[tuple[int, int]], since_us: int) -> DataFrame | None:
         """Stored logs of the recent batches that reach this far."""
         paths = [f"{sinks.table_path(self.root, 'logs_staged')}/{sinks.BATCH}={b}" for b, newest in marks if newest >= since_us]
-        return spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else None
+        return spark.read.schema(ROWS).parquet(*paths) if paths else None
 
     # --- stages -----------------------------------------------------------
 
@@ -130,17 +131,18 @@ class StreamFlow:
     def _detections(self, logs: DataFrame, batch_id: int, marks: list[tuple[int, int]], watermark: int | None) -> DataFrame:
         r, spark = self.rules, logs.sparkSession
         if not (r.ensemble and r.dedup_window_sec > 0):
-            found = flow.detections_of(logs, replace(r, anomaly=False))
+            found = flow.detections_of(logs, replace(r, anomaly=False), flow.ROW)
         else:
             fired = detect.explode_detections(detect.detect_ensemble(logs, detect.ensemble_rules(r.dynamic_rules)))
             before = self._snapshot(spark, "last_kept", KEPT, batch_id)
-            kept = self._write(dedup.dedup_detections(fired, r.dedup_window_sec, state=before), "kept", batch_id, "timestamp")
+            kept = self._write(dedup.dedup_detections(
+                fired, r.dedup_window_sec, order_cols=(*flow.ROW, "rule_pos"), state=before), "kept", batch_id, "timestamp")
             after = dedup.dedup_state(kept, before)
             if watermark is not None:
                 # A window that ended before the watermark suppresses nothing any more.
                 after = after.filter(F.col("last_us") >= watermark - r.dedup_window_sec * 1_000_000)
             self._write(after, "last_kept", batch_id)
-            found = detect.threshold_rows(kept, r.aggregator, r.threshold).drop("aggregate_score")
+            found = detect.threshold_rows(kept, r.aggregator, r.threshold, flow.ROW).drop("aggregate_score")
         if r.anomaly:
             found = found.unionByName(self._anomalies(logs, marks).select(found.columns))
         return found
@@ -148,7 +150,7 @@ class StreamFlow:
     def _anomalies(self, logs: DataFrame, marks: list[tuple[int, int]]) -> DataFrame:
         """Counts over this batch and the stored logs a baseline before it."""
         r = self.rules
-        seen = ["trace_id", "type", "boundary", "timestamp"]
+        seen = [*flow.ROW, "type", "boundary", "timestamp"]
         now = logs.select(*seen, F.lit(True).alias("_new"))
         oldest = logs.agg(F.min(F.unix_micros("timestamp"))).first()[0]
         if oldest is not None:
@@ -158,8 +160,8 @@ class StreamFlow:
                 now = now.unionByName(past.filter(F.unix_micros("timestamp") >= since).select(*seen, F.lit(False).alias("_new")))
         rows = anomaly.detect_anomaly(
             now, r.anomaly_window_sec, r.anomaly_baseline_sec, r.anomaly_threshold_pct, r.anomaly_min_baseline,
-            emit=F.col("_new"))
-        return logs.join(rows.select("trace_id", *DETECTION.fieldNames()), "trace_id")
+            order=flow.ROW[0], carry=flow.ROW[1:], emit=F.col("_new"))
+        return logs.join(rows.select(*flow.ROW, *DETECTION.fieldNames()), list(flow.ROW))
 
     def _blocks(self, found: DataFrame, batch_id: int) -> None:
         r = self.rules
@@ -177,11 +179,11 @@ class StreamFlow:
         watermark = max(m for _, m in marks) - self.delay_sec * 1_000_000 if marks else None
         now, late = split_late(raw, watermark)
         self._write(late, "late_logs", batch_id)
-        ready = flow.prepare(now, r)
+        ready = flow.prepare(now, r, tell_apart=True)
         self._write(ready.rejected, "rejected_logs", batch_id, "timestamp")
         if ready.denied is not None:
             self._write(ready.denied, "denied_logs", batch_id, "timestamp")
-        logs = self._chained(ready.logs, batch_id, watermark)
+        logs = self._chained(ready.logs, batch_id, watermark).withColumn(sinks.ROW_ID, sinks.row_id(batch_id))
         newest = logs.agg(F.max(F.unix_micros("timestamp"))).first()[0]
         recent = marks if newest is None else [
             m for m in marks if m[1] >= max(newest, *(x for _, x in marks)) - self._span_us() - self.delay_sec * 1_000_000] + [(batch_id, newest)]
@@ -190,14 +192,15 @@ class StreamFlow:
         if self.unique_sec is not None:
             reach = (newest or 0) - self.unique_sec * 1_000_000
             stored = self._logs_since(spark, marks, reach)
-            stored = spark.createDataFrame([], LOG_SCHEMA) if stored is None else stored
-        sinks.append_logs(logs.select(*LOG_SCHEMA.fieldNames()), self.root, batch_id, r.fail_on_persist_error,
+            stored = spark.createDataFrame([], ROWS) if stored is None else stored
+        sinks.append_logs(logs.select(*ROWS.fieldNames()), self.root, batch_id, r.fail_on_persist_error,
                           ("timestamp", "logical_clock", "span_id"), stored=stored)
         if self.on_logs:
             self.on_logs(logs)
 
         found = self._write(self._detections(logs, batch_id, marks, watermark), "detections", batch_id)
-        made = tasks.dispatch_status(tasks.generate_tasks(found, r.task_rules, F.col("source_timestamp")))
+        made = tasks.dispatch_status(tasks.generate_tasks(
+            found, r.task_rules, F.col("source_timestamp"), [sinks.ROW_ID], flow.ROW))
         made = self._write(made, "generated", batch_id, "created_at")
         made = tasks.run_handlers(made, self.handlers, self.default_handler)
         made = self._write(approvals.route_approvals(made, r.routing_rules), "assigned", batch_id, "created_at")
@@ -207,7 +210,7 @@ class StreamFlow:
         self._write(approvals.create_approvals(made), "approvals", batch_id)
 
         if r.response:
-            records = self._write(flow.respond(found, r, self.analyzer), "responded", batch_id, "created_at")
+            records = self._write(flow.respond(found, r, self.analyzer, [sinks.ROW_ID], flow.ROW), "responded", batch_id, "created_at")
             self._write(response.flat_responses(records), "threat_responses", batch_id)
             sent = self._write(flow.notify(records, r, self.routing, self.channel_types), "outbox", batch_id)
             self._blocks(found, batch_id)
@@ -218,7 +221,7 @@ class StreamFlow:
             self._write(agents.agent_task_results(runs), "agent_task_results", batch_id, "dispatched_at")
             if self.feedback:
                 # Same batch id, same folder: a replay writes the same logs again.
-                agents.agent_results_to_logs(runs).write.mode("overwrite").parquet(
+                agents.own_trace_ids(agents.agent_results_to_logs(runs)).write.mode("overwrite").parquet(
                     f"{self.feedback.rstrip('/')}/{sinks.BATCH}={batch_id}")
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:

@@ -292,6 +292,39 @@ def test_run_batch_without_findings(spark):
     assert result.count() == 5 == sinks.read_table(spark, root, "logs").count()
 
 
+def test_run_batch_with_a_shared_trace(spark):
+    """Many logs of one trace: each has its own anomaly, threshold, tasks, responses and result."""
+    conf = {**CONF, "authorization": {}, "agent": {"enabled": False},
+            "ensemble": {**CONF["ensemble"], "enabled": True, "dedup_window_sec": 1, "aggregator": "weighted_sum"},
+            "anomaly": {"enabled": True, "window_size_sec": 60, "baseline_window_sec": 600, "threshold_pct": 100.0,
+                        "min_baseline": 0.1}}
+    rows = [dict(trace_id="t", message=f"step {i}", is_critical=i % 10 == 0, timestamp=at(7 * (i // 2))) for i in range(40)]
+    root = tempfile.mkdtemp(prefix="lw-shared-")
+    rules = load_rules(conf)
+    result = flow.run_batch(logs(spark, *rows), rules, root, 1, analyzer=stubs.stub_analysis).collect()
+    assert len(result) == 40 == len({r.row_id for r in result}) and {r.trace_id for r in result} == {"t"}
+    assert sum(not r.degraded for r in result) == 1 == sinks.read_table(spark, root, "logs").count()
+    found = sinks.read_table(spark, root, "detections").groupBy("row_id", "rule_id", "rule_pos").count().collect()
+    assert {r["count"] for r in found} == {1} and sum(r.rule_id == "anomaly-frequency" for r in found) == 40
+    made = sinks.read_table(spark, root, "tasks").select("task_id").collect()
+    listed = [t.task_id for r in result for t in r.tasks_generated]
+    assert len(made) == len({t.task_id for t in made}) > 0 and sorted(listed) == sorted(t.task_id for t in made)
+    answers = [t.response_id for r in result for t in r.threat_responses]
+    assert len(answers) == len(set(answers)) == len(found)
+
+
+def test_identical_logs_without_ids_are_all_stored(spark):
+    """A repeated attempt replaces the rows and makes the same ids."""
+    root, rules = tempfile.mkdtemp(prefix="lw-same-"), load_rules({**CONF, "authorization": {}, "agent": {"enabled": False}})
+    raw = logs(spark, *[dict(trace_id=None, message="again")] * 5)
+    ids = []
+    for _ in range(2):
+        result = flow.run_batch(raw, rules, root, 1, analyzer=stubs.stub_analysis).collect()
+        assert len({r.trace_id for r in result}) == 5 and not any(r.degraded for r in result)
+        ids.append(sorted((r.trace_id, r.row_id) for r in result))
+    assert ids[0] == ids[1] and sinks.read_table(spark, root, "logs").count() == 5
+
+
 def test_agents_need_a_model(spark):
     rules = load_rules({**CONF, "authorization": {}, "agent": {"enabled": True}})
     with pytest.raises(ValueError, match="model"):

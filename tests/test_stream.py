@@ -144,4 +144,6 @@ def test_stream_flow_equals_batch(spark, sf):
     job(part.filter(F.col("timestamp").between(*times)), 1)
     after = {t: spark.read.parquet(f"{root}/{t}").count() for t in before}
     assert before == after
-    assert spark.read.schema(LOG_SCHEMA).parquet(feedback).filter("origin = 'AI_AGENT'").count() > 0
+    fed = spark.read.schema(LOG_SCHEMA).parquet(feedback).filter("origin = 'AI_AGENT'")
+    assert fed.count() == fed.select("trace_id").distinct().count() > 0
+    assert fed.join(spark.read.parquet(f"{root}/chained"), "trace_id", "left_semi").count() == 0
