@@ -99,6 +99,14 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """The columns sorted from the first on, each row once: a document that is given twice is no repeat of itself."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    keep = runs(*columns)
+    return columns if keep.all() else [c[keep] for c in columns]
+
+
 def spread(names: np.ndarray, rows: np.ndarray) -> None:
     """Names of decided rows become one of a kind, so that they gather in no task."""
     with np.errstate(over="ignore"):
@@ -106,7 +114,7 @@ def spread(names: np.ndarray, rows: np.ndarray) -> None:
 
 
 def settle_anchors(v, ctx, did, tk, place):
-    """Columns of some anchors -> the same and their state: 0 to be compared with others, 1 decided
+    """Columns of some anchors -> the same, each row once, and their state: 0 to be compared with others, 1 decided
     as not the first of its context, 2 decided as open.
 
     What these rows show about each other needs no shuffle: one row stands for a
@@ -114,8 +122,7 @@ def settle_anchors(v, ctx, did, tk, place):
     windows of the others are named directly.  So a bucket takes a bounded number of rows from each
     ``CHUNK`` anchors, however common it is.
     """
-    order = np.lexsort((place, tk, did, ctx, v))
-    v, ctx, did, tk, place = (c[order] for c in (v, ctx, did, tk, place))
+    v, ctx, did, tk, place = distinct(v, ctx, did, tk, place)
     state = np.zeros(len(v), np.int8)
     first = runs(v, ctx)
     state[~first] = 1
@@ -129,9 +136,8 @@ def settle_anchors(v, ctx, did, tk, place):
 
 
 def settle_windows(name, did, tk, start):
-    """Columns of some windows -> the same and whether an equal window here starts earlier."""
-    order = np.lexsort((start, tk, did, name))
-    name, did, tk, start = (c[order] for c in (name, did, tk, start))
+    """Columns of some windows -> the same, each row once, and whether an equal window here starts earlier."""
+    name, did, tk, start = distinct(name, did, tk, start)
     later = ~runs(name)
     spread(name, np.flatnonzero(later))
     return name, did, tk, start, later

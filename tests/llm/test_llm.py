@@ -181,6 +181,21 @@ def test_suffixes_with_a_string_in_many_contexts(docs):
         assert got == brute_removed(rows, 100)
 
 
+def test_suffixes_of_repeated_rows_and_null_ids(docs):
+    """Rows of equal id and text are one document: they keep what was not seen before, in one task as in many."""
+    rows = [(1, prose(20, 60)), (None, prose(21, 60)), (2, prose(22, 40) + prose(20, 60)[50:220]), (3, prose(23, 30)), (4, prose(21, 60)[5:180] + prose(24, 30))]
+    # A string in more contexts than ``FEW``: its windows are named one by one.
+    rows += [(10 + k, f"{prose(400 + k, 12)} {prose(7, 14)} {prose(600 + k, 12)}") for k in range(80)]
+    whole = brute_removed([(suffixes.NO_ID if i is None else i, t) for i, t in rows], 100)
+    whole[None] = whole[suffixes.NO_ID]
+    assert whole[1] == rows[0][1].encode() and whole[None] == rows[1][1].encode()
+    for parts in (1, 5):
+        df = docs(*[(i, t, "a") for i, t in rows * 2 + rows[:2]]).repartition(parts)
+        got = suffixes.without_repeats(df).collect()
+        assert len(got) == 2 * len(rows) + 2
+        assert all(bytes(r.kept) == whole[r.doc_id] for r in got)
+
+
 def test_settling_sends_few_rows_of_a_common_bucket():
     n = 5000
     same, ids = np.zeros(n, np.int64), np.arange(n)
