@@ -83,8 +83,11 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     context = np.zeros(len(a), np.uint64)
     if inner.any():
         p = a[inner] - side
-        with np.errstate(over="ignore"):
-            context[inner] = mixed(whole[p] * MIX + whole[p + reach - 128])
+        name = whole[p]
+        for k in (*range(128, reach - 128, 128), reach - 128):  # names of 128 bytes over the whole reach
+            with np.errstate(over="ignore"):
+                name = mixed(name * MIX + whole[p + k])
+        context[inner] = name
     for i in np.flatnonzero(~inner):
         s, e = max(0, a[i] - side), min(n, a[i] + Q + side)
         context[i] = xxhash.xxh64_intdigest(data[s:e], seed=int(a[i] - s) * 256 + int(e - a[i]))

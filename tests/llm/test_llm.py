@@ -181,6 +181,29 @@ def test_suffixes_with_a_string_in_many_contexts(docs):
         assert got == brute_removed(rows, 100)
 
 
+@pytest.mark.parametrize("length", [96, 161, 200, 287])
+def test_contexts_hold_all_bytes_of_the_reach(length):
+    """Texts that differ in one byte of an anchor's reach have other contexts there, at any length."""
+    data = bytes(random.Random(length).choices(range(97, 123), k=1200))
+    side = length - suffixes.Q
+    v, ctx, place = suffixes.anchors(data, length)
+    at = [(p >> 16) + (p >> 8 & 255) for p in place.tolist()]
+    a, old = next((a, c) for a, c in zip(at, ctx.tolist()) if 500 <= a <= 1200 - length)
+    missed = []
+    for x in [*range(a - side, a), *range(a + suffixes.Q, a + suffixes.Q + side)]:
+        other = data[:x] + bytes([data[x] ^ 1]) + data[x + 1:]
+        _, new, places = suffixes.anchors(other, length)
+        missed += [x - a for p, c in zip(places.tolist(), new.tolist()) if (p >> 16) + (p >> 8 & 255) == a and c == old]
+    assert not missed
+
+
+def test_suffixes_with_a_long_length(docs):
+    body = prose(31, 200)
+    rows = [(1, body)] + [(2 + k, body[:at] + "#" + body[at + 1:]) for k, at in enumerate(range(40, 700, 60))]
+    got = {r.doc_id: bytes(r.kept) for r in suffixes.without_repeats(docs(*[(i, t, "a") for i, t in rows]), length=200).collect()}
+    assert got == brute_removed(rows, 200)
+
+
 def test_suffixes_of_repeated_rows_and_null_ids(docs):
     """Rows of equal id and text are one document: they keep what was not seen before, in one task as in many."""
     rows = [(1, prose(20, 60)), (None, prose(21, 60)), (2, prose(22, 40) + prose(20, 60)[50:220]), (3, prose(23, 30)), (4, prose(21, 60)[5:180] + prose(24, 30))]
