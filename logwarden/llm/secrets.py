@@ -3,18 +3,22 @@
 Patterns find assignments, access keys and long hexadecimal strings.  Besides, every
 run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` is a candidate:
 
-1. its encoding is inferred (hex, base32, alphanumeric, base64 / base64url);
+1. its encoding is inferred: the smallest of ``ALPHABETS`` (digits, hex, one case, base32,
+   base36, alphanumeric, base64 / base64url) that holds its characters;
 2. three tests ask whether it can be uniform noise over that alphabet: chi-squared
    over equal bins of the alphabet, Wald-Wolfowitz runs above and below the middle
-   of the alphabet, and lag-1 serial correlation; the smallest of the three
-   p-values, times three, must not fall under ``uniform_alpha``;
-3. the p-value against ordinary text is the binomial tail of the number of switches
-   between lower case, upper case and digits, which ordinary words make with a
-   chance of ``switch_rate`` at most; a short string cannot reach a small value;
+   of the alphabet, and lag-1 serial correlation; if the smallest of the three
+   p-values, times three, is under ``uniform_alpha``, the candidate's p-value is 1;
+3. else its p-value against ordinary text is twice the smaller of two.  One is the
+   likelihood ratio of ordinary text to uniform noise over the alphabets (the chance of a ratio
+   of r or less is at most r in ordinary text); ordinary text is a chain of the character
+   pairs counted in the runs of under 20 characters of all documents.  The other is
+   the binomial tail of the number of switches between lower case, upper case and
+   digits, which ordinary words make with a chance of ``switch_rate`` at most;
 4. Benjamini-Hochberg over the candidates of the whole input, separately by length
    stratum (powers of two), bounds the share of ordinary strings at ``fdr``.  Only a
-   histogram of p-values by stratum is gathered, of a fixed size, so the step is the
-   same at any scale; p-values are rounded up to the edge of their bin.
+   table of character pairs and a histogram of p-values by stratum are gathered, of fixed
+   sizes, so the step is the same at any scale; p-values are rounded up to the edge of their bin.
 
 Candidates that a pattern span overlaps are not reported again.  Offsets are code
 points, end exclusive.  Null and empty texts have no spans; repeated rows each get
@@ -27,6 +31,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +49,13 @@ BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ALNUM_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 BASE64_ALPHABET = ALNUM_ALPHABET + "+/"
 BASE64URL_ALPHABET = ALNUM_ALPHABET + "-_"
+LOWER = ALNUM_ALPHABET[26:52]
+DIGITS = ALNUM_ALPHABET[52:]
+CHARS = ALNUM_ALPHABET + "+/-_="
+# From the smallest on.
+ALPHABETS = (
+    DIGITS, HEX_ALPHABET, HEX_ALPHABET.upper(), LOWER, LOWER.upper(), BASE32_ALPHABET, BASE32_ALPHABET.lower(),
+    LOWER + DIGITS, LOWER.upper() + DIGITS, ALNUM_ALPHABET, BASE64_ALPHABET, BASE64URL_ALPHABET, CHARS)
 
 SPANS = "array<struct<kind:string, start:int, end:int>>"
 FDR = 0.01
@@ -51,6 +63,13 @@ UNIFORM_ALPHA = 1e-4
 SWITCH_RATE = 0.2
 BIN_WIDTH = 0.1
 BINS = 600
+LEAST = 20
+# Number of each byte in CHARS from 1 on; 0 is any other byte, which ends a run.
+NUMBERS = np.zeros(256, np.intp)
+NUMBERS[list(CHARS.encode())] = range(1, len(CHARS) + 1)
+STATES = len(CHARS) + 1
+# Any text holds this share of characters that follow no habit.
+ODD = 0.1
 
 
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,10 +86,7 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 def alphabet(token: str) -> str:
     """The smallest alphabet that holds all characters, padding aside."""
     chars = set(token)
-    for known in (HEX_ALPHABET, HEX_ALPHABET.upper(), BASE32_ALPHABET, ALNUM_ALPHABET, BASE64_ALPHABET, BASE64URL_ALPHABET):
-        if chars <= set(known):
-            return known
-    return ALNUM_ALPHABET + "+/-_="
+    return next(known for known in ALPHABETS if chars <= set(known))
 
 
 def normal_tail(z: float) -> float:
@@ -132,6 +148,53 @@ def ordinary_log_p(token: str, rate: float) -> float:
     return min(0.0, (top + math.log(sum(math.exp(x - top) for x in logs))) / math.log(10))
 
 
+def char_pairs(docs: DataFrame, text: str) -> np.ndarray:
+    """How often each character follows each other one in runs of under ``LEAST`` characters; counted per task, then summed."""
+    import pyarrow as pa
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(STATES * STATES, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                t = t.as_py()
+                if t:
+                    at = NUMBERS[np.frombuffer(f" {CANDIDATE.sub(' ', t)} ".encode("utf-8", "replace"), np.uint8)]
+                    seen += np.bincount(at[:-1] * STATES + at[1:], minlength=len(seen))
+        own = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(seen[own])], names=["pair", "n"])
+
+    per_task = docs.select(F.col(text).cast("string")).mapInArrow(count, "pair int, n bigint")
+    out = np.zeros(STATES * STATES)
+    for pair, n in per_task.groupBy("pair").agg(F.sum("n")).collect():  # STATES squared rows at most
+        out[pair] = n
+    return out.reshape(STATES, STATES)
+
+
+def ordinary_text(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the chance of each character after each other one: in a run that goes on, and in any (0 is its end).
+
+    After a character that was never seen all are equally likely, so it tells nothing.
+    """
+    chance = (1 - ODD) * (pairs + 1) / (pairs.sum(1, keepdims=True) + STATES) + ODD / STATES
+    within = chance.copy()
+    within[:, 0] = 1
+    within[:, 1:] /= chance[:, 1:].sum(1, keepdims=True)
+    return np.log10(within), np.log10(chance)
+
+
+def ratio_log_p(token: str, size: int, ordinary: tuple[np.ndarray, np.ndarray]) -> float:
+    """log10 of the ratio of ordinary text, given that the run has ``LEAST`` characters, to noise over ``ALPHABETS``.
+
+    Noise takes each alphabet alike and goes on beyond n characters with the chance LEAST / (n + 1).
+    """
+    within, chance = ordinary
+    at = NUMBERS[np.frombuffer(token.encode(), np.uint8)]
+    n, a, b = len(at), at[:-1], at[1:]
+    text = -math.log10(len(CHARS)) + within[a[:LEAST - 1], b[:LEAST - 1]].sum() + chance[a[LEAST - 1:], b[LEAST - 1:]].sum() + chance[at[-1], 0]
+    noise = -n * math.log10(size) - math.log10(len(ALPHABETS)) + math.log10(LEAST / (n * (n + 1)))
+    return min(0.0, float(text - noise))
+
+
 def stratum(n: int) -> int:
     """Length stratum: 20-31, 32-63, 64-127, ..."""
     return n.bit_length()
@@ -142,25 +205,27 @@ def p_bin(log_p: float) -> int:
     return min(BINS - 1, int(-log_p / BIN_WIDTH))
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]], uniform_alpha: float, rate: float):
-    """(start, end, stratum, bin, passes the battery) of every candidate that no pattern span overlaps."""
+def candidates(text: str, taken: list[tuple[int, int, int]], uniform_alpha: float, rate: float, ordinary: tuple[np.ndarray, np.ndarray]):
+    """(start, end, stratum, bin) of every candidate that no pattern span overlaps; those that cannot be noise are in bin 0."""
     out = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         if any(a < e and s < b for a, _, b in taken):
             continue
         token = m.group().rstrip("=")
-        if len(token) < 20:
+        if len(token) < LEAST:
             continue
-        log_p = ordinary_log_p(token, rate)
         own = alphabet(token)
-        place = {c: i for i, c in enumerate(own)}
-        random = log_p < 0 and uniform_p([place[c] for c in token], len(own)) >= uniform_alpha
-        out.append((s, e, stratum(len(token)), p_bin(log_p), random))
+        log_p = min(0.0, math.log10(2) + min(ordinary_log_p(token, rate), ratio_log_p(token, len(own), ordinary)))
+        if log_p < 0:
+            place = {c: i for i, c in enumerate(own)}
+            if uniform_p([place[c] for c in token], len(own)) < uniform_alpha:
+                log_p = 0.0
+        out.append((s, e, stratum(len(token)), p_bin(log_p)))
     return out
 
 
-def p_value_histogram(docs: DataFrame, text: str, uniform_alpha: float, rate: float) -> DataFrame:
+def p_value_histogram(docs: DataFrame, text: str, uniform_alpha: float, rate: float, ordinary: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Candidates by stratum and p-value bin: counted per task first, then summed."""
     import pyarrow as pa
 
@@ -170,7 +235,7 @@ def p_value_histogram(docs: DataFrame, text: str, uniform_alpha: float, rate: fl
             for t in batch.column(0):
                 t = t.as_py()
                 if t and CANDIDATE.search(t):
-                    for _, _, level, b, _ in candidates(t, pattern_spans(t), uniform_alpha, rate):
+                    for _, _, level, b in candidates(t, pattern_spans(t), uniform_alpha, rate, ordinary):
                         seen[level, b] = seen.get((level, b), 0) + 1
         yield pa.RecordBatch.from_pydict(
             {"stratum": [k[0] for k in seen], "bin": [k[1] for k in seen], "n": list(seen.values())},
@@ -188,20 +253,19 @@ def discovery_limits(histogram: list[tuple[int, int, int]], fdr: float) -> dict[
     limits = {}
     for level, bins in by.items():
         total, so_far = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
+        for b in sorted(bins.keys() - {0}, reverse=True):
             so_far += bins[b]
             if 10 ** (-b * BIN_WIDTH) * total <= fdr * so_far:
                 limits[level] = b
     return limits
 
 
-def all_spans(text: str | None, limits: dict[int, int], uniform_alpha: float, rate: float) -> list[tuple[int, int, int]]:
+def all_spans(text: str | None, limits: dict[int, int], uniform_alpha: float, rate: float, ordinary: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the patterns and of the candidates whose bin is accepted, sorted."""
     if not text:
         return []
     spans = pattern_spans(text)
-    found = [(s, 3, e) for s, e, level, b, random in candidates(text, spans, uniform_alpha, rate)
-             if random and b >= limits.get(level, BINS)]
+    found = [(s, 3, e) for s, e, level, b in candidates(text, spans, uniform_alpha, rate, ordinary) if b >= limits.get(level, BINS)]
     return sorted(spans + found)
 
 
@@ -210,18 +274,21 @@ def find_secrets(
     uniform_alpha: float = UNIFORM_ALPHA, switch_rate: float = SWITCH_RATE,
 ) -> DataFrame:
     """All columns of ``docs`` and ``out``: the spans by start, then kind."""
-    limits = accepted_limits(docs, text, fdr, uniform_alpha, switch_rate)
+    ordinary = ordinary_text(char_pairs(docs, text))
+    limits = accepted_limits(docs, text, fdr, uniform_alpha, switch_rate, ordinary)
 
     @F.pandas_udf(SPANS)
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([
-            [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(t, limits, uniform_alpha, switch_rate)] for t in texts], dtype=object)
+            [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(t, limits, uniform_alpha, switch_rate, ordinary)] for t in texts], dtype=object)
 
     return docs.withColumn(out, run(F.col(text)))
 
 
-def accepted_limits(docs: DataFrame, text: str, fdr: float, uniform_alpha: float, rate: float) -> dict[int, int]:
-    rows = p_value_histogram(docs, text, uniform_alpha, rate).collect()  # 32 x BINS rows at most
+def accepted_limits(
+    docs: DataFrame, text: str, fdr: float, uniform_alpha: float, rate: float, ordinary: tuple[np.ndarray, np.ndarray],
+) -> dict[int, int]:
+    rows = p_value_histogram(docs, text, uniform_alpha, rate, ordinary).collect()  # 32 x BINS rows at most
     return discovery_limits([tuple(r) for r in rows], fdr)
 
 
@@ -241,10 +308,11 @@ def redact_secrets(
     docs: DataFrame, *, text: str = "text", fdr: float = FDR, uniform_alpha: float = UNIFORM_ALPHA, switch_rate: float = SWITCH_RATE,
 ) -> DataFrame:
     """The documents with every span replaced by ``[SECRET]`` (overlapping spans by one)."""
-    limits = accepted_limits(docs, text, fdr, uniform_alpha, switch_rate)
+    ordinary = ordinary_text(char_pairs(docs, text))
+    limits = accepted_limits(docs, text, fdr, uniform_alpha, switch_rate, ordinary)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([cover(t, all_spans(t, limits, uniform_alpha, switch_rate)) for t in texts], dtype=object)
+        return pd.Series([cover(t, all_spans(t, limits, uniform_alpha, switch_rate, ordinary)) for t in texts], dtype=object)
 
     return docs.withColumn(text, run(F.col(text)))

@@ -59,6 +59,27 @@ def test_random_tokens_are_found_and_words_are_not(docs):
     assert clean[100] == plain[0][1] and sum("[SECRET]" in clean[i] for i in range(60)) >= 57
 
 
+def spoken(seed, n):
+    """Words of syllables, with some numbers and capitals."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("bdfklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(n)]
+    return " ".join(w.upper() if k % 40 == 0 else w.title() if k % 9 == 0 else str(rng.randint(1, 2030)) if k % 11 == 0 else w for k, w in enumerate(words))
+
+
+@pytest.mark.parametrize(("kind", "size"), [
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("abcdefghijklmnopqrstuvwxyz0123456789", 32), ("abcdefghijklmnopqrstuvwxyz", 32),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 40), ("0123456789", 80)])  # hexadecimal digits fall under the pattern from 24 on
+def test_keys_of_few_character_classes_are_found(docs, kind, size):
+    rng = random.Random(size)
+    keys = ["".join(rng.choice(kind) for _ in range(size)) for _ in range(40)]
+    rows = [(i, f"{spoken(i, 150)} {k} {spoken(i + 900, 20)}", "a") for i, k in enumerate(keys)]
+    # Long runs of ordinary text: names put together, repeated signs, words in one.
+    rows += [(100 + i, f"{spoken(i + 2000, 99)} {spoken(i + 3000, 9).replace(' ', '_')} {spoken(i + 4000, 12).lower().replace(' ', '')} {'ab-' * 20} {'x' * 40}", "a") for i in range(60)]
+    found = {r.doc_id: [r.text[s.start:s.end] for s in r.secrets] for r in secrets.find_secrets(docs(*rows)).collect()}
+    assert sum(keys[i] in found[i] for i in range(40)) >= 38
+    assert sum(bool(found[100 + i]) for i in range(60)) <= 1
+
+
 # --- chat ----------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
