@@ -4,7 +4,7 @@ Within a text: counts of words, symbols, repeated lines and repeated 3-word wind
 Across texts: lines are normalised (A-Z in lower case, white space runs to one
 space) and hashed; a line is boilerplate when more than ``max_docs`` distinct
 documents of its host have it and those are more than ``max_share`` of the host's
-distinct documents.  Copies of one text count as one document, so a text is not
+distinct documents or more than ``enough_docs``, so the limit does not grow with a large host.  Copies of one text count as one document, so a text is not
 boilerplate because it was copied.  Boilerplate lines go; a document that loses more
 than ``max_removed`` of its words is depleted and rejected.
 
@@ -24,6 +24,7 @@ from .common import SPACE, ascii_lower, words
 
 MAX_DOCS = 20
 MAX_SHARE = 0.005
+ENOUGH_DOCS = 1000
 MAX_REMOVED = 0.7
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
@@ -84,19 +85,21 @@ def host_lines(docs: DataFrame, text: str, host: str, keys: list[str]) -> DataFr
     return lined.select(*keys, "host", "text_key", F.xxhash64("norm").alias("line"), n_words.alias("line_words"))
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int, max_share: float) -> DataFrame:
-    """host, line, n_docs of the lines above both limits."""
+def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int, max_share: float, enough_docs: int = ENOUGH_DOCS) -> DataFrame:
+    """host, line, n_docs of the lines above both limits; the second is a share of the host up to ``enough_docs``."""
     lines = host_lines(docs, text, host, []).select("host", "line", "text_key").distinct()
     per_line = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
     per_host = docs.select(
         host_key(F.col(host)).alias("host"),
         text_key(F.col(text)).alias("text_key")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return per_line.join(per_host, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line", "n_docs")
+    limit = F.least(max_share * F.col("host_docs"), F.lit(float(enough_docs)))
+    return per_line.join(per_host, "host").where(F.col("n_docs") > limit).select("host", "line", "n_docs")
 
 
 def quality_report(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = MIN_WORDS,
     max_repeated: float = MAX_REPEATED, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED,
+    enough_docs: int = ENOUGH_DOCS,
 ) -> DataFrame:
     """A row per document: doc_id, the counts, base_failed, removed_words, kept."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
@@ -104,7 +107,7 @@ def quality_report(
         "doc_id", host_key(F.col("host")).alias("host"),
         text_key(F.col("text")).alias("text_key"),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    lost = lost_words(own, doc_id="doc_id", text="text", host="host", max_docs=max_docs, max_share=max_share)
+    lost = lost_words(own, doc_id="doc_id", text="text", host="host", max_docs=max_docs, max_share=max_share, enough_docs=enough_docs)
     same = (counts["doc_id"].eqNullSafe(lost["doc_id"])) & (counts["host"] == lost["host"]) & (counts["text_key"] == lost["text_key"])
     df = counts.join(lost, same, "left").select(
         counts["doc_id"], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -114,14 +117,16 @@ def quality_report(
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= max_removed * F.col("n_words")))
 
 
-def lost_words(docs: DataFrame, *, doc_id: str, text: str, host: str, max_docs: int, max_share: float) -> DataFrame:
+def lost_words(
+    docs: DataFrame, *, doc_id: str, text: str, host: str, max_docs: int, max_share: float, enough_docs: int = ENOUGH_DOCS,
+) -> DataFrame:
     """doc_id, host, text_key, removed_words and removed_lines (hashes), for the documents that have boilerplate lines.
 
     Equal rows are one here: their lines meet in one group and are divided by their number.
     """
     key = F.col(doc_id).alias("doc_id")
     lines = host_lines(docs, text, host, [key])
-    frequent = frequent_lines(docs, text, host, max_docs, max_share).select("host", "line")
+    frequent = frequent_lines(docs, text, host, max_docs, max_share, enough_docs).select("host", "line")
     lost = lines.join(frequent, ["host", "line"]).groupBy("doc_id", "host", "text_key").agg(
         F.sum("line_words").alias("words"), F.collect_set("line").alias("removed_lines"))
     copies = docs.select(key, host_key(F.col(host)).alias("host"), text_key(F.col(text)).alias("text_key")).groupBy(
@@ -133,10 +138,10 @@ def lost_words(docs: DataFrame, *, doc_id: str, text: str, host: str, max_docs:
 
 def remove_lines(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-    max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE,
+    max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, enough_docs: int = ENOUGH_DOCS,
 ) -> DataFrame:
     """The documents without their boilerplate lines; other columns as they are."""
-    lost = lost_words(docs, doc_id=doc_id, text=text, host=host, max_docs=max_docs, max_share=max_share).select(
+    lost = lost_words(docs, doc_id=doc_id, text=text, host=host, max_docs=max_docs, max_share=max_share, enough_docs=enough_docs).select(
         F.col("doc_id").alias("__llm_id"), F.col("host").alias("__llm_host"), F.col("text_key").alias("__llm_key"), F.col("removed_lines").alias("__llm_removed"))
     same = F.col(doc_id).eqNullSafe(F.col("__llm_id")) & (host_key(F.col(host)) == F.col("__llm_host")) & (text_key(F.col(text)) == F.col("__llm_key"))
     left = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("__llm_removed"), F.xxhash64(normal_line(x))))

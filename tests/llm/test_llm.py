@@ -115,6 +115,14 @@ def test_boilerplate_lines(docs):
     assert left[0] == prose(0, 60) and left[300] == rows[-2][1] and left[100] == "one"
 
 
+def test_repeated_lines_of_a_hot_host(spark):
+    """A line in many documents is boilerplate though they are a small share of a large host."""
+    line = F.when(F.col("id") < 1020, "a licence line\n").when(F.col("id") < 1990, "a line in fewer\n").otherwise("")
+    df = spark.range(210_000).select(F.col("id").alias("doc_id"), F.concat(line, F.lit("text "), F.col("id")).alias("text"), F.lit("h").alias("source"))
+    found = line_rules.frequent_lines(df, "text", "source", line_rules.MAX_DOCS, line_rules.MAX_SHARE).collect()
+    assert [r.n_docs for r in found] == [1020]
+
+
 def brute_counts(text):
     ws = (text or "").encode().split()
     grams = [tuple(ws[i:i + 3]) for i in range(len(ws) - 2)]
