@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, line_rules, ngram_join, quality, secrets, sentencepieces, suffixes, toxicity
+from . import centroids, chat, decontaminate, exact_dedup, hard_negatives, language_model, line_rules, ngram_join, quality, secrets, sentencepieces, suffixes, toxicity
 from .common import id_bucket, table
 from .queries_sql import SQL
 
@@ -91,8 +91,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", noisy.alias("label"))
+    return hard_negatives.mine_hard_negatives(rows, lambda i: i % 50 == 0)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicate_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_chat": op3_chat, "op4_suffix_dedup": op4_suffix_dedup, "op5_language_model": op5_language_model, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination, "op9_quality": op9_quality, "op10_ngram_join": op10_ngram_join,
+    "op11_centroids": op11_centroids, "op12_hard_negatives": op12_hard_negatives, "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES = SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import centroids
 from .line_rules import MAX_DOCS, MAX_REMOVED, MAX_SHARE
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -105,4 +106,53 @@ SELECT doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links, CAST(coale
 FROM documents d JOIN classes ON classes.text = coalesce(d.text, '') JOIN groups_ USING (c) LEFT JOIN counts USING (c)
 """
 
-SQL = {"op3_chat": CHAT, "op7_quality_rules": RULES, "op8_decontamination": LEAKS, "op10_ngram_join": JOIN}
+EXACT = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) AS n FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, n = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+#: Scores of all anchors with all rows, then the windows one by one.
+NEGATIVES = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+), p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (
+  SELECT p.a, p.b AS p, p.score AS ps, s.b, s.score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT a AS anchor_id, p AS positive_id, CAST(rank AS INT) AS rank, b AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE rank <= 3
+"""
+
+
+def centroid_sql(k: int, rounds: int, scale: int, dim: int, seed: int) -> str:
+    """Lloyd's rounds as one chain of steps, a row per component."""
+    parts = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM kept),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept QUALIFY c < {k}
+), m0 AS MATERIALIZED (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM c0)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, c, dist FROM (SELECT r, c, sum((x.x - m.x) * (x.x - m.x)) AS dist FROM x JOIN m{i} m USING (d) GROUP BY r, c)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""m{i + 1} AS MATERIALIZED (
+  SELECT m.c, m.d, coalesce(n.x, m.x) AS x FROM m{i} m
+  LEFT JOIN (SELECT c, d, CAST(floor((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) / count(*)) AS BIGINT) AS x FROM a{i} JOIN x USING (r) GROUP BY c, d) n USING (c, d))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(dist AS BIGINT) AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM m{rounds} GROUP BY c) USING (c)
+"""
+
+
+SQL = {"op3_chat": CHAT, "op7_quality_rules": RULES, "op8_decontamination": LEAKS, "op10_ngram_join": JOIN,
+    "op11_centroids": centroid_sql(centroids.K, centroids.ROUNDS, centroids.SCALE, centroids.DIM, centroids.SEED),
+    "op12_hard_negatives": NEGATIVES, "op13_exact_dedup": EXACT}
