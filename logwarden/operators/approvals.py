@@ -16,6 +16,7 @@ from ..functions.crypto import content_id
 from ..functions.text import text
 from ..schemas import CHAIN_STEP, ROUTING_RULE
 from .integrity import task_content_hash
+from .tasks import unhandled, unhandled_error
 
 # Fixed value: the chain of a task no routing rule covers.
 DEFAULT_CHAIN = [{"step_order": 1, "role": "approver", "required": True}]
@@ -143,14 +144,21 @@ def refused_decisions(decisions: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
-def approved_tasks(tasks: DataFrame, states: DataFrame) -> DataFrame:
-    """Tasks with the status their approval leads to; approved ones are dispatched."""
+def approved_tasks(tasks: DataFrame, states: DataFrame, handled: Sequence[str] = (), has_default: bool = False) -> DataFrame:
+    """Tasks with the status and error their approval leads to.
+
+    Approved ones are dispatched as ``dispatch_outcome`` does: an action that must be
+    handled and is not fails.
+    """
     s = states.select("task_id", F.col("status").alias("_state"))
-    status = (
-        F.when(F.col("_state") == "approved", "dispatched")
-        .when(F.col("_state") == "rejected", "rejected").otherwise(F.col("status"))
-    )
-    return tasks.join(s, "task_id", "left").withColumn("status", status).drop("_state")
+    approved = F.col("_state") == "approved"
+    failed = approved & unhandled(handled, has_default)
+    before = text("error") if "error" in tasks.columns else F.lit("")
+    return tasks.join(s, "task_id", "left").withColumns({
+        "error": F.when(failed, unhandled_error()).when(approved, "").otherwise(before),
+        "status": F.when(failed, "failed").when(approved, "dispatched")
+        .when(F.col("_state") == "rejected", "rejected").otherwise(F.col("status")),
+    }).drop("_state")
 
 
 def check_tampering(requests: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -82,16 +82,21 @@ def status_of(level: Column, needs_approval: Column) -> Column:
     )
 
 
+def unhandled(handled_actions: Sequence[str] = (), has_default: bool = False) -> Column:
+    """Is the action one that must be handled, and nothing does?"""
+    missing = [] if has_default else [a for a in MUST_HANDLE if a not in handled_actions]
+    return F.coalesce(F.col("action_type").isin(*missing), F.lit(False)) if missing else F.lit(False)
+
+
+def unhandled_error() -> Column:
+    return F.concat(F.lit("CRITICAL: no handler registered for "), F.col("action_type"), F.lit(" (task="), F.col("task_id"), F.lit(")"))
+
+
 def dispatch_outcome(df: DataFrame, handled_actions: Sequence[str] = (), has_default: bool = False) -> DataFrame:
     """A dispatched action that must be handled fails when nothing handles it."""
-    unhandled = F.lit(False) if has_default else (
-        F.col("action_type").isin(*MUST_HANDLE) & ~F.col("action_type").isin(*handled_actions)
-        if handled_actions else F.col("action_type").isin(*MUST_HANDLE))
-    failed = (F.col("status") == "dispatched") & unhandled
-    error = F.concat(F.lit("CRITICAL: no handler registered for "), F.col("action_type"),
-                     F.lit(" (task="), F.col("task_id"), F.lit(")"))
+    failed = (F.col("status") == "dispatched") & unhandled(handled_actions, has_default)
     return df.withColumns({
-        "error": F.when(failed, error).otherwise(""),
+        "error": F.when(failed, unhandled_error()).otherwise(""),
         "status": F.when(failed, "failed").otherwise(F.col("status")),
     })
 

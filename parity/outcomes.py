@@ -303,7 +303,7 @@ def _(spark, sf):
     made = routed(spark, sf)
     req = approvals.create_approvals(made, carry=("event_id",))
     states = approvals.apply_approvals(req, approvals.accepted_decisions(req, decision_df(req), STEPS))
-    return approvals.approved_tasks(made, states).groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    return approvals.approved_tasks(made, states, has_default=True).groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("check_tampering", f"WITH {ROUTED_CTE} SELECT task_id FROM requests WHERE event_id % 5 = 0")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -15,12 +16,12 @@ from logwarden.operators import approvals, detect
 from logwarden.plans.sizing import checkpoint_dir
 from logwarden.schemas import LOG_SCHEMA
 from logwarden.sources import sinks
-from logwarden.streaming import keyed
+from logwarden.streaming import decisions, keyed
 from logwarden.streaming.tables import StreamFlow
 
 from .inputs import NORM_CTE, RAW_SQL, SERVICE, with_nested
 from .intake import mask_sql
-from .outcomes import BLOCKS_CTE, ROUTED_CTE, _net, request_df, task_df
+from .outcomes import BLOCKS_CTE, DECISION_CTE, ROUTED_CTE, _net, decision_df, request_df, routed, task_df
 from .registry import query
 from .stubs import stub_inference
 from .rules import CONF, rules
@@ -29,11 +30,45 @@ from logwarden.operators.normalize import normalize, split_valid
 
 
 def scratch(spark) -> str:
-    """A fresh folder in the shared checkpoint folder; a local one only where none is named."""
+    """A fresh folder in the shared checkpoint folder; a local one only in local mode, where none is named."""
     base = checkpoint_dir(spark)
+    if base is None and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="lw-")
 
 
+#: How late rows of the shuffled streams come at most, and the slots they wait in.
+DELAY_SEC, SLOT_SEC = 2 * 86400, 43200
+LATER = datetime(2100, 1, 1)
+SHUFFLED = {"delay": f"{DELAY_SEC} seconds", "slot_sec": SLOT_SEC, "until": LATER}
+
+
+def shuffled_stream(spark, rows, tie, clock, time_col="timestamp", n=4):
+    """A stream of ``n`` files, one per micro-batch, whose rows are up to ``DELAY_SEC`` late, and of a last clock row."""
+    folder = scratch(spark)
+    late = F.pmod(F.xxhash64(tie), F.lit(DELAY_SEC * 1_000_000))
+    rows.withColumn("_arrival", F.unix_micros(F.col(time_col).cast("timestamp")) + late).write.parquet(f"{folder}/rows")
+    stored = spark.read.parquet(f"{folder}/rows")
+    cuts = [None, *stored.approxQuantile("_arrival", [i / n for i in range(1, n)], 0.01), None]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        part = stored.filter((F.lit(True) if lo is None else F.col("_arrival") >= lo) & (F.lit(True) if hi is None else F.col("_arrival") < hi))
+        part.drop("_arrival").coalesce(1).write.mode("append").parquet(f"{folder}/files")
+    last = stored.drop("_arrival").limit(1)
+    last.withColumns({c: v.cast(last.schema[c].dataType) for c, v in clock.items()}).coalesce(1).write.mode("append").parquet(f"{folder}/files")
+    return spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/files")
+
+
+def shuffled_logs(spark, sf):
+    """Normalised logs of a shuffled stream of events; the clock is an event that any rule and any key takes."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.ROCKSDB)
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    clock = {"event_id": F.lit(1_000_000_001), "event_type": F.lit("error"), "value": F.lit(300), "ts": F.lit(LATER)}
+    stream = shuffled_stream(spark, events, "event_id", clock, "ts")
+    flat = spark.sql(RAW_SQL.replace("FROM events", "FROM {events}"), events=stream)
+    return normalize(split_valid(with_nested(flat))[0], SERVICE)
+
+
 def event_stream(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.ROCKSDB)
@@ -46,10 +81,6 @@ def raw_stream(spark, sf):
     return with_nested(flat)
 
 
-def norm_stream(spark, sf):
-    return normalize(split_valid(raw_stream(spark, sf))[0], SERVICE)
-
-
 def drain(spark, stream):
     """Run the stream over everything there is; its output as a table."""
     out = scratch(spark)
@@ -65,17 +96,17 @@ def drain(spark, stream):
 """)
 def _(spark, sf):
     fired = detect.explode_detections(
-        detect.detect_ensemble(norm_stream(spark, sf), detect.ensemble_rules(rules().dynamic_rules)))
+        detect.detect_ensemble(shuffled_logs(spark, sf), detect.ensemble_rules(rules().dynamic_rules)))
     tied = fired.withColumn("tie", F.concat(
         F.lpad(F.col("event_id").cast("string"), 12, "0"), F.lit("-"), F.lpad(F.col("rule_pos").cast("string"), 3, "0")))
-    return drain(spark, keyed.dedup_stream(tied, 21600)).filter(~F.col("late")).select("tie")
+    return drain(spark, keyed.dedup_stream(tied, 21600, **SHUFFLED)).filter(~F.col("late")).select("tie")
 
 
 @query("anomaly_stream", f"""
     WITH {NORM_CTE}, {ANOMALY_CTE} SELECT trace_id, prio AS priority, round(sc, 6) AS score FROM anomalies
 """)
 def _(spark, sf):
-    found = drain(spark, keyed.anomaly_stream(norm_stream(spark, sf), **ANOMALY))
+    found = drain(spark, keyed.anomaly_stream(shuffled_logs(spark, sf), **ANOMALY, **SHUFFLED))
     return found.select(F.col("tie").alias("trace_id"), "priority", F.round("score", 6).alias("score"))
 
 
@@ -85,7 +116,7 @@ def _(spark, sf):
     FROM traffic t ASOF LEFT JOIN blocks b ON t.ip = b.ip AND t.us >= b.us WHERE t.ip <> ''
 """)
 def _(spark, sf):
-    logs = norm_stream(spark, sf)
+    logs = shuffled_logs(spark, sf)
     kept = detect.explode_detections(detect.apply_threshold(
         detect.detect_ensemble(logs, detect.ensemble_rules(rules().dynamic_rules))))
     ip = F.col("payload.ip")
@@ -94,8 +125,8 @@ def _(spark, sf):
     traffic = logs.select(
         F.when(F.size("tags") > 0, _net(F.get("tags.category", F.lit(0)))).otherwise("").alias("ip"), "timestamp",
         F.lit(keyed.TRAFFIC).alias("kind"), F.col("event_id").cast("string").alias("tie"))
-    out = drain(spark, keyed.block_stream(blocks.unionByName(traffic), 86400 * 3))
-    return out.select(F.col("tie").cast("bigint").alias("event_id"), "is_blocked")
+    out = drain(spark, keyed.block_stream(blocks.unionByName(traffic), 86400 * 3, **SHUFFLED))
+    return out.filter(~F.col("late")).select(F.col("tie").cast("bigint").alias("event_id"), "is_blocked")
 
 
 @query("stream_flow", f"""
@@ -146,4 +177,55 @@ def _(spark, sf):
     return count("task_results", "task_id").unionByName(count("approvals", "approval_id"))
 
 
+_RECORDS = """
+    moved AS (SELECT r.*, t.description, CASE WHEN r.event_id % 3 = 0 THEN 'KILL_SWITCH' ELSE t.action_type END AS act,
+        CASE WHEN r.event_id % 5 = 0 THEN r.us + 5400000000 END AS change_us FROM requests r JOIN tasks t USING (task_id)),
+    seen AS (SELECT d.*, m.total_steps, m.act, coalesce(d.action = 'approved' AND m.change_us <= d.decided_us, false) AS tampered
+        FROM decisions d JOIN moved m USING (task_id)),
+    effective AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY decided_us, seq) AS step_order FROM seen
+        WHERE actor_id <> '' AND NOT tampered),
+    counted AS (SELECT *, coalesce(sum((action = 'rejected')::INT) OVER (PARTITION BY task_id ORDER BY step_order
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rej FROM effective),
+    taken AS (SELECT *, CASE WHEN action = 'rejected' THEN 'rejected' WHEN step_order = total_steps THEN 'approved' ELSE 'in_review' END AS state
+        FROM counted WHERE rej = 0 AND step_order <= total_steps),
+    told AS (SELECT *, CASE state WHEN 'rejected' THEN 'rejected' WHEN 'in_review' THEN 'blocked_approval'
+        ELSE CASE WHEN act = 'KILL_SWITCH' THEN 'failed' ELSE 'dispatched' END END AS task_status FROM taken),
+    ended AS (SELECT task_id, decided_us AS end_us, task_status FROM told WHERE state <> 'in_review')"""
+
+
+def decision_inputs(spark, sf):
+    """Requests, edits of some of their tasks, and decisions, all as moves."""
+    made = routed(spark, sf).withColumn("action_type", F.when(F.col("event_id") % 3 == 0, "KILL_SWITCH").otherwise(F.col("action_type")))
+    req = approvals.create_approvals(made, carry=("event_id", *decisions.EDITABLE))
+    edited = made.filter("event_id % 5 = 0 and status = 'blocked_approval'").withColumns({
+        "description": F.concat("description", F.lit(" (edited)")), "modified_by": F.lit("editor"),
+        "modified_at": F.timestamp_micros(F.unix_micros("created_at") + 5_400_000_000)})
+    return req, edited, decision_df(req)
+
+
+@query("decision_flow", f"""
+    WITH {DECISION_CTE.partition("usable AS")[0].rstrip().rstrip(",")}, {_RECORDS}
+    SELECT task_id, 'step' AS record, seq, step_order::BIGINT AS step_order, concat(state, ' ', task_status) AS detail,
+      CASE WHEN task_status = 'failed' THEN concat('CRITICAL: no handler registered for KILL_SWITCH (task=', task_id, ')') ELSE '' END AS error FROM told
+    UNION ALL
+    SELECT task_id, 'refused', seq, NULL, '', CASE WHEN actor_id = '' THEN 'task_id and actor_id are required'
+        WHEN decided_us > end_us THEN concat('task status is ', task_status, ', expected blocked_approval')
+        ELSE 'task content has been tampered with since approval was created' END
+      FROM seen LEFT JOIN ended USING (task_id) WHERE actor_id = '' OR tampered OR decided_us > end_us
+    UNION ALL
+    SELECT task_id, 'modified', 0, NULL, concat('description: ', description, ' -> ', description, ' (edited)'), '' FROM moved WHERE change_us IS NOT NULL
+""")
+def _(spark, sf):
+    """Requests, edits and decisions as one shuffled stream through the state machine of each task."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.ROCKSDB)
+    req, edited, decided = decision_inputs(spark, sf)
+    moves = decisions.request_moves(req).unionByName(decisions.change_moves(edited)).unionByName(decisions.decision_moves(decided))
+    stream = shuffled_stream(spark, moves, "task_id", {"timestamp": F.lit(LATER)})
+    out = drain(spark, decisions.decision_stream(stream, **SHUFFLED))
+    change = F.concat("field", F.lit(": "), "old_value", F.lit(" -> "), "new_value")
+    detail = F.when(F.col("record") == "modified", change).when(
+        F.col("record") == "step", F.concat_ws(" ", "status", "task_status")).otherwise("")
+    return out.select("task_id", "record", "seq", F.col("step_order").cast("bigint").alias("step_order"), detail.alias("detail"), "error")
+
+
 __all__ = ["request_df"]

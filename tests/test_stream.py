@@ -1,7 +1,9 @@
 """A stream cut into files gives what the batch form gives."""
 
 import tempfile
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from logwarden.config import load_rules
@@ -28,8 +30,18 @@ def write_parts(df, n=4):
     return folder
 
 
-def run(spark, df, build, n=4):
-    folder = write_parts(df, n)
+LATER = datetime(2100, 1, 1)
+
+
+def add_clock(df, folder):
+    """A last file with one row far behind the others: it moves the watermark over all that waits."""
+    df.limit(1).withColumn("timestamp", F.lit(LATER)).coalesce(1).write.mode("append").parquet(folder)
+
+
+def run(spark, df, build, n=4, clock=False, order="time"):
+    folder = write_parts(df, n) if order == "time" else write_shuffled(df, n)
+    if clock:
+        add_clock(df, folder)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out, check = tempfile.mkdtemp(prefix="lw-out-"), tempfile.mkdtemp(prefix="lw-check-")
     q = (build(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
@@ -38,6 +50,15 @@ def run(spark, df, build, n=4):
     return spark.read.parquet(out)
 
 
+def write_shuffled(df, n):
+    """The rows in ``n`` files without any order of time."""
+    folder = tempfile.mkdtemp(prefix="lw-stream-")
+    for i in range(n):
+        part = df.filter(F.pmod(F.xxhash64("timestamp", "tie"), F.lit(n)) == i)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def fired(spark, sf):
     rows = detect.explode_detections(
         detect.detect_ensemble(norm_logs(spark, sf), detect.ensemble_rules(rules().dynamic_rules)))
@@ -45,31 +66,62 @@ def fired(spark, sf):
         "timestamp", "event_name", "boundary", "service_id", "tie")
 
 
-def test_dedup_stream_equals_batch(spark, sf):
+# Rows wait at most this long; with files in no order, it must cover all of them.
+YEAR = {"delay": "400 days", "slot_sec": 86400, "until": LATER}
+
+
+@pytest.mark.parametrize("order", ["time", "shuffled"])
+def test_dedup_stream_equals_batch(spark, sf, order):
     rows = fired(spark, sf)
     batch = {r.tie for r in dedup.dedup_detections(rows, 21600, order_cols=("tie",)).collect()}
-    got = run(spark, rows, lambda s: keyed.dedup_stream(s, 21600))
+    options = {"until": LATER} if order == "time" else YEAR
+    got = run(spark, rows, lambda s: keyed.dedup_stream(s, 21600, **options), clock=True, order=order)
     assert not got.filter("late").count()
-    assert {r.tie for r in got.collect()} == batch and batch
+    assert sorted(r.tie for r in got.collect()) == sorted(batch) and batch
 
 
-def test_anomaly_stream_equals_batch(spark, sf):
-    logs = norm_logs(spark, sf).select("timestamp", "trace_id", "type", "boundary")
+@pytest.mark.parametrize("order", ["time", "shuffled"])
+def test_anomaly_stream_equals_batch(spark, sf, order):
+    logs = norm_logs(spark, sf).select("timestamp", "trace_id", "type", "boundary", F.col("trace_id").alias("tie"))
     conf = dict(window_sec=86400, baseline_sec=864000, threshold_pct=150.0, min_baseline=0.5)
     batch = {(r.trace_id, round(r.score, 6)) for r in anomaly.detect_anomaly(logs, **conf).collect()}
-    got = run(spark, logs, lambda s: keyed.anomaly_stream(s, **conf))
-    assert {(r.tie, round(r.score, 6)) for r in got.collect()} == batch and batch
+    options = {"until": LATER, "slot_sec": 7200} if order == "time" else YEAR
+    got = run(spark, logs, lambda s: keyed.anomaly_stream(s, **conf, **options), clock=True, order=order)
+    assert sorted((r.tie, round(r.score, 6)) for r in got.collect()) == sorted(batch) and batch
+
+
+BLOCK_ROWS = [
+    ("10.0.0.1", 0, 0, "b1"), ("10.0.0.1", 5, 2, "t1"), ("10.0.0.1", 10, 2, "t2"), ("10.0.0.1", 11, 2, "t3"),
+    ("10.0.0.2", 1, 0, "b2"), ("10.0.0.2", 2, 1, "l2"), ("10.0.0.2", 3, 2, "t4"), ("10.0.0.3", 4, 2, "t5"),
+    ("10.0.0.1", 20, 0, "b3"), ("10.0.0.1", 21, 2, "t6"), (None, 22, 2, "t7"), ("", 23, 2, "t8")]
 
 
-def test_block_stream_expires(spark):
-    rows = [("10.0.0.1", 0, 0, "b1"), ("10.0.0.1", 5, 2, "t1"), ("10.0.0.1", 10, 2, "t2"), ("10.0.0.1", 11, 2, "t3"),
-            ("10.0.0.2", 1, 0, "b2"), ("10.0.0.2", 2, 1, "l2"), ("10.0.0.2", 3, 2, "t4"), ("10.0.0.3", 4, 2, "t5"),
-            ("10.0.0.1", 20, 0, "b3"), ("10.0.0.1", 21, 2, "t6")]
-    df = spark.createDataFrame(rows, "ip string, s int, kind int, tie string").select(
+def moves_of(spark, rows):
+    return spark.createDataFrame(rows, "ip string, s int, kind int, tie string").select(
         "ip", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("timestamp"), "kind", "tie")
-    got = run(spark, df, lambda s: keyed.block_stream(s, 10), n=3)
-    assert {r.tie: r.is_blocked for r in got.collect()} == {
-        "t1": True, "t2": True, "t3": False, "t4": False, "t5": False, "t6": True}
+
+
+@pytest.mark.parametrize("order", ["time", "shuffled"])
+def test_block_stream_expires(spark, order):
+    df = moves_of(spark, BLOCK_ROWS)
+    got = run(spark, df, lambda s: keyed.block_stream(s, 10, slot_sec=4, until=LATER), n=3, clock=True, order=order)
+    assert {r.tie: (r.is_blocked, r.late) for r in got.collect()} == {
+        "t1": (True, False), "t2": (True, False), "t3": (False, False), "t4": (False, False), "t5": (False, False), "t6": (True, False)}
+
+
+def test_rows_behind_the_watermark_are_marked_late(spark):
+    """The third file is 90 seconds old with a delay of 20: only its rows are late, and they change nothing."""
+    folder = tempfile.mkdtemp(prefix="lw-stream-")
+    for rows in ([("a", 0, 0, "b"), ("a", 100, 2, "t1")], [("a", 85, 2, "t2")], [("a", 5, 1, "l"), ("a", 6, 2, "t3"), ("a", 101, 2, "t4")]):
+        moves_of(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    add_clock(moves_of(spark, rows), folder)
+    stream = spark.readStream.schema(moves_of(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out, check = tempfile.mkdtemp(prefix="lw-out-"), tempfile.mkdtemp(prefix="lw-check-")
+    q = (keyed.block_stream(stream, 0, "20 seconds", slot_sec=10, until=LATER).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start())
+    assert q.awaitTermination(240)
+    got = {r.tie: (r.is_blocked, r.kind, r.late) for r in spark.read.parquet(out).collect()}
+    assert got == {"t1": (True, 2, False), "t2": (True, 2, False), "t4": (True, 2, False), "l": (None, 1, True), "t3": (None, 2, True)}
 
 
 def test_stateless_stage_streams(spark, sf):
