@@ -35,6 +35,7 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95
 ROW_BLOCK, ANCHOR_BLOCK = 8192, 4096
+LEAST_BLOCK = 256
 #: Anchors scored at a time inside a cell.
 TILE = 256
 
@@ -188,7 +189,9 @@ def mine_hard_negatives(
     """
     own = written(integer_vectors(rows, vec_id, embedding, label, scale))
     size = own.agg(F.count("*").alias("rows"), F.count_if(anchor(F.col("id"))).alias("anchors")).first()
-    row_blocks, anchor_blocks = blocks(size.rows, row_block), blocks(size.anchors, anchor_block)
+    # A few hundred rows are a block where there are tasks for it, a full block where there are many rows.
+    spread = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks(size.rows, min(row_block, LEAST_BLOCK)))
+    row_blocks, anchor_blocks = max(blocks(size.rows, row_block), spread), blocks(size.anchors, anchor_block)
     anchors = own.where(anchor(F.col("id"))).toDF(*own.columns)  # columns of its own, as it meets ``own`` again
 
     def cells(df: DataFrame, mine: str, n: int, other: str, n_other: int) -> DataFrame:
