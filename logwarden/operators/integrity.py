@@ -5,6 +5,10 @@ chain key that holds too many rows for one task is split into lanes: rows go to
 lane ``md5(id) mod lanes`` and every lane is a chain of its own.  Altered,
 swapped or deleted rows break their lane; a lane cut off at the end shows in
 the signed table of chain heads.
+
+Every row carries its number in its lane (``chain_seq``).  A batch that starts from
+the heads of earlier ones counts on from them, so rows are verified in the order
+they were chained in, which need not be that of their times.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from ..plans.sizing import broadcast_if_small
 from .folds import fold_batches
 
 CHAIN_ROWS = 1_000_000
+SEQ = "chain_seq"
 
 
 # --- canonical text -------------------------------------------------------
@@ -91,9 +96,10 @@ def with_chain_lane(
 # --- building -------------------------------------------------------------
 
 def _chain_step(group: int, key: bytes | None):
-    """Fold over (group.., start, is_row, carried.., text): previous hash and hash.
+    """Fold over (group.., start, number, is_row, carried.., text): previous hash, hash and number.
 
-    A row with ``is_row`` false opens its group with the head of an earlier run.
+    A row with ``is_row`` false opens its group with the head of an earlier run and
+    the number of rows up to it.
     """
     def hasher(key):
         if key is None:
@@ -109,27 +115,29 @@ def _chain_step(group: int, key: bytes | None):
 
     def step(batches):
         digest = hasher(key)
-        last_group, previous = None, ""
+        last_group, previous, number = None, "", 0
         for b in batches:
             groups = zip(*[b.column(i).to_pylist() for i in range(group)])
-            starts, is_row = b.column(group).to_pylist(), b.column(group + 1).to_pylist()
+            starts, counts, is_row = (b.column(group + i).to_pylist() for i in range(3))
             texts = b.column(b.num_columns - 1).to_pylist()
-            prevs, hashes = [], []
-            for g, start, real, body in zip(groups, starts, is_row, texts):
+            prevs, hashes, numbers = [], [], []
+            for g, start, count, real, body in zip(groups, starts, counts, is_row, texts):
                 if g != last_group:
-                    last_group, previous = g, ""
+                    last_group, previous, number = g, "", 0
                 if not real:
-                    previous = start
+                    previous, number = start, count
                     continue
+                number += 1
+                numbers.append(number)
                 prevs.append(previous)
                 head, _, tail = body.rpartition(OPEN_LINK)
                 previous = digest(f'{head}"PreviousHash":"{previous}"{tail}{previous}'.encode())
                 hashes.append(previous)
             rows = b.filter(pa.array(is_row, pa.bool_()))
-            keep = range(group + 2, b.num_columns - 1)
+            keep = range(group + 3, b.num_columns - 1)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(i) for i in keep] + [pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
-                names=[b.schema.names[i] for i in keep] + ["previous_hash", "hash"],
+                [rows.column(i) for i in keep] + [pa.array(prevs, pa.string()), pa.array(hashes, pa.string()), pa.array(numbers, pa.int64())],
+                names=[b.schema.names[i] for i in keep] + ["previous_hash", "hash", SEQ],
             )
     return step
 
@@ -144,22 +152,23 @@ def _build(
         laned = df.withColumn("chain_lane", lane_of(F.col(id_col), F.lit(lanes)).cast("int"))
     else:
         laned = with_chain_lane(df, chain_cols, id_col, target_rows)
-    carried = [c for c in laned.columns if c not in ("previous_hash", "hash")]
+    carried = [c for c in laned.columns if c not in ("previous_hash", "hash", SEQ)]
     group = [*[f"_g{i}" for i in range(len(chain_cols))], "_lane"]
     named = [*[F.col(c).alias(g) for c, g in zip(chain_cols, group)], F.col("chain_lane").alias("_lane")]
     ready = laned.select(
-        *named, F.lit("").alias("_start"), F.lit(True).alias("_is_row"), *carried,
+        *named, F.lit("").alias("_start"), F.lit(0).cast("bigint").alias("_number"), F.lit(True).alias("_is_row"), *carried,
         canonical(F.lit("")).alias("_text"),
     )
     if heads is not None:
         ready = ready.unionByName(heads.select(
-            *named, F.col("head_hash").alias("_start"), F.lit(False).alias("_is_row"),
+            *named, F.col("head_hash").alias("_start"), F.col("n_rows").cast("bigint").alias("_number"), F.lit(False).alias("_is_row"),
             *[F.lit(None).cast(laned.schema[c].dataType).alias(c) for c in carried],
             F.lit("").alias("_text")))
     schema = T.StructType([
         *[T.StructField(c, laned.schema[c].dataType) for c in carried],
         T.StructField("previous_hash", T.StringType()),
         T.StructField("hash", T.StringType()),
+        T.StructField(SEQ, T.LongType()),
     ])
     return fold_batches(ready, group, ["_is_row", *order_cols], _chain_step(len(group), key), schema)
 
@@ -170,9 +179,8 @@ def build_hash_chain(
 ) -> DataFrame:
     """H_n = HMAC(key, canonical(row n with H_{n-1}) + H_{n-1}); the first H is blank.
 
-    ``lanes`` fixes the lanes of every chain instead of counting rows, and
-    ``heads`` (chain columns, chain_lane, head_hash) continues earlier chains:
-    both are for streams.  Constant ``chain_cols`` and one lane give the single
+    ``heads`` (chain columns, chain_lane, n_rows, head_hash) continues earlier chains, and
+    ``lanes`` fixes the lanes of every chain instead of counting rows.  Constant ``chain_cols`` and one lane give the single
     global chain.
     """
     if len(key) < 32:
@@ -188,14 +196,29 @@ def build_sha_chain(
     return _build(df, chain_cols, order_cols, None, target_rows, id_col, lanes, heads)
 
 
+def _signed(chain_cols: Sequence[str]) -> Column:
+    return F.concat_ws("|", *chain_cols, F.col("chain_lane"), F.col("n_rows"), F.col("head_hash"))
+
+
 def chain_heads(df: DataFrame, chain_cols: Sequence[str], order_cols: Sequence[str], key: bytes) -> DataFrame:
-    """Signed last hash and row count of every chain lane."""
+    """Signed last hash of every chain lane, and how many rows lead up to it.
+
+    Rows with numbers (``chain_seq``) count from the start of the chain, whatever part
+    of it is given; others are counted, and ``order_cols`` says which is the last.
+    """
+    numbered = SEQ in df.columns
     heads = df.groupBy(*chain_cols, "chain_lane").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.max_by("hash", F.struct(*order_cols)).alias("head_hash"),
+        (F.max(SEQ) if numbered else F.count(F.lit(1))).alias("n_rows"),
+        F.max_by("hash", F.col(SEQ) if numbered else F.struct(*order_cols)).alias("head_hash"),
     )
-    body = F.concat_ws("|", *chain_cols, F.col("chain_lane"), F.col("n_rows"), F.col("head_hash"))
-    return heads.withColumn("head_signature", hmac_sha256(body, key))
+    return heads.withColumn("head_signature", hmac_sha256(_signed(chain_cols), key))
+
+
+def last_heads(heads: DataFrame, chain_cols: Sequence[str]) -> DataFrame:
+    """Of the heads of several batches the last of every chain lane."""
+    rest = [c for c in ("head_signature",) if c in heads.columns]
+    return heads.groupBy(*chain_cols, "chain_lane").agg(
+        F.max("n_rows").alias("n_rows"), *[F.max_by(c, "n_rows").alias(c) for c in ("head_hash", *rest)])
 
 
 # --- verifying ------------------------------------------------------------
@@ -207,8 +230,15 @@ def verify_chain(
 
     Every row is checked on its own against the hash of the row before it, so the
     lanes of one chain are verified in parallel.  ``keys=None`` is the keyless variant.
+
+    Chains that several batches made are verified in the order of ``["chain_seq"]``; a number
+    that is not the next one counts as a broken link.
     """
     w = Window.partitionBy(*chain_cols, "chain_lane").orderBy(*order_cols)
+    next_one = F.lit(True)
+    if list(order_cols) == [SEQ]:
+        df = df.withColumn("_next", F.lag(SEQ, 1, 0).over(w) + 1)
+        next_one = F.coalesce(F.col("_next") == F.col(SEQ), F.lit(False))
     seen = df.withColumn("_expected", F.lag("hash", 1, "").over(w)).withColumn(
         "_body", F.concat(canonical(text("previous_hash")), F.col("_expected")))
     key_index = F.lit(None).cast("int")
@@ -217,9 +247,9 @@ def verify_chain(
         key_index = F.when(digest == F.col("hash"), F.lit(i)).otherwise(key_index)
     key_index = F.when(text("hash") != "", key_index)
     return seen.withColumns({
-        "link_ok": text("previous_hash") == F.col("_expected"),
+        "link_ok": (text("previous_hash") == F.col("_expected")) & next_one,
         "key_index": key_index,
-    }).withColumn("hash_ok", F.col("key_index").isNotNull()).drop("_expected", "_body")
+    }).withColumn("hash_ok", F.col("key_index").isNotNull()).drop("_expected", "_body", "_next")
 
 
 def chain_report(verified: DataFrame, chain_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
@@ -233,6 +263,29 @@ def chain_report(verified: DataFrame, chain_cols: Sequence[str], order_cols: Seq
     )
 
 
+def verify_heads(df: DataFrame, heads: DataFrame, chain_cols: Sequence[str], keys: Sequence[bytes]) -> DataFrame:
+    """Per chain lane the numbered rows that are there against the signed head.
+
+    n_rows and n_missing (rows that the head counts and that are gone, at the end or
+    anywhere), ``end_ok`` (the last row is the one that was signed) and ``head_ok`` (one
+    of the keys signed the head).  A chain without a head, or a head without rows, shows as well.
+    """
+    there = df.groupBy(*chain_cols, "chain_lane").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(SEQ).alias("_last"), F.max_by("hash", SEQ).alias("_hash"))
+    names = [*chain_cols, "chain_lane"]
+    told = last_heads(heads, chain_cols).select(*[F.col(c).alias(f"_h_{c}") for c in names], "n_rows", "head_hash", "head_signature")
+    both = there.join(told, [there[c].eqNullSafe(told[f"_h_{c}"]) for c in names], "full")
+    both = both.select(*[F.coalesce(c, f"_h_{c}").alias(c) for c in names], "_n", "_last", "_hash", "n_rows", "head_hash", "head_signature")
+    ok = F.lit(False)
+    for key in keys:
+        ok = ok | (hmac_sha256(_signed(chain_cols), key) == F.col("head_signature"))
+    present = F.coalesce("_n", F.lit(0))
+    return both.select(
+        *names, present.alias("n_rows"), F.greatest(F.coalesce("n_rows", F.lit(0)) - present, F.lit(0)).alias("n_missing"),
+        F.coalesce((F.col("_last") == F.col("n_rows")) & (F.col("_hash") == F.col("head_hash")), F.lit(False)).alias("end_ok"),
+        F.coalesce(ok, F.lit(False)).alias("head_ok"))
+
+
 # --- single-row hashes ----------------------------------------------------
 
 def task_content(df: DataFrame) -> Column:
@@ -272,6 +325,6 @@ def agent_input_hash(df: DataFrame, column: str = "input_hash") -> DataFrame:
 
 __all__ = [
     "agent_input_hash", "build_hash_chain", "build_sha_chain", "canonical", "canonical_json",
-    "chain_heads", "chain_report", "content_id", "sign_payload", "task_content_hash", "verify_chain",
-    "with_chain_lane",
+    "chain_heads", "chain_report", "content_id", "last_heads", "sign_payload", "task_content_hash", "verify_chain",
+    "verify_heads", "with_chain_lane",
 ]

@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import RuleSet
 from ..functions.text import utc_date
 from ..operators import access, agents, anomaly, approvals, dedup, detect, integrity, masking, normalize
 from ..operators import outbox, response, tasks
+from ..schemas import CHAIN_HEADS as HEADS
 from ..schemas import DETECTION
 from ..sources import sinks
 
@@ -62,13 +64,45 @@ def prepare(raw: DataFrame, rules: RuleSet, now: Column | None = None, tell_apar
     return Prepared(mask(normalize.normalize(valid, rules.service_id, now, nth), rules), rejected, denied)
 
 
-def chain(logs: DataFrame, rules: RuleSet, order: Sequence[str]) -> DataFrame:
-    """Hash chains per service, boundary and day."""
+CHAIN = ("service_id", "boundary", "chain_date")
+
+
+def chain(logs: DataFrame, rules: RuleSet, order: Sequence[str], heads: DataFrame | None = None) -> DataFrame:
+    """Hash chains per service, boundary and day, continued from ``heads``."""
     if not rules.enable_hash_chain:
         return logs
-    dated = logs.withColumn(sinks.DATE, utc_date(F.col("timestamp")).cast("string"))
-    built = integrity.build_hash_chain(dated, ["service_id", "boundary", sinks.DATE], order, rules.hmac_key)
-    return built.drop(sinks.DATE)
+    dated = logs.withColumn(CHAIN[-1], utc_date(F.col("timestamp")).cast("string"))
+    return integrity.build_hash_chain(dated, CHAIN, order, rules.hmac_key, heads=heads)
+
+
+def with_day(heads: DataFrame) -> DataFrame:
+    """The day of a chain as a time, whatever the zone of the session."""
+    return heads.withColumn("chain_day", F.timestamp_micros(F.unix_date(F.to_date("chain_date")).cast("bigint") * 86_400_000_000))
+
+
+def heads_before(logs: DataFrame, root: str, batch_id: int | str) -> DataFrame:
+    """The chain heads a batch starts from, of the days it has logs of.
+
+    They are stored with the batch: when it is run again, it starts from the same heads,
+    whatever came after it.  A batch that is not the last may only be run again with the same logs.
+    """
+    spark = logs.sparkSession
+    stored = sinks.batch_table(spark, root, "chain_starts", batch_id, HEADS)
+    if stored is not None:
+        return stored
+    days = logs.agg(F.min(utc_date(F.col("timestamp"))).alias("lo"), F.max(utc_date(F.col("timestamp"))).alias("hi")).first()
+    heads = sinks.read_table(spark, root, "chain_heads", T.StructType([*HEADS.fields, T.StructField("head_signature", T.StringType())]))
+    if days.lo is not None:  # logs without a time get that of now, which may be a day later when they are written
+        heads = heads.filter(F.col(sinks.DATE).between(F.lit(days.lo), F.date_add(F.lit(days.hi), 1)))
+    before = integrity.last_heads(heads.filter(F.col(sinks.BATCH) != str(batch_id)), CHAIN).select(*HEADS.fieldNames())
+    sinks.append_table(with_day(before), root, "chain_starts", batch_id, "chain_day")
+    return sinks.batch_table(spark, root, "chain_starts", batch_id, HEADS)
+
+
+def store_heads(logs: DataFrame, rules: RuleSet, root: str, batch_id: int | str) -> None:
+    """The signed heads after a batch."""
+    heads = integrity.chain_heads(logs, CHAIN, [integrity.SEQ], rules.hmac_key)
+    sinks.append_table(with_day(heads), root, "chain_heads", batch_id, "chain_day")
 
 
 def detections_of(logs: DataFrame, rules: RuleSet, key: Sequence[str] = KEY) -> DataFrame:
@@ -146,8 +180,9 @@ def run_batch(
     sinks.append_table(ready.rejected, root, "rejected_logs", batch_id, "timestamp")
     if ready.denied is not None:
         sinks.append_table(ready.denied, root, "denied_logs", batch_id, "timestamp")
+    heads = heads_before(ready.logs, root, batch_id) if rules.enable_hash_chain else None
     marked = sinks.append_logs(
-        chain(ready.logs, rules, order), root, batch_id, rules.fail_on_persist_error, order)
+        chain(ready.logs, rules, order, heads), root, batch_id, rules.fail_on_persist_error, order)
 
     def stored(df: DataFrame, table: str, date_from: str | None = None) -> DataFrame:
         """Append the rows and read them again; a batch without rows is an empty table."""
@@ -157,6 +192,8 @@ def run_batch(
 
     # Refused rows are looked at all the same: only their storage failed.
     logs = sinks.staged_logs(spark, root, batch_id)
+    if rules.enable_hash_chain:
+        store_heads(logs, rules, root, batch_id)
     found = stored(detections_of(logs, rules, ROW), "detections")
 
     made = assign(found, rules, F.col("source_timestamp"), handled, has_default, [sinks.ROW_ID], ROW)

@@ -180,3 +180,9 @@ INFERENCE = T.StructType([
     T.StructField("tokens_used", T.IntegerType()),
     T.StructField("error", T.StringType()),
 ])
+
+CHAIN_HEADS = T.StructType([
+    T.StructField("service_id", T.StringType()), T.StructField("boundary", T.StringType()),
+    T.StructField("chain_date", T.StringType()), T.StructField("chain_lane", T.IntegerType()),
+    T.StructField("n_rows", T.LongType()), T.StructField("head_hash", T.StringType()),
+])

@@ -67,6 +67,14 @@ def read_table(spark: SparkSession, root: str, table: str, schema: T.StructType
         return spark.createDataFrame([], full)
 
 
+def batch_table(spark: SparkSession, root: str, table: str, batch_id: int | str, schema: T.StructType) -> DataFrame | None:
+    """What one batch wrote to a table; None if it wrote nothing yet."""
+    try:
+        return spark.read.schema(schema).parquet(f"{table_path(root, table)}/{BATCH}={batch_id}").select(*schema.fieldNames())
+    except AnalysisException:
+        return None
+
+
 def mark_duplicates(
     logs: DataFrame, stored_ids: DataFrame | None = None, order_cols: Sequence[str] = ("timestamp",),
     id_col: str = "trace_id",

@@ -23,14 +23,10 @@ from ..config import RuleSet
 from ..functions.text import utc_date
 from ..operators import agents, anomaly, approvals, dedup, detect, integrity, outbox, response, tasks
 from ..plans import flow
+from ..schemas import CHAIN_HEADS as HEADS
 from ..schemas import DETECTION, LOG_SCHEMA
 from ..sources import sinks
 
-HEADS = T.StructType([
-    T.StructField("service_id", T.StringType()), T.StructField("boundary", T.StringType()),
-    T.StructField("chain_date", T.StringType()), T.StructField("chain_lane", T.IntegerType()),
-    T.StructField("n_rows", T.LongType()), T.StructField("head_hash", T.StringType()),
-])
 KEPT = T.StructType([T.StructField("key", T.StringType()), T.StructField("last_us", T.LongType())])
 MARKS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("max_us", T.LongType())])
 ROWS = T.StructType([*LOG_SCHEMA.fields, T.StructField(sinks.ROW_ID, T.StringType())])
@@ -119,13 +115,11 @@ class StreamFlow:
         built = integrity.build_hash_chain(dated, CHAIN, ORDER, self.rules.hmac_key, lanes=self.lanes, heads=before)
         stored = self._write(built, "chained", batch_id, "timestamp")
         heads = self._write(integrity.chain_heads(stored, CHAIN, ORDER, self.rules.hmac_key), "chain_heads", batch_id)
-        both = before.withColumn("new", F.lit(0)).unionByName(
-            heads.select(*HEADS.fieldNames()).withColumn("new", F.lit(1)))
+        both = before.unionByName(heads.select(*HEADS.fieldNames()))
         if watermark is not None:
             # Rows of a day behind the watermark are late: its chains are finished.
             both = both.filter(F.col("chain_date") >= utc_date(F.timestamp_micros(F.lit(watermark))).cast("string"))
-        self._write(both.groupBy(*CHAIN, "chain_lane").agg(
-            F.sum("n_rows").alias("n_rows"), F.max_by("head_hash", "new").alias("head_hash")), "chain_state", batch_id)
+        self._write(integrity.last_heads(both, CHAIN), "chain_state", batch_id)
         return stored
 
     def _detections(self, logs: DataFrame, batch_id: int, marks: list[tuple[int, int]], watermark: int | None) -> DataFrame:

@@ -9,22 +9,24 @@ import tempfile
 import uuid
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logwarden.config import load_rules
-from logwarden.operators import approvals, detect
+from logwarden.operators import approvals, detect, integrity
+from logwarden.plans import flow
 from logwarden.plans.sizing import checkpoint_dir
 from logwarden.schemas import LOG_SCHEMA
 from logwarden.sources import sinks
 from logwarden.streaming import decisions, keyed
 from logwarden.streaming.tables import StreamFlow
 
-from .inputs import NORM_CTE, RAW_SQL, SERVICE, with_nested
+from .inputs import NORM_CTE, RAW_SQL, SERVICE, raw_logs, with_nested
 from .intake import mask_sql
 from .outcomes import BLOCKS_CTE, DECISION_CTE, ROUTED_CTE, _net, decision_df, request_df, routed, task_df
 from .registry import query
 from .stubs import stub_inference
-from .rules import CONF, rules
+from .rules import CONF, HMAC_KEY, rules
 from .signals import ANOMALY, ANOMALY_CTE, DEDUP_CTE, fired_cte
 from logwarden.operators.normalize import normalize, split_valid
 
@@ -228,4 +230,41 @@ def _(spark, sf):
     return out.select("task_id", "record", "seq", F.col("step_order").cast("bigint").alias("step_order"), detail.alias("detail"), "error")
 
 
+@query("batch_flow", f"""
+    WITH {NORM_CTE}, c AS (SELECT boundary, CAST(CAST(event_ts AS DATE) AS VARCHAR) AS chain_date, count(*)::BIGINT AS n FROM norm GROUP BY ALL)
+    SELECT boundary, chain_date, n AS n_rows, 0::BIGINT AS links_broken, 0::BIGINT AS rows_altered, 0::BIGINT AS n_missing, true AS end_ok,
+      CASE WHEN n % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS cut_missing, n % 3 <> 0 AS cut_end_ok, 0::BIGINT AS cut_broken FROM c
+""")
+def _(spark, sf):
+    """Three batches that share all days, so that each one brings times before those already chained.
+
+    The chains of the stored logs are verified as they are, and again with the last two
+    rows of some chains cut off: no link of the rest is broken, the signed heads tell.
+    """
+    r = load_rules({**CONF, "masking_policies": [], "authorization": {}, "response": {}, "agent": {}, "ensemble": {}})
+    root = f"{scratch(spark)}/tables"
+    raw = raw_logs(spark, sf)
+    for batch in (2, 0, 1):
+        part = raw.filter(F.col("event_id") % 3 == batch)
+        flow.run_batch(part.select(*[c for c in part.columns if c in LOG_SCHEMA.fieldNames()]), r, root, batch)
+    logs = sinks.read_table(spark, root, "logs")
+    heads = sinks.read_table(spark, root, "chain_heads")
+    chain, number = list(flow.CHAIN), [integrity.SEQ]
+
+    def reports(rows):
+        links = integrity.chain_report(integrity.verify_chain(rows, chain, number, [HMAC_KEY]), chain, number)
+        return links, integrity.verify_heads(rows, heads, chain, [HMAC_KEY])
+
+    size = F.max(integrity.SEQ).over(Window.partitionBy(*chain, "chain_lane"))
+    cut = logs.withColumn("_n", size).filter((F.col("_n") % 3 != 0) | (F.col(integrity.SEQ) <= F.col("_n") - 2)).drop("_n")
+    links, ends = reports(logs)
+    cut_links, cut_ends = reports(cut)
+    keys = [*chain, "chain_lane"]
+    both = links.join(ends.filter("head_ok").drop("n_rows"), keys).join(
+        cut_ends.select(*keys, F.col("n_missing").alias("cut_missing"), F.col("end_ok").alias("cut_end_ok")), keys).join(
+        cut_links.select(*keys, (F.col("links_broken") + F.col("rows_altered")).alias("cut_broken")), keys)
+    return both.select(
+        "boundary", "chain_date", "n_rows", "links_broken", "rows_altered", "n_missing", "end_ok", "cut_missing", "cut_end_ok", "cut_broken")
+
+
 __all__ = ["request_df"]

@@ -1,9 +1,11 @@
 import hashlib
 import hmac
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helpers import at, counts_by_scan, kept_by_walk, log, norm
@@ -76,6 +78,40 @@ def test_chain_continues_from_heads(spark):
     assert pairs(whole) == pairs(first) | pairs(rest)
 
 
+def test_chains_count_on_over_batches_in_any_order_of_time(spark):
+    df = norm(spark, *chain_rows(30, ("a", "b")))
+    parts = [df.filter(F.pmod(F.crc32("trace_id"), F.lit(3)) == i) for i in (2, 0, 1)]
+    heads, built, stored = None, [], []
+    for part in parts:  # each batch has times before and after those of the others
+        rows = integrity.build_hash_chain(part, CHAIN, ORDER, KEY, heads=heads).cache()
+        built.append(rows)
+        stored.append(integrity.chain_heads(rows, CHAIN, ORDER, KEY))
+        heads = integrity.last_heads(reduce(DataFrame.unionByName, stored), CHAIN)
+    logs, heads = reduce(DataFrame.unionByName, built), reduce(DataFrame.unionByName, stored)
+    number = [integrity.SEQ]
+
+    def broken(rows):
+        r = integrity.chain_report(integrity.verify_chain(rows, CHAIN, number, [KEY]), CHAIN, number)
+        return r.agg(F.sum("links_broken"), F.sum("rows_altered")).first()
+
+    assert tuple(broken(logs)) == (0, 0)
+    assert sorted(r.chain_seq for r in logs.filter("boundary = 'a'").collect()) == list(range(1, 16))
+    whole = integrity.verify_heads(logs, heads, CHAIN, [OLD, KEY]).collect()
+    assert [(r.n_rows, r.n_missing, r.end_ok, r.head_ok) for r in whole] == [(15, 0, True, True)] * 2
+    cut = logs.filter("boundary = 'b' or chain_seq <= 13")
+    assert tuple(broken(cut)) == (0, 0)
+    ends = {r.boundary: (r.n_rows, r.n_missing, r.end_ok) for r in integrity.verify_heads(cut, heads, CHAIN, [KEY]).collect()}
+    assert ends == {"a": (13, 2, False), "b": (15, 0, True)}
+    gone = {r.boundary: (r.n_rows, r.n_missing, r.end_ok) for r in integrity.verify_heads(logs.filter("boundary = 'b'"), heads, CHAIN, [KEY]).collect()}
+    assert gone["a"] == (0, 15, False)
+    forged = integrity.verify_heads(cut, integrity.chain_heads(cut, CHAIN, ORDER, OLD), CHAIN, [KEY])
+    assert not forged.filter("head_ok").count()
+    inner = logs.filter("boundary <> 'a' or chain_seq <> 5")
+    assert tuple(broken(inner)) == (1, 1)
+    renumbered = logs.withColumn("chain_seq", F.when(F.col("chain_seq") > 9, F.col("chain_seq") + 1).otherwise(F.col("chain_seq")))
+    assert tuple(broken(renumbered)) == (2, 0)
+
+
 def test_rotation_and_keyless(spark):
     built = integrity.build_hash_chain(norm(spark, *chain_rows(5)), CHAIN, ORDER, OLD)
     index = lambda keys: {r.key_index for r in integrity.verify_chain(built, CHAIN, ORDER, keys).collect()}
