@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read from there: computed once, and plans do not grow in loops.
+
+    In local mode a scratch folder stands in where the session names none.
+    """
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.gettempdir()}/checkpoint-{spark.sparkContext.applicationId}"
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread a source of few partitions over all cores.
 

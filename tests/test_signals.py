@@ -207,6 +207,22 @@ def test_dedup_slices_equal_a_walk(spark, seed, window, slice_sec):
     assert run_dedup(spark, [(k, round(s, 6), t) for k, s, t in rows], window, slice_sec=slice_sec) == want
 
 
+@pytest.mark.parametrize("seed, window, slice_sec, hot", [(1, 7, 10, 0), (2, 50, 10, 150), (3, 3, 100, 0), (4, 400, 7, 0), (5, 11, 5, 400)])
+def test_busy_keys_by_pointer_doubling_equal_a_walk(spark, seed, window, slice_sec, hot):
+    """All keys or the busy one only; then the same in two runs, the second of which begins in the middle of a slice."""
+    rng = random.Random(seed)
+    rows = [(rng.choice("aaaaaabc"), round(rng.uniform(0, 3000), 6), i) for i in range(900)]
+    rows = [r for r in rows if not 700 < r[1] < 1900]
+    want = {t for _, _, t in kept_by_walk(rows, window)}
+    options = {"slice_sec": slice_sec, "hot_steps": hot}
+    assert run_dedup(spark, rows, window, **options) == want
+    cut = sorted(r[1] for r in rows)[len(rows) // 3]
+    first, rest = [r for r in rows if r[1] <= cut], [r for r in rows if r[1] > cut]
+    kept = dedup.dedup_detections(detection_df(spark, first), window, order_cols=("tie",), **options)
+    again = run_dedup(spark, rest, window, state=dedup.dedup_state(kept, None), **options)
+    assert {r.tie for r in kept.collect()} | again == want
+
+
 def test_dedup_continues_from_state(spark):
     rng = random.Random(9)
     rows = sorted(((rng.choice("ab"), rng.randrange(1000), i) for i in range(300)), key=lambda r: (r[1], r[2]))
