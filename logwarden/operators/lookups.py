@@ -1,4 +1,9 @@
-"""Lookups over stored tables."""
+"""Lookups over stored tables.
+
+A lookup by id is an equality that reaches the Parquet reader.  ``sinks.append_table`` sorts the
+tables by their id and writes Bloom filters, so of all files only the footers are read,
+and of row groups only those that may have the id.
+"""
 
 from __future__ import annotations
 

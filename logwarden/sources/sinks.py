@@ -37,6 +37,15 @@ TABLES = {
 }
 
 
+# The id by which single rows of a table are looked up.
+LOOKUP = {"logs": "trace_id", "tasks": "task_id", "approvals": "task_id", "pending_blocks": "block_id"}
+
+
+def indexed(column: str) -> dict[str, str]:
+    """Parquet options: a Bloom filter of the ids of every row group, sized by how many there are."""
+    return {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
+
 def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
@@ -48,11 +57,17 @@ def append_table(
 
     Rows are rebalanced by date first: a date gets as many files as its size
     needs, a busy date is split, and no task writes a file for every date.
+    Tables with a lookup id are sorted by it inside their files and have Bloom filters, so
+    a lookup reads the pages that may have the id and no row group that cannot.
     """
     dated = df.withColumn(DATE, utc_date(F.col(date_from or TABLES[table])))
     if rebalance:
         dated = dated.hint("rebalance", F.col(DATE))
-    dated.write.mode("overwrite").partitionBy(DATE).parquet(f"{table_path(root, table)}/{BATCH}={batch_id}")
+    column = LOOKUP.get(table)
+    if column in dated.columns:
+        dated = dated.sortWithinPartitions(DATE, column)
+    writer = dated.write.mode("overwrite").options(**(indexed(column) if column in dated.columns else {}))
+    writer.partitionBy(DATE).parquet(f"{table_path(root, table)}/{BATCH}={batch_id}")
 
 
 def read_table(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None) -> DataFrame:

@@ -13,15 +13,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logwarden.config import load_rules
-from logwarden.operators import approvals, detect, integrity
+from logwarden.operators import approvals, detect, integrity, response
 from logwarden.plans import flow
 from logwarden.plans.sizing import checkpoint_dir
 from logwarden.schemas import LOG_SCHEMA
 from logwarden.sources import sinks
 from logwarden.streaming import decisions, keyed
+from logwarden.streaming.blocks import block_join_stream
 from logwarden.streaming.tables import StreamFlow
 
-from .inputs import NORM_CTE, RAW_SQL, SERVICE, raw_logs, with_nested
+from .inputs import NORM_CTE, RAW_SQL, SERVICE, norm_logs, raw_logs, with_nested
 from .intake import mask_sql
 from .outcomes import BLOCKS_CTE, DECISION_CTE, ROUTED_CTE, _net, decision_df, request_df, routed, task_df
 from .registry import query
@@ -131,6 +132,48 @@ def _(spark, sf):
     return out.filter(~F.col("late")).select(F.col("tie").cast("bigint").alias("event_id"), "is_blocked")
 
 
+LIFTED_SQL = f"""
+    WITH {BLOCKS_CTE}, moves AS (SELECT ip, us * 2 AS m FROM blocks UNION ALL SELECT ip, us * 2 + 1 FROM traffic WHERE event_id % 40 = 5),
+    latest AS (SELECT t.event_id, max(m) AS m FROM traffic t LEFT JOIN moves b
+      ON t.ip = b.ip AND b.m // 2 <= t.us AND t.us - b.m // 2 <= 86400000000 * 3 WHERE t.ip <> '' GROUP BY ALL)
+    SELECT event_id, CASE WHEN m % 2 = 0 THEN m // 2 END AS blocked_at_us, coalesce(m % 2 = 0, false) AS is_blocked FROM latest
+"""
+
+
+def traffic_and_moves(logs):
+    """Traffic by address, and the blocks and lifts that the logs lead to."""
+    address = F.when(F.size("tags") > 0, _net(F.get("tags.category", F.lit(0)))).otherwise("")
+    traffic = logs.select(address.alias("ip"), "timestamp", "event_id", F.col("event_id").cast("string").alias("tie"))
+    kept = detect.explode_detections(detect.apply_threshold(
+        detect.detect_ensemble(logs, detect.ensemble_rules(rules().dynamic_rules))))
+    ip = F.col("payload.ip")
+    blocks = kept.filter((F.col("payload.kind") == "security_intrusion") & (ip != "0.0.0.0")).select(
+        _net(ip).alias("ip"), "timestamp", F.lit(keyed.BLOCK).alias("kind"))
+    lifts = traffic.filter("event_id % 40 = 5").select("ip", "timestamp", F.lit(keyed.LIFT).alias("kind"))
+    return traffic, blocks, lifts
+
+
+@query("flag_lifted_traffic", LIFTED_SQL)
+def _(spark, sf):
+    """The as-of lookup with lifts."""
+    traffic, blocks, lifts = traffic_and_moves(norm_logs(spark, sf))
+    flagged = response.flag_blocked_traffic(
+        traffic.withColumn("event_us", F.unix_micros("timestamp")), blocks.withColumnRenamed("timestamp", "blocked_at"), 86400 * 3,
+        carry=("event_id",), lifts=lifts.withColumnRenamed("timestamp", "lifted_at"))
+    inside = F.col("event_us") - F.col("blocked_at_us") <= 86400_000_000 * 3
+    return flagged.filter("ip <> ''").select("event_id", F.when(inside, F.col("blocked_at_us")).alias("blocked_at_us"), "is_blocked")
+
+
+@query("block_join_stream", LIFTED_SQL)
+def _(spark, sf):
+    """The same as an outer join of two shuffled streams."""
+    traffic = traffic_and_moves(shuffled_logs(spark, sf))[0]
+    _, blocks, lifts = traffic_and_moves(shuffled_logs(spark, sf))
+    delay = f"{DELAY_SEC} seconds"
+    out = drain(spark, block_join_stream(traffic, blocks.unionByName(lifts), 86400 * 3, delay, delay, LATER))
+    return out.select(F.col("tie").cast("bigint").alias("event_id"), "blocked_at_us", "is_blocked")
+
+
 @query("stream_flow", f"""
     WITH RECURSIVE {NORM_CTE}, masked AS (SELECT * REPLACE ({mask_sql('message')} AS message) FROM norm),
     {fired_cte(source='masked')},
