@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.crypto import content_id
 from ..functions.text import text, utc_date
 from ..plans.sizing import broadcast_if_small
+from . import id_index
 
 DATE = "event_date"
 BATCH = "batch_id"
@@ -146,7 +147,7 @@ def append_logs(
     it again, and the position in its files tells equal records apart.
     They have a ``row_id`` then, made here unless ``logs`` has it.  ``strict`` raises instead when any row is refused.  ``lookback_days`` looks
     for stored trace ids only in the days before the batch; without it all days
-    are searched.  ``stored`` gives the rows to search instead.
+    are searched, through the index of ids that every batch adds to.  ``stored`` gives the rows to search instead.
     """
     spark = logs.sparkSession
     # Chained logs are grouped by day already.
@@ -154,7 +155,14 @@ def append_logs(
     staged = staged_logs(spark, root, batch_id, table)
     staged = staged.select(
         *logs.columns, *([] if ROW_ID in logs.columns else [ROW_ID]), "_metadata.file_path", "_metadata.row_index")
-    if stored is None:
+    where = table_path(root, table)
+    if stored is None and lookback_days is None:
+        stored = id_index.known_ids(staged, where, batch_id, "trace_id")
+        # Batches that were written before there was an index are read.
+        old = set(id_index.batches_of(spark, where)) - id_index.indexed_batches(spark, where) - {str(batch_id)}
+        if old:
+            stored = stored.unionByName(read_table(spark, root, table, logs.schema).filter(F.col(BATCH).isin(*old)).select("trace_id"))
+    elif stored is None:
         stored = read_table(spark, root, table, logs.schema).filter(F.col(BATCH) != str(batch_id))
     if lookback_days is not None:
         oldest = staged.agg(F.date_sub(F.min(utc_date(F.col(TABLES["logs"]))), lookback_days)).first()[0]
@@ -164,6 +172,8 @@ def append_logs(
     if strict and not marked.filter("degraded").isEmpty():
         raise RuntimeError("persist log: duplicate trace id")
     append_table(marked.filter(~F.col("degraded")).drop("degraded", "warning"), root, table, batch_id)
+    id_index.write_index(
+        batch_table(spark, root, table, batch_id, T.StructType([logs.schema["trace_id"]])), where, batch_id, "trace_id")
     return marked
 
 

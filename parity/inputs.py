@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.operators.normalize import normalize, split_valid
-from logwarden.plans.sizing import spread_small
+from logwarden.plans.sizing import checkpoint_dir, spread_small
 from logwarden.schemas import AI_CONTEXT, BACK_LOG_ENTRY, LOG_SCHEMA
 
 SERVICE = "demo-service"
@@ -74,6 +77,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def scratch(spark) -> str:
+    """A fresh folder in the shared checkpoint folder; a local one only in local mode, where none is named."""
+    base = checkpoint_dir(spark)
+    if base is None and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="lw-")
+
+
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw log records with their nested columns; every row of ``events``."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -118,4 +129,4 @@ def us(df: DataFrame, column: str = "timestamp", out: str = "us") -> DataFrame:
     return df.withColumn(out, F.unix_micros(column))
 
 
-__all__ = ["BACK_LOG_ENTRY", "NORM_CTE", "RAW_CTE", "RAW_SQL", "SERVICE", "norm_logs", "raw_logs", "table", "us"]
+__all__ = ["BACK_LOG_ENTRY", "NORM_CTE", "RAW_CTE", "RAW_SQL", "SERVICE", "norm_logs", "raw_logs", "scratch", "table", "us"]

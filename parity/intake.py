@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.config import MaskRule
@@ -10,7 +13,7 @@ from logwarden.operators import masking, normalize, validate
 from logwarden.sources import logs as sources
 from logwarden.sources import sinks
 
-from .inputs import CONTROL_SQL, NORM_CTE, RAW_CTE, WS_SQL, norm_logs, raw_logs, table, us
+from .inputs import CONTROL_SQL, NORM_CTE, RAW_CTE, WS_SQL, norm_logs, raw_logs, scratch, table, us
 from .registry import query
 from .rules import rules
 
@@ -109,6 +112,22 @@ def _(spark, sf):
     return marked.select("event_id", "trace_id", "degraded")
 
 
+@query("append_batches", f"""
+    WITH {RAW_CTE}, keyed AS (
+      SELECT event_id, event_id % 3 AS batch, concat('t-', CAST(event_id * 7 % 4001 AS VARCHAR)) AS trace_id, event_ts FROM raw),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY batch, event_ts, event_id) AS n FROM keyed)
+    SELECT event_id, trace_id, batch::BIGINT AS batch, n > 1 AS degraded, n = 1 AS stored FROM ranked
+""")
+def _(spark, sf):
+    """Three batches through the log sink: repeats inside a batch and of earlier ones are refused, all others are in the table."""
+    logs = raw_logs(spark, sf).withColumn("trace_id", F.concat(F.lit("t-"), (F.col("event_id") * 7 % 4001).cast("string")))
+    root = scratch(spark)
+    marked = [sinks.append_logs(logs.filter(F.col("event_id") % 3 == b), root, b, order_cols=("timestamp", "event_id")) for b in range(3)]
+    stored = sinks.read_table(spark, root, "logs", logs.schema).select("event_id", F.lit(True).alias("stored"))
+    rows = reduce(DataFrame.unionByName, marked).join(stored, "event_id", "left")
+    return rows.select("event_id", "trace_id", (F.col("event_id") % 3).alias("batch"), "degraded", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 # --- normalisation --------------------------------------------------------
 
 _DOC_MESSAGE = """CASE WHEN doc_id % 50 = 0 THEN repeat('　', 3)

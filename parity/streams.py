@@ -5,8 +5,6 @@ State and output folders go where the session says checkpoints go.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Window
@@ -15,14 +13,13 @@ from pyspark.sql import functions as F
 from logwarden.config import load_rules
 from logwarden.operators import approvals, detect, integrity, response
 from logwarden.plans import flow
-from logwarden.plans.sizing import checkpoint_dir
 from logwarden.schemas import LOG_SCHEMA
 from logwarden.sources import sinks
 from logwarden.streaming import decisions, keyed
 from logwarden.streaming.blocks import block_join_stream
 from logwarden.streaming.tables import StreamFlow
 
-from .inputs import NORM_CTE, RAW_SQL, SERVICE, norm_logs, raw_logs, with_nested
+from .inputs import NORM_CTE, RAW_SQL, SERVICE, norm_logs, raw_logs, scratch, with_nested
 from .intake import mask_sql
 from .outcomes import BLOCKS_CTE, DECISION_CTE, ROUTED_CTE, _net, decision_df, request_df, routed, task_df
 from .registry import query
@@ -32,14 +29,6 @@ from .signals import ANOMALY, ANOMALY_CTE, DEDUP_CTE, fired_cte
 from logwarden.operators.normalize import normalize, split_valid
 
 
-def scratch(spark) -> str:
-    """A fresh folder in the shared checkpoint folder; a local one only in local mode, where none is named."""
-    base = checkpoint_dir(spark)
-    if base is None and not spark.sparkContext.master.partition("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="lw-")
-
-
 #: How late rows of the shuffled streams come at most, and the slots they wait in.
 DELAY_SEC, SLOT_SEC = 2 * 86400, 43200
 LATER = datetime(2100, 1, 1)

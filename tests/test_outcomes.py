@@ -266,6 +266,35 @@ def test_append_logs_unique_and_repeatable(spark):
         sinks.append_logs(logs(spark, dict(trace_id="a")), root, 2, strict=True)
 
 
+def test_id_index_reads_the_files_that_may_hit(spark):
+    from logwarden.sources import id_index
+
+    path = tempfile.mkdtemp(prefix="lw-index-") + "/t"
+    ids = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("id-"), F.col("id").cast("string")).alias("k"))
+    assert id_index.known_ids(ids(0, 5), path, 0, "k").collect() == []
+    for batch in range(4):
+        id_index.write_index(ids(batch * 5000, (batch + 1) * 5000), path, batch, "k", 16)
+    id_index.write_index(ids(15_000, 20_000), path, 3, "k", 16)  # written again
+    asked = ids(7000, 7003).unionByName(ids(90_000, 95_000)).unionByName(ids(7001, 7002)).unionByName(spark.sql("select cast(null as string) as k"))
+    found = id_index.known_ids(asked, path, 9, "k", 16)
+    assert sorted(r.k for r in found.collect()) == ["id-7000", "id-7001", "id-7002"]
+    files = [f for f in found.inputFiles() if "_ids/" in f]
+    assert 1 <= len(files) <= 4 and any("batch_id=1/" in f for f in files)  # of 64
+    assert id_index.known_ids(ids(15_000, 15_010), path, 3, "k", 16).count() == 0  # its own batch does not count
+    assert id_index.known_ids(ids(0, 20_000), path, 9, "k", 16).count() == 20_000
+
+
+def test_batches_without_an_index_are_read(spark):
+    import shutil
+
+    root = tempfile.mkdtemp(prefix="lw-old-")
+    for batch in range(2):
+        sinks.append_logs(logs(spark, dict(trace_id=f"a{batch}"), dict(trace_id=f"b{batch}")), root, batch)
+    shutil.rmtree(f"{root}/logs_filters/batch_id=0")
+    marked = sinks.append_logs(logs(spark, dict(trace_id="a0"), dict(trace_id="a1"), dict(trace_id="c")), root, 2)
+    assert {r.trace_id: r.degraded for r in marked.collect()} == {"a0": True, "a1": True, "c": False}
+
+
 def test_run_batch(spark, sf):
     from parity.inputs import raw_logs
     from logwarden.schemas import LOG_SCHEMA
