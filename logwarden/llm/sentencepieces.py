@@ -26,7 +26,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +43,71 @@ MAX_CHARS = 24
 ENCODED = "struct<ids:array<int>, exact:boolean>"
 
 
+class PairTable:
+    """Which two segments make a piece, for many words at once.
+
+    Segments have numbers: pieces those of their ids, other characters of pieces the numbers
+    after them, all other characters the last one, which is in no pair.
+    """
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, float], chars: set[str]):
+        self.n_pieces = max(ids.values()) + 1
+        number = dict(ids)
+        for c in sorted(chars - set(ids)):
+            number[c] = self.n_pieces + len(number) - len(ids)
+        self.unknown = self.n_pieces + len(number) - len(ids)
+        self.base = self.unknown + 1
+        found = sorted((number[p[:k]] * self.base + number[p[k:]], r, ids[p]) for p, r in rank.items()
+                       for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.keys = np.array([f[0] for f in found], np.int64)
+        self.ranks = np.array([*(f[1] for f in found), np.inf])
+        self.merged = np.array([*(f[2] for f in found), -1], np.int64)
+        points = sorted((ord(c), n) for c, n in number.items() if len(c) == 1)
+        self.points = np.array([p[0] for p in points], np.int64)
+        self.numbers = np.array([p[1] for p in points], np.int64)
+        self.piece = np.zeros(self.base, bool)
+        self.piece[list(ids.values())] = True
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (infinite if they make no piece) and number of what two segments make."""
+        key = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        at[self.keys[at] != key] = len(self.keys)
+        return self.ranks[at], self.merged[at]
+
+    def fold(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Words of one length -> places of words and their segments, as rows of equal length.
+
+        Each round merges one pair of every word that has one: the best, the leftmost of
+        equals.  Words without one are done, so all others have equally many segments.
+        """
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.points, codes), len(self.points) - 1)
+        parts = np.where(self.points[at] == codes, self.numbers[at], self.unknown).reshape(len(words), -1)
+        place = np.arange(len(words))
+        rank, made = self.find(parts[:, :-1], parts[:, 1:])
+        while parts.shape[1] > 1:
+            best = rank.argmin(1)
+            goes_on = rank[np.arange(len(best)), best] < np.inf
+            if not goes_on.all():
+                yield place[~goes_on].tolist(), parts[~goes_on]
+                place, parts, rank, made, best = (x[goes_on] for x in (place, parts, rank, made, best))
+            if not len(place):
+                return
+            every, width = np.arange(len(best)), parts.shape[1]
+            new = made[every, best]
+            before = np.arange(width - 1) < best[:, None]
+            parts = np.where(before, parts[:, :-1], parts[:, 1:])
+            parts[every, best] = new
+            before = before[:, :-1]
+            rank, made = np.where(before, rank[:, :-1], rank[:, 1:]), np.where(before, made[:, :-1], made[:, 1:])
+            # Only the pairs on both sides of the merged one are new.
+            for rows, where in ((every[best < width - 2], best), (every[best > 0], best - 1)):
+                k = where[rows]
+                rank[rows, k], made[rows, k] = self.find(parts[rows, k], parts[rows, k + 1])
+        yield place.tolist(), parts
+
+
 class Pieces:
     """The piece table of a model file: text -> (id, rank), bytes -> id, id -> bytes."""
 
@@ -67,6 +132,7 @@ class Pieces:
                 self.raw.append(piece.encode().replace(BAR.encode(), b" "))
         self.longest = max(map(len, self.ids))
         chars = set("".join(self.ids))
+        self.pairs = PairTable(self.ids, self.rank, chars)
         if any(BAR in p.lstrip(BAR) for p in self.ids):
             raise ValueError("a piece goes on after a space: words cannot be cut at spaces")
         lone = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in chars)
@@ -82,22 +148,43 @@ class Pieces:
 
     def fold(self, word: str) -> list[int]:
         """Merges of one word: the best pair first, the leftmost of equals."""
-        rank = self.rank
         parts = list(word)
         if len(parts) > 48:
-            parts = self.fold_long(parts)
-        else:
-            while len(parts) > 1:
-                best, at = None, -1
-                for k in range(len(parts) - 1):
-                    r = rank.get(parts[k] + parts[k + 1])
-                    if r is not None and (best is None or r < best):
-                        best, at = r, k
-                if at < 0:
-                    break
-                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            return [i for p in self.fold_long(parts) for i in self.fallback(p)]
+        rank, none = self.rank.get, float("inf")
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            # Only the pairs on both sides of the merged one are new.
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], none)
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], none)
         return [i for p in parts for i in self.fallback(p)]
 
+    def fold_many(self, words: list[str]) -> dict[str, bytes]:
+        """word -> ids as 32-bit numbers; what ``fold`` gives, for many words at a time."""
+        by_length, out = defaultdict(list), {}
+        for w in words:
+            by_length[len(w)].append(w)
+        for length, same in by_length.items():
+            rest = same if length > 48 else []
+            for i in range(0, len(same) if length <= 48 else 0, 20_000):
+                part = same[i:i + 20_000]
+                for places, segments in self.pairs.fold(part):
+                    whole = self.pairs.piece[segments].all(1)
+                    raw, step = segments.astype(np.int32).tobytes(), 4 * segments.shape[1]
+                    for k, (place, ok) in enumerate(zip(places, whole.tolist(), strict=True)):
+                        if ok:
+                            out[part[place]] = raw[k * step:(k + 1) * step]
+                        else:
+                            rest.append(part[place])
+            for w in rest:  # long words, and characters that become bytes
+                out[w] = np.array(self.fold(w), np.int32).tobytes()
+        return out
+
     def fold_long(self, parts: list[str]) -> list[str]:
         """The same with a heap, for words of any length."""
         rank, n = self.rank, len(parts)
@@ -120,7 +207,7 @@ class Pieces:
         return [p for p in parts if p]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -200,11 +287,24 @@ def frequent(counts: DataFrame, max_words: int) -> DataFrame:
     return counts.where(F.lit(False) if lowest is None else level >= lowest).select("word")
 
 
-def dictionary(docs: DataFrame, pieces: Pieces, *, text: str, max_words: int, max_chars: int) -> dict[str, array]:
+def dictionary(docs: DataFrame, pieces: Pieces, *, text: str, max_words: int, max_chars: int) -> dict[str, bytes]:
     """The ids of the most frequent words, from the lattice; ``max_words`` x ``max_chars`` numbers at most."""
     counts = written(word_counts(docs, pieces, text=text, max_chars=max_chars))
     rows = lattice(saved(frequent(counts, max_words)), pieces).toPandas()
-    return {w: array("i", [i for s in segments for i in pieces.fallback(s)]) for w, segments in zip(rows["word"], rows["segments"], strict=True)}
+    return {w: array("i", [i for s in segments for i in pieces.fallback(s)]).tobytes() for w, segments in zip(rows["word"], rows["segments"], strict=True)}
+
+
+def chunks(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts in order, in lists of about so many characters; null is empty."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t.as_py() or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def encode(
@@ -219,21 +319,20 @@ def encode(
     @F.arrow_udf(ENCODED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces, known = shared.value
-        find = re.compile(pieces.pattern).findall
+        find, seen = re.compile(pieces.pattern).findall, dict(known)
         for texts in batches:
-            flat, ends, exact, more = array("i"), [0], [], {}
-            for t in texts:
-                t = t.as_py() or ""
-                for w in find(BAR + t.replace(" ", BAR)) if t else ():
-                    p = known.get(w) or more.get(w)
-                    if p is None:
-                        p = more[w] = array("i", pieces.fold(w))
-                        if len(more) > 50_000:
-                            more.clear()
-                    flat.extend(p)
-                exact.append(pieces.decode(flat[ends[-1]:]) == t)
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+            flat, ends, exact = [], [0], []
+            for part in chunks(texts):
+                found = [find(BAR + t.replace(" ", BAR)) if t else [] for t in part]
+                if len(seen) > len(known) + 100_000:
+                    seen = dict(known)
+                seen.update(pieces.fold_many(list({w for ws in found for w in ws if w not in seen})))
+                for t, ws in zip(part, found, strict=True):
+                    ids = b"".join(map(seen.__getitem__, ws))
+                    exact.append(pieces.decode(np.frombuffer(ids, np.int32).tolist()) == t)
+                    ends.append(ends[-1] + len(ids) // 4)
+                    flat.append(ids)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
             yield pa.StructArray.from_arrays([ids, pa.array(exact, pa.bool_())], names=["ids", "exact"])
 
     return docs.withColumn(out, run(F.col(text)))
