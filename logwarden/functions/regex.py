@@ -59,6 +59,29 @@ def spark_pattern(pattern: str) -> str:
     return "(?d)" + text
 
 
+def python_regex(pattern: str) -> re.Pattern:
+    """A pattern of ``spark_pattern``, or one of the built-in ones, for Python's ``re``.
+
+    Classes stay ASCII and case folding Unicode, as in Java, which one flag of ``re`` cannot say:
+    the classes are written out.
+    """
+    body = pattern.removeprefix("(?d)").replace("(?iu", "(?i")
+    out, in_class, i = [], False, 0
+    while i < len(body):
+        pair = body[i:i + 2]
+        if body[i] == "\\" and len(pair) == 2:
+            ascii_class = {"\\d": "0-9", "\\w": "0-9A-Za-z_"}.get(pair)
+            other = {"\\D": "[^0-9]", "\\W": "[^0-9A-Za-z_]", "\\z": "\\Z"}.get(pair)
+            out.append((ascii_class if in_class else f"[{ascii_class}]") if ascii_class else other if other and not in_class else pair)
+            i += 2
+            continue
+        if body[i] in "[]":
+            in_class = body[i] == "["
+        out.append(body[i])
+        i += 1
+    return re.compile("".join(out))
+
+
 def spark_replacement(text: str) -> str:
     """``${1}`` and ``$1`` name groups; every other ``$`` or backslash is literal."""
     out, i, after_group = [], 0, False

@@ -27,14 +27,18 @@ def route_approvals(
 ) -> DataFrame:
     """First rule for the event with the level in range, else first wildcard, else one step."""
     shape = T.ArrayType(ROUTING_RULE)
-    exact = literal([r for r in rules if r["event_name"]], shape)
+    by_event: dict[str, list[dict]] = {}
+    for r in rules:
+        if r["event_name"]:
+            by_event.setdefault(r["event_name"], []).append(r)
+    exact = F.try_element_at(literal(by_event, T.MapType(T.StringType(), shape)), F.col(event))
     wild = literal([r for r in rules if not r["event_name"]], shape)
 
     def in_range(r: Column) -> Column:
         return F.col(level).between(r["min_level"], r["max_level"])
 
     rule = F.coalesce(
-        F.get(F.filter(exact, lambda r: (r["event_name"] == F.col(event)) & in_range(r)), F.lit(0)),
+        F.get(F.filter(exact, in_range), F.lit(0)),
         F.get(F.filter(wild, in_range), F.lit(0)),
     )
     default = literal(DEFAULT_CHAIN, T.ArrayType(CHAIN_STEP))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -21,6 +20,7 @@ from ..functions.pii import (
     mask_text,
     pattern_table,
 )
+from ..functions.regex import python_regex
 from ..functions.text import text
 from ..schemas import LOG_TYPES, MAX_LEVEL, MIN_LEVEL, ORIGINS
 
@@ -316,7 +316,7 @@ def json_leaves_masker(
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        compiled = [(re.compile(p, re.ASCII), r) for p, r in chain]
+        compiled = [(python_regex(p), r) for p, r in chain]
 
         def mask(v, depth):
             # The client variant limits containers only, the server every value.

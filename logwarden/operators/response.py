@@ -34,11 +34,14 @@ def match_response_rule(detections: DataFrame, rules: Sequence[dict], default_st
         return PRIORITIES.index(r["min_priority"]) if r["min_priority"] in PRIORITIES else 0
 
     table = [{**r, "rank": rank(r)} for r in rules]
-    exact = literal([r for r in table if r["event_name"]], T.ArrayType(ranked))
+    by_event: dict[str, list[dict]] = {}
+    for r in table:
+        if r["event_name"]:
+            by_event.setdefault(r["event_name"], []).append(r)
+    exact = F.try_element_at(literal(by_event, T.MapType(T.StringType(), T.ArrayType(ranked))), F.col("event_name"))
     wild = literal([r for r in table if not r["event_name"]][:1], T.ArrayType(ranked))
     rule = F.coalesce(
-        F.get(F.filter(exact, lambda r: (r["event_name"] == F.col("event_name"))
-                       & (r["rank"] <= priority_rank(F.col("priority")))), F.lit(0)),
+        F.get(F.filter(exact, lambda r: r["rank"] <= priority_rank(F.col("priority"))), F.lit(0)),
         F.get(wild, F.lit(0)),
     )
     return detections.withColumn("response_rule", rule).withColumn(
@@ -123,6 +126,19 @@ def block_mode(
     return marked, pending
 
 
+def block_rows(df: DataFrame) -> DataFrame:
+    """The blocks of ``plan_blocks`` as rows of a block table: what is blocked, since when, and how it went.
+
+    ``ip`` and ``blocked_at`` are what ``flag_blocked_traffic`` and ``active_blocks`` look up.
+    """
+    b, t = F.col("block"), F.col("target")
+    return df.filter(b.isNotNull()).select(
+        content_id(F.lit("block"), F.col("trace_id"), F.col("event_name"), F.col("rule_pos").cast("string")).alias("block_id"),
+        b["action_type"].alias("action_type"), F.when(b["success"] & (b["action_type"] != "lock_account") & ~t["ip"].isin(*NO_IP), t["ip"]).otherwise("").alias("ip"),
+        b["target"].alias("target"), b["success"].alias("success"), text(b["error"]).alias("error"), F.col("event_name").alias("reason"),
+        F.col("trace_id"), F.col("timestamp").alias("blocked_at"))
+
+
 def resolve_blocks(pending: DataFrame, decisions: DataFrame, actions: Sequence[str] = BUILTIN_ACTIONS) -> DataFrame:
     """Pending blocks with status, resolver and, once approved, the block outcome.
 

@@ -61,7 +61,9 @@ def prepare(raw: DataFrame, rules: RuleSet, now: Column | None = None, tell_apar
         raw, denied = access.authorize_writes(raw, rules.client_roles, rules.roles, rules.default_role)
     valid, rejected = normalize.split_valid(normalize.conform(raw))
     nth = F.monotonically_increasing_id() if tell_apart else None
-    return Prepared(mask(normalize.normalize(valid, rules.service_id, now, nth), rules), rejected, denied)
+    # What is refused is stored as well, so it is masked like the rest.
+    refused = None if denied is None else mask(normalize.conform(denied), rules)
+    return Prepared(mask(normalize.normalize(valid, rules.service_id, now, nth), rules), mask(rejected, rules), refused)
 
 
 CHAIN = ("service_id", "boundary", "chain_date")
@@ -219,7 +221,7 @@ def run_batch(
         runs = delegate(made, rules, model)
         done = stored(runs, "agent_runs", "source_timestamp")
         sinks.append_table(agents.agent_task_results(done), root, "agent_task_results", batch_id, "dispatched_at")
-        sinks.append_table(agents.agent_results_to_logs(done), root, "agent_logs", batch_id, "timestamp")
+        sinks.append_table(agents.own_trace_ids(agents.agent_results_to_logs(done)), root, "agent_logs", batch_id, "timestamp")
     warnings = F.when(F.col("degraded"), F.array("warning")).otherwise(F.array().cast("array<string>"))
     return tasks.ingestion_result(
         marked, made.withColumn("trace_id", F.col("source_trace_id")), summaries, rules.enable_hash_chain,

@@ -49,6 +49,22 @@ def parse_records(df: DataFrame, column: str = "value") -> DataFrame:
     return df.select(F.from_json(column, LOG_SCHEMA).alias("_log")).select("_log.*")
 
 
+def split_malformed(df: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(log columns of the records that parse, the other rows as they came with ``parse_error``).
+
+    A record with a value of the wrong type, or that is no JSON object at all, keeps its text.
+    """
+    whole = T.StructType([*LOG_SCHEMA.fields, T.StructField("_malformed", T.StringType())])
+    read = df.withColumn("_log", F.from_json(column, whole, {"columnNameOfCorruptRecord": "_malformed"}))
+    object_like = F.startswith(F.ltrim(F.coalesce(column, F.lit(""))), F.lit("{"))
+    bad = F.coalesce(F.col("_log._malformed").isNotNull(), F.lit(True)) | ~object_like
+    reason = F.when(object_like, "record does not fit the log schema").otherwise("record is no JSON object")
+    return (
+        read.filter(~bad).select(*[F.col("_log")[f.name].alias(f.name) for f in LOG_SCHEMA.fields]),
+        read.filter(bad).withColumn("parse_error", reason).drop("_log"),
+    )
+
+
 def decode_log_json(df: DataFrame) -> DataFrame:
     """JSON-text columns to nested columns; null text gives null."""
     cols = {n: F.from_json(j, t) for n, (j, t) in JSON_COLUMNS.items() if j in df.columns}

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import RuleSet
 from ..functions.text import utc_date
-from ..operators import agents, anomaly, approvals, dedup, detect, integrity, outbox, response, tasks
+from ..operators import agents, anomaly, approvals, dedup, detect, integrity, normalize, outbox, response, tasks
 from ..plans import flow
 from ..schemas import CHAIN_HEADS as HEADS
 from ..schemas import DETECTION, LOG_SCHEMA
@@ -48,7 +48,7 @@ class StreamFlow:
     """The flow as a ``foreachBatch`` function over raw log records.
 
     ``handlers`` run over the dispatched tasks of an action, ``on_logs`` over
-    every processed batch, ``feedback`` is the folder agent logs go to so that
+    every processed batch, ``blocker`` over the blocks of a batch, ``feedback`` is the folder agent logs go to so that
     the same stream reads them again.
     """
 
@@ -62,6 +62,7 @@ class StreamFlow:
     default_handler: Callable[[DataFrame], None] | None = None
     on_logs: Callable[[DataFrame], None] | None = None
     notifier: Callable[[DataFrame], None] | None = None
+    blocker: Callable[[DataFrame], None] | None = None
     routing: dict[str, Sequence[str]] = field(default_factory=lambda: dict(flow.DEFAULT_ROUTING))
     channel_types: Sequence[str] = outbox.CHANNEL_TYPES
     feedback: str | None = None
@@ -161,9 +162,13 @@ class StreamFlow:
         r = self.rules
         planned = response.expand_strategy(response.extract_target(
             response.match_response_rule(found, r.response_rules, r.default_strategy)))
-        pending = response.block_mode(planned, r.block_mode)[1]
+        marked, pending = response.block_mode(planned, r.block_mode)
         if pending is not None:
             self._write(pending, "pending_blocks", batch_id)
+            return
+        blocks = self._write(response.block_rows(marked), "blocks", batch_id, "blocked_at")
+        if self.blocker:
+            self.blocker(blocks)
 
     # --- one micro-batch --------------------------------------------------
 
@@ -172,6 +177,8 @@ class StreamFlow:
         marks = self._marks(spark, batch_id)
         watermark = max(m for _, m in marks) - self.delay_sec * 1_000_000 if marks else None
         now, late = split_late(raw, watermark)
+        if watermark is not None:
+            late = flow.mask(normalize.conform(late), r)
         self._write(late, "late_logs", batch_id)
         ready = flow.prepare(now, r, tell_apart=True)
         self._write(ready.rejected, "rejected_logs", batch_id, "timestamp")

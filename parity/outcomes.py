@@ -149,7 +149,7 @@ def _(spark, sf):
 def _(spark, sf):
     counts = tasks.rule_counts(rules().frame(spark, "task_rules"))
     made = task_df(spark, sf).rollup("event_name").agg(F.count(F.lit(1)).alias("n_tasks"))
-    both = made.alias("m").join(F.broadcast(counts).alias("c"), F.col("m.event_name").eqNullSafe(F.col("c.event_name")))
+    both = made.alias("m").join(counts.alias("c"), F.col("m.event_name").eqNullSafe(F.col("c.event_name")))
     return both.select("m.event_name", "n_rules", "n_tasks")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logwarden.config import DynamicRule
 from logwarden.functions.crypto import hmac_sha256, pads
-from logwarden.operators import access, anomaly, dedup, detect, integrity
+from logwarden.operators import access, anomaly, dedup, detect, integrity, rule_index
 
 from .inputs import NORM_CTE, RAW_CTE, norm_logs, raw_logs, table, us
 from .registry import query
@@ -256,6 +256,55 @@ def _(spark, sf):
         *payload_cols())
 
 
+MANY = 2000
+
+
+def many_rules() -> list[DynamicRule]:
+    """Rules by type and level, rules for a user each, and some whose pattern has no fixed text."""
+    types = ("SECURITY", "COMPLIANCE", "SLA", "BUSINESS-AUDIT", "SYSTEM")
+    builders = ("security_intrusion", "compliance_violation", "other")
+    made = []
+    for i in range(MANY):
+        more = {"rule_id": f"r-{i}", "event_name": f"EVENT_{i % 9}", "priority": ("HIGH", "LOW", "odd")[i % 3], "score": (i % 10) / 10, "payload_builder": builders[i % 3]}
+        if i % 20 == 0:
+            more |= {"log_types": (types[i // 20 % 5],), "min_level": 4 + i // 100 % 3, "require_critical": (None, True, False)[i // 20 % 3],
+                     "tag_keys": ("ip",) if i % 60 == 0 else ()}
+        elif i % 20 == 1:
+            more |= {"message_pattern": f"[bB][yY].*[^0-9]{i % 50}$", "max_level": 3, "log_types": (types[i // 20 % 5],)}
+        else:
+            more |= {"message_pattern": f"by user {i}$", "max_level": 3 + i % 4, "origins": ("SYSTEM",) if i % 2 else ()}
+        made.append(DynamicRule(**more))
+    return made
+
+
+def _rule_rows() -> str:
+    rows = []
+    for i, r in enumerate(many_rules()):
+        critical = "NULL" if r.require_critical is None else str(r.require_critical).lower()
+        rows.append(f"({i}, '{r.rule_id}', '{r.event_name}', '{r.priority if r.priority != 'odd' else 'MEDIUM'}', {r.score or 1.0}, '{r.payload_builder}', "
+                    f"'{''.join(r.log_types)}', '{''.join(r.origins)}', {r.min_level}, {r.max_level}, {critical}, {str(bool(r.tag_keys)).lower()}, '{r.message_pattern if r.message_pattern.startswith("[") else ""}', "
+                    f"'{r.message_pattern.removesuffix("$") if r.message_pattern.startswith("by") else ""}')")
+    return ", ".join(rows)
+
+
+@query("many_rules", f"""
+    WITH {NORM_CTE}, rules(rule_pos, rule_id, event_name, priority, score, builder, types, origins, min_level, max_level, critical, tagged, pattern, tail) AS (
+      VALUES {_rule_rows()})
+    SELECT event_id, rule_pos::BIGINT AS rule_pos, event_name, priority, CAST(score AS DOUBLE) AS score, rule_id,
+      CASE builder WHEN 'other' THEN 'system_critical' ELSE builder END AS kind, CASE builder WHEN 'compliance_violation' THEN rule_id END AS rule_ref
+    FROM norm n JOIN rules r ON (tail = '' OR suffix(n.message, tail)) AND (r.types = '' OR n.type = r.types)
+      AND (r.origins = '' OR n.origin = r.origins) AND (min_level = 0 OR n.level >= min_level) AND (max_level = 0 OR n.level <= max_level)
+      AND (critical IS NULL OR n.is_critical = critical) AND (NOT tagged OR n.tag_ip <> '')
+      AND CASE WHEN pattern = '' THEN true ELSE regexp_matches(n.message, pattern) END
+    WHERE n.origin <> 'AI_AGENT' OR n.is_critical
+""")
+def _(spark, sf):
+    """Two thousand configured rules by index."""
+    return rule_index.match_rules(norm_logs(spark, sf), many_rules()).select(
+        "event_id", F.col("rule_pos").cast("bigint").alias("rule_pos"), "event_name", "priority", "score", "rule_id",
+        F.col("payload.kind").alias("kind"), F.col("payload.rule_ref").alias("rule_ref"))
+
+
 @query("build_payload", f"""
     WITH {NORM_CTE}, b AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 'System_Critical' WHEN 1 THEN 'security_intrusion'
       WHEN 2 THEN 'compliance_violation' ELSE 'whatever' END AS builder FROM norm)

@@ -312,3 +312,31 @@ def test_config_defaults_and_errors():
         with pytest.raises(RuntimeError):
             load_rules(bad)
     assert log()["type"] == "SYSTEM" and LOG_SCHEMA["level"]
+
+
+def test_required_texts():
+    from logwarden.operators.rule_index import required_texts
+
+    assert required_texts("by user 12$") == ["by user 12"] and required_texts("(?i)BRUTE\\s*force") == ["brute", "force"]
+    assert required_texts("(?i)password leaked") == ["word lea"] and required_texts("(?i:Token)abc(?:DEF)(ghi)") == ["abcdef", "ghi"]
+    for none in ("abc|def", "(abc)?", "[a-z]{9}", "(", "ab", "[[:alpha:]]foo", "\\pLabc", ""):
+        assert required_texts(none) == []
+
+
+def test_rules_by_index_fire_as_compiled_ones(spark):
+    from logwarden.operators import rule_index
+
+    rng = random.Random(4)
+    words = ["disk full", "Login FAILED", "user 7 gone", "x", "", "Ünïcode failed", "kelvin K sign"]
+    rows = [log(trace_id=f"t{i}", message=f"{rng.choice(words)} {rng.choice(words)}", type=rng.choice(["SECURITY", "SLA", "", None]), level=rng.choice([None, 0, 1, 3, 6, 9]),
+                origin=rng.choice(["SYSTEM", "AI_AGENT"]), is_critical=rng.random() < 0.5,
+                tags=[{"key": "ip", "category": "10.0.0.1"}] if rng.random() < 0.5 else []) for i in range(150)]
+    df = spark.createDataFrame(rows, LOG_SCHEMA)
+    patterns = ["", "", "failed", "(?i)failed", "(?i)kelvin k", "user \\d+ gone$", "x|disk", "^$", "[[:alpha:]]nïcode"]
+    rules = [DynamicRule(
+        f"r{i}", f"E{i}", priority=rng.choice(["HIGH", "none"]), score=rng.choice([0, 0.4]), payload_builder=rng.choice(["security_intrusion", "Compliance_Violation", "odd"]),
+        log_types=rng.choice([(), ("SLA",), ("SLA", "SECURITY", "SLA")]), origins=rng.choice([(), ("SYSTEM",)]), min_level=rng.choice([0, 0, 2, 7]), max_level=rng.choice([0, 0, 3, 8]),
+        message_pattern=rng.choice(patterns), require_critical=rng.choice([None, None, True, False]), tag_keys=rng.choice([(), ("ip",)])) for i in range(60)]
+    columns = ["trace_id", "rule_pos", "event_name", "priority", "score", "rule_id", "payload"]
+    want = sorted(map(str, detect.dynamic_rules(df, rules).select(*columns).collect()))
+    assert want and sorted(map(str, rule_index.match_rules(df, rules).select(*columns).collect())) == want

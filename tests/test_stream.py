@@ -163,8 +163,8 @@ def test_stream_flow_equals_batch(spark, sf):
     raw = raw.select(*[c for c in raw.columns if c in LOG_SCHEMA.fieldNames()])
     folder, root, check = write_parts(raw, 2), tempfile.mkdtemp(prefix="lw-t-"), tempfile.mkdtemp(prefix="lw-c-")
     feedback = tempfile.mkdtemp(prefix="lw-f-")
-    seen = []
-    job = StreamFlow(r, root, lanes=2, feedback=feedback, on_logs=lambda d: seen.append(d.count()),
+    seen, blocked = [], []
+    job = StreamFlow(r, root, lanes=2, feedback=feedback, on_logs=lambda d: seen.append(d.count()), blocker=lambda d: blocked.append(d.count()),
                      default_handler=lambda d: d.count(), model=stub_inference)
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     q = job.start(stream, check, availableNow=True)
@@ -190,7 +190,8 @@ def test_stream_flow_equals_batch(spark, sf):
     found = spark.read.parquet(f"{root}/detections")
     assert {(x.trace_id, x.rule_id) for x in found.collect()} == want and any(x[1] == "anomaly-frequency" for x in want)
 
-    before = {t: spark.read.parquet(f"{root}/{t}").count() for t in ("logs", "detections", "tasks", "outbox", "chain_heads")}
+    before = {t: spark.read.parquet(f"{root}/{t}").count() for t in ("logs", "detections", "tasks", "outbox", "chain_heads", "blocks")}
+    assert before["blocks"] == sum(blocked) == spark.read.parquet(f"{root}/responded").filter("block is not null").count() > 0
     part = spark.read.schema(raw.schema).parquet(folder)
     times = logs.filter(F.col(sinks.BATCH) == 1).agg(F.min("timestamp"), F.max("timestamp")).first()
     job(part.filter(F.col("timestamp").between(*times)), 1)

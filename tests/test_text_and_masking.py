@@ -187,3 +187,30 @@ def test_accessors(spark):
     out = df.select(text.tag_value(F.col("tags"), "ip", "-").alias("ip"), text.first_resource(F.col("resource_ids"), "-").alias("r"),
                     text.actor_or(F.col("actor_id"), "-").alias("a")).collect()
     assert [tuple(r) for r in out] == [("10.0.0.1", "-", "-"), ("-", "r", "a")]
+
+
+def test_json_masking_takes_registered_patterns(spark):
+    """Classes stay ASCII, case folds as in Java, ``.`` and ``$`` as in the rule dialect."""
+    table = pii.register_pattern("TICKET", r"(?i)tick-\d{3}\b")
+    table = pii.register_pattern("STAFF", r"[\w.]+@corp$", table)
+    value = {"a": "TICK-123 and tick-999", "b": ["x.y@corp", "x.y@corp\n", {"c": "tick-١٢٣"}], "d": 5}
+    df = spark.createDataFrame([(json.dumps(value),), (None,), ("tick-555",)], "v string")
+    names = ["TICKET", "STAFF"]
+    got = [r.v for r in df.select(masking.json_leaves_masker(names, pattern_set=table)("v").alias("v")).collect()]
+    assert json.loads(got[0]) == {"a": "[MASKED_TICKET] and [MASKED_TICKET]", "b": ["[MASKED_STAFF]", "x.y@corp\n", {"c": "tick-١٢٣"}], "d": 5}
+    assert got[1:] == [None, "[MASKED_TICKET]"]
+    flat = spark.createDataFrame([(s,) for s in ("TICK-123 and tick-999", "x.y@corp", "x.y@corp\n", "tick-١٢٣", "tick-1234")], "s string")
+    native = [r.m for r in flat.select(pii.mask_pii(F.col("s"), names, table).alias("m")).collect()]
+    python = [r.m for r in flat.select(masking.json_leaves_masker(names, pattern_set=table)(F.to_json(F.array("s"))).alias("m")).collect()]
+    assert [json.loads(m)[0] for m in python] == native
+
+
+def test_malformed_records_keep_their_text(spark):
+    from logwarden.sources.logs import split_malformed
+
+    rows = [('{"trace_id": "t", "message": "m", "level": 4}', 1), ('{"trace_id": "t", "level": "high"}', 2), ("plain text", 3), ('{"trace_id": ', 4), (None, 5), ("[1]", 6), ("{}", 7)]
+    good, bad = split_malformed(spark.createDataFrame(rows, "value string, offset int"))
+    assert [(r.trace_id, r.message, r.level) for r in good.collect()] == [("t", "m", 4), (None, None, None)]
+    assert {r.offset: (r.value, r.parse_error) for r in bad.collect()} == {
+        2: (rows[1][0], "record does not fit the log schema"), 3: ("plain text", "record is no JSON object"), 4: (rows[3][0], "record does not fit the log schema"),
+        5: (None, "record is no JSON object"), 6: ("[1]", "record is no JSON object")}
