@@ -195,7 +195,9 @@ def mine_hard_negatives(
     anchors = own.where(anchor(F.col("id"))).toDF(*own.columns)  # columns of its own, as it meets ``own`` again
 
     def cells(df: DataFrame, mine: str, n: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(mine, F.pmod(F.xxhash64("id", "hash"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+        # Both sides of a cogroup need keys of one type: Spark hashes int and bigint differently.
+        return df.withColumn(mine, F.pmod(F.xxhash64("id", "hash"), F.lit(n)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     def grid(anchors: DataFrame, function) -> DataFrame:
         dealt = cells(own, "q", row_blocks, "p", anchor_blocks).groupBy("p", "q")

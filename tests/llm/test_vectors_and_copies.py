@@ -138,6 +138,24 @@ def test_negatives_are_those_of_the_windows(spark, row_block, anchor_block):
         assert want and sorted(tuple(r) for r in found.collect()) == want
 
 
+def test_negatives_do_not_depend_on_how_blocks_are_dealt(spark):
+    """Every cell in a partition of its own: rows and anchors must still meet."""
+    rng = random.Random(5)
+    rows = [(i, v, rng.choice([0, 1, 2])) for i, v in enumerate(clumps(8, 400, 6, groups=3))]
+    want = plain_negatives(rows, 10, 16, 5, 3)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        for blocks in ((50, 7), (8192, 4096)):
+            found = hard_negatives.mine_hard_negatives(
+                vector_rows(spark, rows), lambda i: i % 10 == 0, scale=16, row_block=blocks[0], anchor_block=blocks[1])
+            assert sorted(tuple(r) for r in found.collect()) == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_negative_scores_and_empty_tables_have_no_negatives(spark):
     def mined(rows):
         return hard_negatives.mine_hard_negatives(vector_rows(spark, rows), lambda i: i == 0, scale=1).collect()
