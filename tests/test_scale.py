@@ -23,3 +23,10 @@ def test_a_large_row_group_is_spread_by_its_rows(spark, tmp_path):
     spread = spread_small(spark.read.parquet(str(tmp_path / "t")), task_rows=500)
     sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 40_000 and max(sizes) <= 1_000
+
+
+def test_tasks_that_are_written_often_are_made_once(spark, sf, monkeypatch):
+    calls, make = [], streams.task_df
+    monkeypatch.setattr(streams, "task_df", lambda *a: calls.append(1) or make(*a))
+    streams.query.__globals__["QUERIES"]["audit_sinks"](spark, sf).collect()
+    assert len(calls) == 1
