@@ -30,3 +30,8 @@ def test_tasks_that_are_written_often_are_made_once(spark, sf, monkeypatch):
     monkeypatch.setattr(streams, "task_df", lambda *a: calls.append(1) or make(*a))
     streams.query.__globals__["QUERIES"]["audit_sinks"](spark, sf).collect()
     assert len(calls) == 1
+
+
+def test_keys_without_answers_make_no_frames():
+    assert list(_Dedup(1, 60).result([])) == []
+    assert list(Machine((), True, 60).result([])) == []
