@@ -25,6 +25,20 @@ def test_a_large_row_group_is_spread_by_its_rows(spark, tmp_path):
     assert sum(sizes) == 40_000 and max(sizes) <= 1_000
 
 
+def test_a_shuffled_stream_has_files_by_rows_in_each_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "scratch", lambda spark: str(tmp_path))
+    monkeypatch.setattr(streams, "FILE_ROWS", 10, raising=False)
+    start = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, start + timedelta(hours=i // 50)) for i in range(200)], "id long, timestamp timestamp")
+    stream = streams.shuffled_stream(spark, rows, "id", {"timestamp": F.lit(streams.LATER)})
+    seen = []
+    q = (stream.writeStream.foreachBatch(lambda df, i: seen.append(df.count()))
+         .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert len(seen) == 5 and seen[-1] == 1 and sum(seen) == 201
+    assert len(list((tmp_path / "files").glob("*.parquet"))) == 25
+
+
 def test_tasks_that_are_written_often_are_made_once(spark, sf, monkeypatch):
     calls, make = [], streams.task_df
     monkeypatch.setattr(streams, "task_df", lambda *a: calls.append(1) or make(*a))
