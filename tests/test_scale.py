@@ -46,6 +46,14 @@ def test_tasks_that_are_written_often_are_made_once(spark, sf, monkeypatch):
     assert len(calls) == 1
 
 
+def test_the_text_of_a_chain_is_made_behind_the_shuffle(spark, sf, capsys):
+    logs = norm_logs(spark, sf).withColumn("day", F.lit("d"))
+    integrity.build_hash_chain(logs, ["day"], ["timestamp", "trace_id"], b"0" * 32, lanes=2).explain("formatted")
+    tree = capsys.readouterr().out.split("\n\n")[0]
+    fold = tree[:tree.index("Exchange")]
+    assert "MapInArrow" in fold and "Project" in fold
+
+
 def test_keys_without_answers_make_no_frames():
     assert list(_Dedup(1, 60).result([])) == []
     assert list(Machine((), True, 60).result([])) == []
