@@ -54,6 +54,19 @@ def test_the_text_of_a_chain_is_made_behind_the_shuffle(spark, sf, capsys):
     assert "MapInArrow" in fold and "Project" in fold
 
 
+def test_chained_rows_are_not_shuffled_again(spark, sf, tmp_path, monkeypatch):
+    seen, append = {}, sinks.append_table
+
+    def spy(df, root, table, batch_id, date_from=None, rebalance=True):
+        seen[table] = rebalance
+        append(df, root, table, batch_id, date_from, rebalance)
+
+    monkeypatch.setattr(sinks, "append_table", spy)
+    rules = load_rules({**CONF, "authorization": {}, "response": {}, "agent": {}})
+    StreamFlow(rules, str(tmp_path))._chained(norm_logs(spark, sf).drop("event_id"), 0, None)
+    assert seen["chained"] is False
+
+
 def test_keys_without_answers_make_no_frames():
     assert list(_Dedup(1, 60).result([])) == []
     assert list(Machine((), True, 60).result([])) == []
