@@ -1,23 +1,27 @@
 """LM scoring by deleted interpolation.
 
 Tokens are words (A-Z in lower case, cut at ASCII white space) and one end per text.
-The model mixes three maximum-likelihood estimates:
+The model mixes four maximum-likelihood estimates:
 
 * order 0: 1 / (V + 1), one place for all unknown words;
 * order 1: c(w) / N over all training tokens, every word counted exactly;
-* order 2: c(u, w) / c(u).  Words with at least ``min_share`` of all tokens stand for
+* order 2 by class: c(U, W) / c(U).  Words with at least ``min_share`` of all tokens stand for
   themselves, all others are one class OTHER, as context and as target; inside OTHER
-  the chance of a word is c(w) / c(OTHER), so the estimate sums to one.
+  the chance of a word is c(w) / c(OTHER), so the estimate sums to one;
+* order 2: c(u, w) / c(u) for every pair of words, however rare, counted exactly.
 
-The weights depend on the frequency of the context u, in buckets of powers of two, and are
+The first three are mixed by the frequency of the class U, the result and the last one by the
+frequency of the word u, in buckets of powers of two (a context never seen has no last estimate).  The weights are
 learned by expectation-maximisation on held-out counts: the training texts with
 crc32(id) % ``modulus`` = 1 are taken out of the counts, and the weights are those that
 make them likeliest; then all training texts are counted.
 
 A share, not a number, decides which words stand for themselves, so there are at most
-1 / min_share of them whatever the corpus, and their table of pairs has a proven bound.
-Counts of all other words stay distributed: every occurrence goes to its word as a
-posting (row, context), gets the count there, and its log-probability is summed by row.
+1 / min_share of them whatever the corpus, and the table of their pairs has a proven bound.
+All other pairs stay distributed: every one goes to its rare word (the target, or the context of a class word) as a
+posting, gets the counts of word and pair there, and goes back to its text, where the count of a
+rare context stands one position before.  A context is told by 63 bits of its hash among the postings of one word; a
+word below ``min_share`` may occur 2^31 times.
 
 Null texts count as empty: one end.  Rows of equal id and text are scored each for itself.
 Null ids count as empty text for the split.  Without training texts every probability is 1.
@@ -27,10 +31,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +44,9 @@ from .common import id_bucket, written
 MIN_SHARE = 1 / 1500
 FLUSH = 300_000
 END = b""
+#: Links of a posting: negative a rare context, from 0 a class context, from CLASSES on a class target behind the word.
+CLASSES = 4096
+LOW = (1 << 32) - 1
 WORD_ROWS = "word binary, n bigint, d bigint"
 
 
@@ -124,18 +132,22 @@ def bucket_of(counts: np.ndarray) -> np.ndarray:
 
 
 def learn_weights(m: np.ndarray, p: np.ndarray, bucket: np.ndarray, n_buckets: int, steps: int = 60) -> np.ndarray:
-    """EM: held-out counts ``m`` of events with the order estimates ``p`` (rows x 3) -> weights per bucket."""
-    w = np.full((n_buckets, 3), 1 / 3)
+    """EM: held-out counts ``m`` of events with the order estimates ``p`` (rows x orders) -> weights per bucket."""
+    orders = p.shape[1]
+    w = np.full((n_buckets, orders), 1 / orders)
     for _ in range(steps):
         part = w[bucket] * p
         part *= (m / np.maximum(part.sum(1), 1e-300))[:, None]
-        w = np.stack([np.bincount(bucket, part[:, i], n_buckets) for i in range(3)], 1) + 1e-3
+        w = np.stack([np.bincount(bucket, part[:, i], n_buckets) for i in range(orders)], 1) + 1e-3
         w /= w.sum(1, keepdims=True)
     return w
 
 
 class Model:
-    """What scoring needs: class table, log10 chances of class targets, and (floor, slope) for all others."""
+    """Orders 0 to 2 by class: class table, log10 chances of class targets, and (floor, slope) for all others.
+
+    ``kept`` has the same without the deleted texts: pair chances, floor, slope, pair counts.
+    """
 
     def __init__(self, place, n, v, words, pairs, held):
         """words: counts of the class words (n, d); pairs: (K, K) matrices n, d; held: (k, c, m) of deleted rare tokens."""
@@ -160,9 +172,15 @@ class Model:
             m.append(hm)
             b.append(bucket_of(context)[hk])
         self.weights = learn_weights(np.concatenate(m), np.concatenate(rows), np.concatenate(b), 64)
+        w = self.weights[np.minimum(63, bucket_of(context))]
+        self.kept = (
+            w[:, :1] / (v + 1) + w[:, 1:2] * first[None, :-1] + w[:, 2:] * two[:, :-1], w[:, 0] / (v + 1),
+            w[:, 1] / max(n - gone.sum(), 1) + w[:, 2] * two[:, -1] / max(one_kept[-1], 1), all_ - gone)
+        self.counts, self.gone = all_, gone
         two, first, context = estimates(all_.astype(float), one, n)
         w = self.weights[np.minimum(63, bucket_of(context))]
-        self.log_pair = np.log10(w[:, :1] / (v + 1) + w[:, 1:2] * first[None, :-1] + w[:, 2:] * two[:, :-1]).astype(np.float32)
+        self.pair = w[:, :1] / (v + 1) + w[:, 1:2] * first[None, :-1] + w[:, 2:] * two[:, :-1]
+        self.log_pair = np.log10(self.pair).astype(np.float32)
         self.floor = w[:, 0] / (v + 1)
         self.slope = w[:, 1] / max(n, 1) + w[:, 2] * two[:, -1] / max(one[-1], 1)
         self.log_base = np.log10((one[:-1] + 0.1) / (n + 0.1 * (v + 1)))
@@ -194,97 +212,192 @@ def train(docs: DataFrame, *, doc_id: str, text: str, modulus: int, min_share: f
 
 
 OUT = T.StructType([
-    T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType()), T.StructField("origin", T.LongType()),
-    T.StructField("postings", T.ArrayType(T.LongType())), T.StructField("rid", T.LongType()),
-    T.StructField("doc_id", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
-    T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType())])
+    T.StructField("word", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType())),
+    T.StructField("links", T.ArrayType(T.LongType())), T.StructField("origin", T.LongType()), T.StructField("doc_id", T.LongType()),
+    T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()),
+    T.StructField("codes", T.ArrayType(T.IntegerType()))])
 ARROW = pa.schema([
-    ("word", pa.binary()), ("c", pa.int64()), ("origin", pa.int64()), ("postings", pa.list_(pa.int64())), ("rid", pa.int64()),
-    ("doc_id", pa.int64()), ("bucket", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+    ("word", pa.binary()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("links", pa.list_(pa.int64())), ("origin", pa.int64()),
+    ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("codes", pa.list_(pa.int32()))])
+
+
+def told(word: bytes) -> int:
+    """A negative number for a word."""
+    return -1 - (int.from_bytes(blake2b(word, digest_size=8).digest(), "big") >> 1)
 
 
 def post(shared):
-    """(rid, bucket, text, doc_id) -> a row per text with its class tokens scored, and rows of postings per other word.
+    """(rid, flag, text, doc_id) -> a row per text with its pairs of class words, and rows of postings per other word.
 
-    A posting is (row number within the partition << 12) + context class.
+    A posting is 4 * (row number within the partition) + flag, the place in the text and a link.  Both tokens
+    of a pair of rare words stand in one batch of postings: a batch ends between texts.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         place, get, other = model.place, model.place.get, len(model.place)
-        lists: dict[bytes, list[int]] = {}
-        trained: Counter = Counter()
-        origin = n_posts = 0
+        words: list[bytes] = []
+        parts: list[tuple] = []
+        origin = 0
 
         def out():
-            words = list(lists)
-            nothing = pa.nulls(len(words), pa.int64())
+            key, at, before, behind = (np.concatenate(c) for c in zip(*parts, strict=True))
+            coded = pa.array(words, pa.binary()).dictionary_encode()
+            number = coded.indices.to_numpy().astype(np.int64)
+            hashes = np.array([told(w) for w in coded.dictionary.to_pylist()], np.int64)
+            link = np.where(before != other, before, np.roll(hashes[number], 1))
+            on = behind != other
+            number = np.concatenate([number, number[on]])
+            order = np.argsort(number, kind="stable")
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(hashes)))]).astype(np.int32))
+            n = len(hashes)
+            columns = [
+                (np.concatenate([key, key[on]]), pa.int64()), (np.concatenate([at, at[on]]), pa.int32()),
+                (np.concatenate([link, CLASSES + behind[on]]), pa.int64())]
             batch = pa.RecordBatch.from_arrays([
-                pa.array(words, pa.binary()), pa.array([trained[w] for w in words], pa.int64()),
-                pa.array([origin] * len(words), pa.int64()), pa.array([lists[w] for w in words], pa.list_(pa.int64())),
-                nothing, nothing, pa.nulls(len(words), pa.int32()), nothing, nothing, pa.nulls(len(words), pa.float64()), pa.nulls(len(words), pa.float64())], schema=ARROW)
-            lists.clear()
-            trained.clear()
+                coded.dictionary, *[pa.ListArray.from_arrays(offsets, pa.array(c[order], t)) for c, t in columns],
+                pa.array(np.full(n, origin), pa.int64()), *[pa.nulls(n, t) for t in ARROW.types[5:]]], schema=ARROW)
+            words.clear()
+            parts.clear()
             return batch
 
         for batch in batches:
             rows = []
-            for rid, bucket, text, doc in zip(
+            for rid, flag, text, doc in zip(
                     batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                words = tokens(text.as_py())
-                ids = np.array([get(w, other) for w in words], np.int64)
-                before = np.concatenate([ids[:1] * 0 + place[END], ids[:-1]])
+                ws = tokens(text.as_py())
+                ids = np.array([get(w, other) for w in ws], np.int64)
+                before = np.concatenate([[place[END]], ids[:-1]])
                 own = ids != other
-                i, u = ids[own], before[own]
-                rows.append((rid, doc, bucket, len(ids), int(model.known[i].sum()), float(model.log_base[i].sum()), float(model.log_pair[u, i].sum(dtype=np.float64))))
+                i = ids[own]
                 origin = rid >> 33 << 33
-                at = (rid - origin) << 12
-                rare = np.flatnonzero(~own)
-                for w, u in zip([words[x] for x in rare.tolist()], before[rare].tolist(), strict=True):
-                    if w in lists:
-                        lists[w].append(at + u)
-                    else:
-                        lists[w] = [at + u]
-                if bucket and len(rare):
-                    trained.update([words[x] for x in rare.tolist()])
-                n_posts += len(rare)
-                if n_posts > FLUSH:
-                    n_posts = 0
+                key = (rid - origin) * 4 + flag
+                both = own & (before != other)
+                rows.append((rid, key, doc, len(ids), int(model.known[i].sum()), float(model.log_base[i].sum()), before[both] * other + ids[both]))
+                rare = np.flatnonzero(~own)  # never the last one, which is the end
+                if len(rare):
+                    words.extend([ws[x] for x in rare.tolist()])
+                    parts.append((np.full(len(rare), key), rare.astype(np.int32), before[rare], ids[rare + 1]))
+                if len(words) > FLUSH:
                     yield out()
             n = len(rows)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([b"\xff" + r[0].to_bytes(8, "big") for r in rows], pa.binary()), pa.array([0] * n, pa.int64()), pa.array([0] * n, pa.int64()),
-                pa.array([[-1]] * n, pa.list_(pa.int64())),
-                *[pa.array([r[i] for r in rows], t) for i, t in enumerate(ARROW.types[4:])]], schema=ARROW)
-        yield out()
+            if n:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([b"\xff" + r[0].to_bytes(8, "big") for r in rows], pa.binary()), pa.array([[r[1]] for r in rows], pa.list_(pa.int64())),
+                    pa.array([[-1]] * n, pa.list_(pa.int32())), pa.array([[0]] * n, pa.list_(pa.int64())), pa.array([origin] * n, pa.int64()),
+                    *[pa.array([r[c] for r in rows], t) for c, t in enumerate(ARROW.types[5:], 2)]], schema=ARROW)
+        if words:
+            yield out()
 
     return run
 
 
+def low(c: Column) -> Column:
+    """A count of all training texts; the deleted ones stand above it."""
+    return c.bitwiseAND(F.lit(LOW))
+
+
+def kept_part(c: Column) -> Column:
+    return low(c) - F.shiftright(c, 32)
+
+
+def pick(values: np.ndarray, at: Column) -> Column:
+    return F.get(F.lit(np.asarray(values, np.float64)), at)
+
+
+def chances(model: Model, kept: bool) -> tuple[Column, Column, Column]:
+    """Of a pair with a rare word: the chance by class, that of the exact pair, and the bucket of its context (null: not seen)."""
+    count = kept_part if kept else low
+    pair, floor, slope, table = model.kept if kept else (model.pair, model.floor, model.slope, model.counts)
+    other, h, c = len(model.place), F.col("h"), count(F.col("c"))
+    own = F.when(h < 0, F.lit(other)).otherwise(h)
+    by_class = F.when(h < CLASSES, pick(floor, own) + pick(slope, own) * c).otherwise(pick(pair[other], h - CLASSES))
+    sums = table.sum(1)[:-1]
+    seen = F.when(h < 0, count(F.col("u")).cast("double")).when(h < CLASSES, pick(sums, h)).otherwise(c.cast("double"))
+    bucket = F.when(h.between(0, CLASSES - 1), pick(bucket_of(sums), h)).otherwise(F.floor(F.log2(seen + 0.5)).cast("double"))
+    return by_class, F.when(seen > 0, count(F.col("l")) / seen), F.when(seen > 0, bucket.cast("int"))
+
+
+def pair_weights(model: Model, events: DataFrame) -> np.ndarray:
+    """The weight of the exact pairs per bucket, by the deleted texts; only the ratio of both chances counts."""
+    by_class, exact, bucket = chances(model, kept=True)
+    ratio = exact / by_class
+    # In steps of an eighth of a power of two, with the mean of each: a table of bounded size.
+    binned = events.where("h is not null and key % 4 = 1").select(bucket.alias("b"), ratio.alias("r")).where("b is not null").groupBy(
+        "b", F.when(F.col("r") > 0, F.floor(8 * F.log2("r"))).alias("step")).agg(F.count("*").alias("m"), F.avg("r").alias("r")).toPandas()
+    pair, _, _, table = model.kept
+    sums, gone = table.sum(1), model.gone[:-1, :-1]
+    u, w = np.nonzero(gone * (sums[:-1, None] > 0))
+    ratios = np.concatenate([binned["r"].to_numpy(float), table[u, w] / np.maximum(sums[u], 1) / pair[u, w]])
+    m = np.concatenate([binned["m"].to_numpy(float), gone[u, w].astype(float)])
+    b = np.concatenate([binned["b"].to_numpy(np.int64), bucket_of(sums)[u]])
+    return learn_weights(m, np.stack([np.ones(len(m)), ratios], 1), b, 64)[:, 1]
+
+
+def class_pairs(shared):
+    """(key, codes) -> key and the sum of the log10 chances of its pairs of class words."""
+    schema = pa.schema([("key", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            sums = [float(table[c.values.to_numpy()].sum()) for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], schema=schema)
+
+    return run
+
+
+def paired(docs: DataFrame, model: Model, *, doc_id: str, text: str, modulus: int) -> DataFrame:
+    """A row per text (codes: its pairs of class words) and per pair with a rare word.
+
+    h: how it is linked; c, u, l: counts of its rare word, of its context where that is rare too, of the pair.  Those of deleted texts have
+    the deleted count in their upper half.
+    """
+    bucket = id_bucket(F.col(doc_id), modulus)
+    flag = F.least(bucket, F.lit(2)).cast("int")
+    # The row number is made once in this plan and never compared with another scan's.
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("rid"), flag.alias("flag"), F.col(text).cast("string").alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"))
+    spark = docs.sparkSession
+    rows = numbered.mapInArrow(post(spark.sparkContext.broadcast(model)), OUT).repartition("word")
+    carried = ["doc_id", "n_tokens", "n_known", "base", "codes"]
+    each = rows.select("*", F.posexplode("keys").alias("i", "k")).select(
+        "word", (F.col("origin") * 4 + F.col("k")).alias("key"), F.get("places", "i").alias("place"), F.get("links", "i").alias("link"), *carried)
+    one = F.when(F.col("key") % 4 == 1, F.lit(LOW + 2)).when(F.col("key") % 4 == 2, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    counted = each.withColumn("l", F.sum(one).over(Window.partitionBy("word", "link"))).withColumn(
+        "c", F.sum(F.when(F.col("link") < CLASSES, one)).over(Window.partitionBy("word")))
+    shown = lambda c: F.when(F.col("key") % 4 == 1, F.col(c)).otherwise(low(F.col(c))).alias(c)
+    linked = counted.select(
+        "key", "place", F.when(F.col("place") >= 0, F.greatest("link", F.lit(-1)).cast("int")).alias("h"), shown("c"), shown("l"), *carried)
+    # A rare context was followed by this word, not by a class word: its own posting is the one before.
+    back = F.lag("c").over(Window.partitionBy("key").orderBy("place", "h"))
+    return linked.withColumn("u", F.when(F.col("h") < 0, back)).drop("place")
+
+
 def score_texts(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulus: int = 10, min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if not 1 / 4000 <= min_share < 1:
         raise ValueError("min_share is from 1/4000 to 1: a context class has 12 bits")
-    spark = docs.sparkSession
     model = train(docs, doc_id=doc_id, text=text, modulus=modulus, min_share=min_share)
-    bucket = id_bucket(F.col(doc_id), modulus)
-    # The row number is made once in this plan and never compared with another scan's.
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("rid"), bucket.cast("int").alias("bucket"), F.col(text).cast("string").alias("text"),
-        F.col(doc_id).cast("bigint").alias("doc_id"))
-    rows = numbered.mapInArrow(post(spark.sparkContext.broadcast(model)), OUT)
-    counted = rows.withColumn("c", F.sum("c").over(Window.partitionBy("word")))
-    each = counted.select("c", "origin", "rid", "doc_id", "bucket", "n_tokens", "n_known", "base", "model", F.explode("postings").alias("p"))
-    chances = spark.createDataFrame(
-        [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(model.floor, model.slope, strict=True))], "k int, floor double, slope double")
-    c = F.col("c").cast("double")
-    rare = each.withColumn("k", F.when(F.col("p") >= 0, F.col("p").bitwiseAND(4095)).cast("int")).join(F.broadcast(chances), "k", "left").select(
-        F.coalesce("rid", F.col("origin") + F.shiftright("p", 12)).alias("rid"), "doc_id", "bucket", "n_tokens",
-        F.coalesce("n_known", F.when(c > 0, 1).otherwise(0)).alias("n_known"),
-        F.coalesce("base", F.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))).alias("base"),
-        F.coalesce("model", F.log10(F.col("floor") + F.col("slope") * c)).alias("model"))
-    return rare.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), (F.max("bucket") == 0).alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score")).select(
+    events = written(paired(docs, model, doc_id=doc_id, text=text, modulus=modulus))
+    weight = pair_weights(model, events)
+    by_class, exact, bucket = chances(model, kept=False)
+    share = pick(weight, bucket)
+    chance = F.coalesce(by_class * (1 - share) + exact * share, by_class)
+    sums = model.counts.sum(1)[:-1]
+    mixed = np.where(sums > 0, weight[bucket_of(sums)], 0)[:, None]
+    table = np.log10(model.pair[:-1] * (1 - mixed) + model.counts[:-1, :-1] / np.maximum(sums, 1)[:, None] * mixed).ravel()
+    of_class = events.where("h is null").select("key", "codes").mapInArrow(
+        class_pairs(docs.sparkSession.sparkContext.broadcast(table)), "key bigint, score double")
+    target = F.col("h") < CLASSES
+    c = low(F.col("c")).cast("double")
+    parts = events.select(
+        "key", "doc_id", "n_tokens",
+        F.when(target, (c > 0).cast("bigint")).otherwise(F.col("n_known")).alias("n_known"),
+        F.when(target, F.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))).otherwise(F.col("base")).alias("base"),
+        F.when(F.col("h").isNotNull(), F.log10(chance)).alias("score")).unionByName(of_class, allowMissingColumns=True)
+    return parts.groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), (F.max(F.col("key") % 4) == 0).alias("held_out"), F.max("n_tokens").alias("n_tokens"),
+        F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -316,6 +316,42 @@ def test_language_model_sums_to_one(docs, share):
         assert total == pytest.approx(1, abs=2e-3)
 
 
+def test_language_model_counts_rare_pairs(docs):
+    """Every pair is counted, also of words that are in no class of their own: compared with plain counting."""
+    # Words of the same counts, with and without a partner: only the pair tells them apart.
+    rows = [(i, " ".join([prose(i, 40), f"ra{i % 7} rb{i % 7}", prose(i + 9, 30), f"the ra{(i + 3) % 7} x{i} rb{(i + 1) % 7} of the ra{i % 7} the of and of"]), "a") for i in range(150)]
+    rows += [(1000, "ra1 rb1 rb2 ra1 zzz zzz", "a"), (1001, None, "a"), (1002, "ra1", "a"), (1002, "ra1", "a")]
+    share = 0.01
+    df = docs(*rows)
+    model = language_model.train(df, doc_id="doc_id", text="text", modulus=10, min_share=share)
+    assert b"ra1" not in model.place and b"rb1" not in model.place and len(model.place) > 2
+    words, pairs = Counter(), Counter()
+    for i, t, _ in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            ws = language_model.tokens(t)
+            words.update(ws)
+            pairs.update(zip([b"", *ws[:-1]], ws))
+    events = language_model.written(language_model.paired(df, model, doc_id="doc_id", text="text", modulus=10))
+    weight = language_model.pair_weights(model, events)
+    other = len(model.place)
+
+    def chance(u, w):
+        k = model.place.get(u, other)
+        p = model.pair[k, model.place[w]] if w in model.place else model.floor[k] + model.slope[k] * words[w]
+        m = weight[int(np.log2(words[u]))] if words[u] else 0
+        return p * (1 - m) + (m * pairs[u, w] / words[u] if words[u] else 0)
+
+    out = sorted((r.doc_id, r.score) for r in language_model.score_texts(df, min_share=share).collect())
+    split = [(i, language_model.tokens(t)) for i, t, _ in rows]
+    want = sorted((i, sum(np.log10(chance(u, w)) for u, w in zip([b"", *ws[:-1]], ws))) for i, ws in split)
+    assert [i for i, _ in out] == [i for i, _ in want]
+    assert [s for _, s in out] == pytest.approx([s for _, s in want])
+    for u in (b"ra1", b"", b"the", b"nowhere"):
+        assert sum(chance(u, w) for w in words) + model.floor[model.place.get(u, other)] * (
+            1 - (weight[int(np.log2(words[u]))] if words[u] else 0)) == pytest.approx(1, abs=2e-3)
+    assert chance(b"ra1", b"rb1") > 10 * chance(b"ra1", b"rb4")
+
+
 # --- classifiers -------------------------------------------------------------
 
 def test_factorization_machine_learns_pairs():
