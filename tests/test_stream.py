@@ -11,6 +11,7 @@ from logwarden.operators import anomaly, dedup, detect, integrity
 from logwarden.schemas import LOG_SCHEMA
 from logwarden.sources import sinks
 from logwarden.streaming import keyed
+from logwarden.streaming.blocks import block_join_stream
 from logwarden.streaming.tables import StreamFlow, detect_stream, split_late
 from parity.inputs import SERVICE, norm_logs, raw_logs
 from parity.rules import CONF, HMAC_KEY, rules
@@ -109,6 +110,38 @@ def test_block_stream_expires(spark, order):
         "t1": (True, False), "t2": (True, False), "t3": (False, False), "t4": (False, False), "t5": (False, False), "t6": (True, False)}
 
 
+def test_two_sources_meet_without_a_join(spark):
+    """An address that is blocked, lifted and used at every moment: each row is taken once, rows do not meet in pairs."""
+    moves = [("a", i * 7 % 1200, int(i % 3 == 0)) for i in range(600)] + [("b", 3, 0), ("b", 3, 1), ("c", 5, 0), (None, 4, 0), ("", 4, 0), ("d", 1, None)]
+    used = [("a", i * 11 % 1300, f"t{i}") for i in range(600)] + [
+        ("a", 4, "t1"), ("a", 4, "t1"), ("b", 3, "u1"), ("c", 5, "u2"), ("c", 15, "u3"), ("c", 16, "u4"), ("c", 5, None), ("d", 2, "u5"), (None, 1, "u6"), ("", 1, "u7")]
+
+    def source(rows, schema):
+        folder = tempfile.mkdtemp(prefix="lw-stream-")
+        df = spark.createDataFrame(rows, schema).withColumn("timestamp", F.timestamp_seconds("s")).drop("s")
+        for part in (df.filter(F.pmod(F.hash("timestamp"), F.lit(2)) == i) for i in range(2)):
+            part.coalesce(1).write.mode("append").parquet(folder)
+        add_clock(df, folder)
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    stream = block_join_stream(
+        source(used, "ip string, s int, tie string"), source(moves, "ip string, s int, kind int"),
+        10, "30 minutes", "40 minutes", LATER, slot_sec=60)
+    assert "Join" not in stream._jdf.queryExecution().logical().toString()
+    out, check = tempfile.mkdtemp(prefix="lw-out-"), tempfile.mkdtemp(prefix="lw-check-")
+    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
+         .outputMode("append").trigger(availableNow=True).start())
+    assert q.awaitTermination(240)
+    want = set()
+    for ip, at, tie in used:
+        if ip:
+            last = max(((s, kind) for i, s, kind in moves if i == ip and kind is not None and at - 10 <= s <= at), default=None)
+            live = last is not None and last[1] == 0
+            want.add((ip, at, tie, last[0] * 1_000_000 if live else None, live))
+    got = [(r.ip, r.s, r.tie, r.blocked_at_us, r.is_blocked) for r in spark.read.parquet(out).withColumn("s", F.unix_seconds("timestamp")).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_rows_behind_the_watermark_are_marked_late(spark):
     """The third file is 90 seconds old with a delay of 20: only its rows are late, and they change nothing."""
     folder = tempfile.mkdtemp(prefix="lw-stream-")
