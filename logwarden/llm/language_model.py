@@ -18,10 +18,11 @@ make them likeliest; then all training texts are counted.
 
 A share, not a number, decides which words stand for themselves, so there are at most
 1 / min_share of them whatever the corpus, and the table of their pairs has a proven bound.
-All other pairs stay distributed: every one goes to its rare word (the target, or the context of a class word) as a
-posting, gets the counts of word and pair there, and goes back to its text, where the count of a
-rare context stands one position before.  A context is told by 63 bits of its hash among the postings of one word; a
-word below ``min_share`` may occur 2^31 times.
+
+Texts are dealt once into chunks of about ``CHUNK`` tokens and coded by the words of their chunk.  A chunk asks for each
+of its words once (dealt by word), gets its number and counts, then asks for each of its pairs of numbers
+once (dealt by pair) and gets their counts, so what is shuffled are the distinct words and pairs of
+chunks, packed, not tokens.  Every request is answered, exactly: numbers are told apart, not hashes.
 
 Null texts count as empty: one end.  Rows of equal id and text are scored each for itself.
 Null ids count as empty text for the split.  Without training texts every probability is 1.
@@ -29,25 +30,63 @@ Null ids count as empty text for the split.  Without training texts every probab
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from hashlib import blake2b
+from functools import reduce
+from typing import NamedTuple
+from uuid import uuid4
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import id_bucket, written
+from .common import id_bucket, removed, shared_folder, written
 
 MIN_SHARE = 1 / 1500
-FLUSH = 300_000
+#: Tokens of a chunk; a longer text is a chunk for itself.
+CHUNK = 1_500_000
+#: Bytes of text for each bucket of words and of pairs.
+WORD_BYTES, PAIR_BYTES = 1 << 25, 1 << 24
 END = b""
-#: Links of a posting: negative a rare context, from 0 a class context, from CLASSES on a class target behind the word.
-CLASSES = 4096
-LOW = (1 << 32) - 1
-WORD_ROWS = "word binary, n bigint, d bigint"
+#: Kinds of rows.  Texts: a tokens, b lengths, c held out.  Asked words: a places in the chunk, b counts.  Found words: a places,
+#: b numbers, c counts, d deleted counts.  Frequent words of a bucket: a counts, b deleted counts, c numbers, n distinct words in training, chunk all of them.
+#: Asked pairs: a steps between keys, b counts.  Found pairs: c counts, d deleted counts.  Sums: x codes, y and z what is summed.
+TEXTS, ASKED, FOUND, FREQUENT, PAIRS, FOUND_PAIRS, SUMS = range(7)
+ROWS = """kind int, chunk bigint, bucket int, deleted boolean, n bigint, a binary, b binary, c binary, d binary,
+    ids array<bigint>, words array<binary>, x array<bigint>, y array<bigint>, z array<bigint>"""
+LONGS = pa.list_(pa.int64())
+ARROW = pa.schema([
+    ("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("deleted", pa.bool_()), ("n", pa.int64()), *[(c, pa.binary()) for c in "abcd"],
+    ("ids", LONGS), ("words", pa.list_(pa.binary())), ("x", LONGS), ("y", LONGS), ("z", LONGS)])
+SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, held_out boolean"
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, by planes of their bytes, compressed."""
+    values = np.ascontiguousarray(values, "<i8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data[9:], n * width, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()
+
+
+def made(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in ARROW], schema=ARROW)
+
+
+def buckets_of(size: int, each: int) -> int:
+    """A power of two."""
+    return 1 << (max(0, size - 1) // each).bit_length()
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -56,75 +95,187 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, text) -> word, n, d: counts in training and in its deleted part, per task."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("d", pa.int64())])
-    kept, deleted = Counter(), Counter()
+def encode(buckets: int, most: int):
+    """(bucket, text, doc_id) -> chunks of at most ``most`` tokens: a row of texts each, and rows of the words they ask for.
+
+    Deleted texts have chunks of their own.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[bool, tuple[defaultdict, list]] = {}
+        made_here = TaskContext.get().partitionId() << 33
+
+        def out(deleted):
+            nonlocal made_here
+            place, texts = opened.pop(deleted)
+            lengths = np.array([len(t[2]) for t in texts])
+            held = np.array([t[1] for t in texts])
+            coded = np.concatenate([t[2] for t in texts])
+            counts = np.bincount(coded[~np.repeat(held, lengths)], minlength=len(place))
+            whole = {"chunk": made_here, "deleted": deleted}
+            made_here += 1
+            rows = [whole | {
+                "kind": TEXTS, "n": int(counts.sum()), "a": pack(coded), "b": pack(lengths), "c": pack(held), "ids": [t[0] for t in texts]}]
+            words = list(place)
+            bucket = np.array([crc32(w) for w in words], np.int64) & (buckets - 1)
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for at in np.split(order, first[1:]):
+                rows.append(whole | {
+                    "kind": ASKED, "bucket": int(bucket[at[0]]), "words": [words[i] for i in at.tolist()], "a": pack(at), "b": pack(counts[at])})
+            return made(rows)
+
+        sizes = {False: 0, True: 0}
+        for batch in batches:
+            for bucket, text, doc in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                ws, deleted = tokens(text.as_py()), bucket == 1
+                if deleted in opened and sizes[deleted] + len(ws) > most:
+                    yield out(deleted)
+                if deleted not in opened:
+                    place: defaultdict = defaultdict()
+                    place.default_factory = place.__len__  # a new word gets the next place
+                    opened[deleted], sizes[deleted] = (place, []), 0
+                place, texts = opened[deleted]
+                texts.append((doc, bucket == 0, np.fromiter(map(place.__getitem__, ws), np.int32, len(ws))))
+                sizes[deleted] += len(ws)
+        for deleted in list(opened):
+            yield out(deleted)
+
+    return run
 
-    def out():
-        words = list(kept.keys() | deleted.keys())
-        batch = pa.RecordBatch.from_arrays([
-            pa.array(words, pa.binary()), pa.array([kept[w] + deleted[w] for w in words], pa.int64()),
-            pa.array([deleted[w] for w in words], pa.int64())], schema=schema)
-        kept.clear()
-        deleted.clear()
-        return batch
 
-    for batch in batches:
-        for bucket, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            (deleted if bucket == 1 else kept).update(tokens(text.as_py()))
-            if len(kept) + len(deleted) > FLUSH:
-                yield out()
-    yield out()
+def find_words(buckets: int, least: float):
+    """The asked words of a bucket of all chunks -> for each chunk their numbers and counts, and the words of at least that count."""
+    def run(table: pa.Table) -> pa.Table:
+        asked = pa.concat_arrays([c.flatten() for c in table["words"].chunks]).dictionary_encode()
+        code, words = asked.indices.to_numpy(zero_copy_only=False).astype(np.int64), asked.dictionary
+        counts = [unpack(b) for b in table["b"].to_pylist()]
+        ends = np.cumsum([0] + [len(c) for c in counts])
+        deleted = np.repeat(table["deleted"].to_numpy(), np.diff(ends))
+        n = np.concatenate(counts)
+        c = np.bincount(code, n, len(words)).astype(np.int64)
+        d = np.bincount(code, n * deleted, len(words)).astype(np.int64)
+        bucket = table["bucket"][0].as_py()
+        number = np.arange(len(words)) * buckets + bucket
+        rows = []
+        for i, (chunk, gone, at) in enumerate(zip(table["chunk"].to_pylist(), table["deleted"].to_pylist(), table["a"].to_pylist(), strict=True)):
+            own = code[ends[i]:ends[i + 1]]
+            rows.append({
+                "kind": FOUND, "chunk": chunk, "bucket": bucket, "deleted": gone, "a": at, "b": pack(number[own]), "c": pack(c[own]),
+                "d": pack(d[own]) if gone else None})
+        top = np.flatnonzero(((c >= least) & (c > 0)) | pc.equal(words, END).to_numpy(zero_copy_only=False))
+        rows.append({
+            "kind": FREQUENT, "chunk": len(words), "bucket": bucket, "n": int((c > 0).sum()), "words": words.take(pa.array(top)).to_pylist(),
+            "a": pack(c[top]), "b": pack(d[top]), "c": pack(number[top])})
+        return pa.Table.from_batches([made(rows)])
 
+    return run
 
-def pair_counter(place: dict[bytes, int]):
-    """(bucket, text) -> code (context x K + target), n, d over classes, per task."""
-    k = len(place) + 1
-    other = len(place)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("code", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
-        total: tuple[Counter, Counter] = (Counter(), Counter())
-        get = place.get
-        for batch in batches:
-            gathered: tuple[list, list] = ([], [])
-            for bucket, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([get(w, other) for w in tokens(text.as_py())], np.int64)
-                gathered[bucket == 1].append(np.concatenate([ids[-1:] * 0 + place[END], ids[:-1]]) * k + ids)
-            for part, codes in zip(total, gathered, strict=True):
-                if codes:
-                    values, counts = np.unique(np.concatenate(codes), return_counts=True)
-                    part.update(dict(zip(values.tolist(), counts.tolist(), strict=True)))
-        keys = sorted(total[0].keys() | total[1].keys())
-        yield pa.RecordBatch.from_arrays([
-            pa.array(keys, pa.int64()), pa.array([total[0][c] + total[1][c] for c in keys], pa.int64()),
-            pa.array([total[1][c] for c in keys], pa.int64())], schema=schema)
+class Dealing(NamedTuple):
+    """How pairs of word numbers below 2^bits are dealt over 2^split buckets, and the numbers of the class words."""
+
+    bits: int
+    split: int
+    numbers: np.ndarray
+
+    def deal(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and key; both together are the pair, as for one right number the left ones stay distinct."""
+        k, low = self.bits, self.bits - self.split
+        first, second = (np.uint64(c >> (64 - k) | 1) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+        left, right = left.astype(np.uint64), right.astype(np.uint64)
+        mixed = (left * first + right * second) & np.uint64((1 << k) - 1)
+        return (mixed >> np.uint64(low)).astype(np.int64), (mixed & np.uint64((1 << low) - 1)) << np.uint64(k) | right
+
+    def classes(self, number: np.ndarray) -> np.ndarray:
+        order = np.argsort(self.numbers)
+        at = np.minimum(np.searchsorted(self.numbers, number, sorter=order), len(order) - 1)
+        return np.where(self.numbers[order[at]] == number, order[at], len(order))
+
+
+class Chunk:
+    """Texts of a chunk, the numbers, classes and counts of its words, and its distinct pairs u, w by bucket and key."""
+
+    def __init__(self, table: pa.Table, dealing: Dealing):
+        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["bucket"] or 0))
+        texts = next(r for r in rows if r["kind"] == TEXTS)
+        self.number, self.deleted, self.ids = texts["chunk"], texts["deleted"], texts["ids"]
+        self.tokens, self.lengths, self.held = unpack(texts["a"]), unpack(texts["b"]), unpack(texts["c"]) > 0
+        size = int(self.tokens.max()) + 1
+        numbers, self.count, self.gone = np.zeros((3, size), np.int64)
+        for r in rows:
+            if r["kind"] == FOUND:
+                at = unpack(r["a"])
+                numbers[at], self.count[at] = unpack(r["b"]), unpack(r["c"])
+                if self.deleted:
+                    self.gone[at] = unpack(r["d"])
+        self.classes = dealing.classes(numbers)
+        # Every text ends with END, which stands before the first word of the next one as well.
+        codes, inverse = np.unique(np.roll(self.tokens, 1) * size + self.tokens, return_inverse=True)
+        u, w = codes // size, codes % size
+        bucket, key = dealing.deal(numbers[u], numbers[w])
+        order = np.lexsort((key, bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.u, self.w, self.bucket, self.key, self.pair = u[order], w[order], bucket[order], key[order], rank[inverse]
+        found = [r for r in rows if r["kind"] == FOUND_PAIRS]
+        if found:
+            self.pairs = np.concatenate([unpack(r["c"]) for r in found])
+            self.pairs_gone = np.concatenate([unpack(r["d"]) for r in found]) if self.deleted else None
+
+
+def ask_pairs(shared):
+    """A chunk with its found words -> the pairs it asks for, its pairs of classes, and the deleted tokens outside the classes by context and count."""
+    def run(table: pa.Table) -> pa.Table:
+        dealing = shared.value
+        chunk = Chunk(table, dealing)
+        k = len(dealing.numbers) + 1
+        n = np.bincount(chunk.pair, ~np.repeat(chunk.held, chunk.lengths), len(chunk.u)).astype(np.int64)
+        rows = []
+        ends = np.append(np.flatnonzero(np.diff(chunk.bucket, prepend=-1)), len(n))
+        for i, j in zip(ends, ends[1:]):
+            rows.append({
+                "kind": PAIRS, "chunk": chunk.number, "bucket": int(chunk.bucket[i]), "deleted": chunk.deleted,
+                "a": pack(np.diff(chunk.key[i:j], prepend=np.uint64(0)).view(np.int64)), "b": pack(n[i:j])})
+        cu, cw = chunk.classes[chunk.u], chunk.classes[chunk.w]
+        sums = np.bincount(cu * k + cw, n).astype(np.int64)
+        codes = np.flatnonzero(sums)
+        x, y, z = [codes], [sums[codes]], [sums[codes] * int(chunk.deleted)]
+        if chunk.deleted:
+            # Counts of the deleted tokens without themselves, in steps of an eighth of a power of two: a table of bounded size.
+            rare = cw == k - 1
+            c = (chunk.count - chunk.gone)[chunk.w[rare]]
+            step = np.where(c > 0, 1 + np.floor(8 * np.log2(np.maximum(c, 1))), 0).astype(np.int64)
+            code, at = np.unique(cu[rare] * STEPS + step, return_inverse=True)
+            x.append(-1 - code)
+            y.append(np.bincount(at, n[rare], len(code)).astype(np.int64))
+            z.append(np.bincount(at, n[rare] * c, len(code)).astype(np.int64))
+        rows.append({"kind": SUMS, "chunk": chunk.number, "bucket": chunk.number % (1 << dealing.split)} | {
+            name: np.concatenate(v) for name, v in zip("xyz", (x, y, z), strict=True)})
+        return pa.Table.from_batches([made(rows)])
 
     return run
 
 
-def rare_tokens(place: dict[bytes, int]):
-    """(text) -> word, context class of every token outside the classes, counted per batch."""
-    other = len(place)
+#: Codes of count steps for each context class.
+STEPS = 1024
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("word", pa.binary()), ("k", pa.int32()), ("m", pa.int64())])
-        get = place.get
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(0):
-                before = place[END]
-                for w in tokens(text.as_py()):
-                    i = get(w, other)
-                    if i == other:
-                        seen[w, before] += 1
-                    before = i
-            yield pa.RecordBatch.from_arrays([
-                pa.array([w for w, _ in seen], pa.binary()), pa.array([k for _, k in seen], pa.int32()),
-                pa.array(list(seen.values()), pa.int64())], schema=schema)
 
-    return run
+def find_pairs(table: pa.Table) -> pa.Table:
+    """The asked pairs of a bucket of all chunks -> their counts for each chunk; sums pass."""
+    sums, asked = table.filter(pc.equal(table["kind"], SUMS)), table.filter(pc.equal(table["kind"], PAIRS))
+    out = sums.to_batches()
+    if len(asked):
+        keys = [np.cumsum(unpack(a).view(np.uint64), dtype=np.uint64) for a in asked["a"].to_pylist()]
+        n = np.concatenate([unpack(b) for b in asked["b"].to_pylist()])
+        ends = np.cumsum([0] + [len(k) for k in keys])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        deleted = np.repeat(asked["deleted"].to_numpy(), np.diff(ends))
+        c, d = np.bincount(at, n).astype(np.int64), np.bincount(at, n * deleted).astype(np.int64)
+        out.append(made([{
+            "kind": FOUND_PAIRS, "chunk": chunk, "bucket": bucket, "deleted": gone, "c": pack(c[own]), "d": pack(d[own]) if gone else None}
+            for chunk, bucket, gone, own in zip(
+                asked["chunk"].to_pylist(), asked["bucket"].to_pylist(), asked["deleted"].to_pylist(), np.split(at, ends[1:-1]), strict=True)]))
+    return pa.Table.from_batches(out, schema=ARROW)
 
 
 def bucket_of(counts: np.ndarray) -> np.ndarray:
@@ -188,216 +339,143 @@ class Model:
 
 
 def train(docs: DataFrame, *, doc_id: str, text: str, modulus: int, min_share: float) -> Model:
-    parts = docs.select(id_bucket(F.col(doc_id), modulus).alias("bucket"), F.col(text).cast("string").alias("text")).where("bucket != 0")
-    counts = written(parts.mapInArrow(count_words, WORD_ROWS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("d").alias("d")))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.where((F.col("n") >= min_share * sums.n) | (F.col("word") == F.lit(END))).orderBy("word").collect()
-    place = {bytes(r.word): i for i, r in enumerate(top)}
-    words = np.array([[r.n for r in top], [r.d for r in top]], np.int64).reshape(2, -1)
-    if END not in place:  # no training text
-        place[END] = len(place)
-        words = np.concatenate([words, np.zeros((2, 1), np.int64)], 1)
+    """The model by class; its ``rows`` are the chunks of ``docs`` with the counts of their words and pairs, dealt as ``dealing`` says."""
+    spark = docs.sparkSession
+    parts = docs.select(
+        id_bucket(F.col(doc_id), modulus).alias("bucket"), F.col(text).cast("string").alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"))
+    size = parts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("size")).first().size
+    word_buckets, split = buckets_of(size, WORD_BYTES), buckets_of(size, PAIR_BYTES).bit_length() - 1
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid4().hex}"
+    parts.mapInArrow(encode(word_buckets, CHUNK), ROWS).write.partitionBy("kind").parquet(path)
+    coded = spark.read.schema(ROWS).parquet(path)
+    texts = coded.where(F.col("kind") == TEXTS).select(*ARROW.names)
+    n = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    asked = coded.where(F.col("kind") == ASKED).select(*ARROW.names)
+    words = written(asked.groupBy("bucket").applyInArrow(find_words(word_buckets, min_share * n), ROWS))
+    removed(spark, f"{path}/kind={ASKED}")
+    frequent = words.where(F.col("kind") == FREQUENT)
+    sums = frequent.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.coalesce(F.max("chunk"), F.lit(0)).alias("most")).first()
+    top = []
+    for r in frequent.where(F.size("words") > 0).collect():  # 1 / min_share words at most
+        top.extend(zip(map(bytes, r.words), unpack(r.a).tolist(), unpack(r.b).tolist(), unpack(r.c).tolist(), strict=True))
+    top = sorted(top) or [(END, 0, 0, 0)]  # no text
+    place = {w: i for i, (w, *_) in enumerate(top)}
+    counts = np.array([t[1:3] for t in top], np.int64).T
+    bits = max(1, split, (sums.most * word_buckets).bit_length())
+    if 2 * bits - split > 64:
+        raise ValueError("the pairs of so many words have no keys of 64 bits")
+    dealing = Dealing(bits, split, np.array([t[3] for t in top], np.int64))
+    found = words.where(F.col("kind") == FOUND)
+    # A chunk and a bucket are bounded groups, whatever the corpus.
+    pairs = texts.unionByName(found).groupBy("chunk").applyInArrow(ask_pairs(spark.sparkContext.broadcast(dealing)), ROWS)
+    answers = written(pairs.groupBy("bucket").applyInArrow(find_pairs, ROWS))
+    table = answers.where(F.col("kind") == SUMS).select(F.explode(F.arrays_zip("x", "y", "z")).alias("s")).groupBy("s.x").agg(
+        F.sum("s.y").alias("y"), F.sum("s.z").alias("z")).toPandas()  # (1 / min_share + 2) squared rows and steps at most
     k = len(place) + 1
-    pairs = np.zeros((2, k * k), np.int64)
-    table = parts.mapInArrow(pair_counter(place), "code bigint, n bigint, d bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    rows = table.toPandas()  # (1 / min_share + 2) squared rows at most
-    pairs[0, rows["code"]], pairs[1, rows["code"]] = rows["n"], rows["d"]
-    rare = parts.where("bucket = 1").select("text").mapInArrow(rare_tokens(place), "word binary, k int, m bigint")
-    # Counts of the deleted tokens without themselves, in steps of an eighth of a power of two: a table of bounded size.
-    step = F.when(F.col("c") > 0, F.floor(8 * F.log2(F.col("c").cast("double"))))
-    held = rare.join(counts.select("word", (F.col("n") - F.col("d")).alias("c")), "word").groupBy("k", step.alias("b")).agg(
-        F.sum("m").alias("m"), F.sum(F.col("m") * F.col("c")).alias("mc")).toPandas()
-    held = np.stack([held["k"], held["mc"] / held["m"].clip(1), held["m"]], 1).astype(float) if len(held) else np.zeros((0, 3))
-    return Model(place, sums.n, sums.v, words, pairs.reshape(2, k, k), held)
-
-
-OUT = T.StructType([
-    T.StructField("word", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType())),
-    T.StructField("links", T.ArrayType(T.LongType())), T.StructField("origin", T.LongType()), T.StructField("doc_id", T.LongType()),
-    T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()),
-    T.StructField("codes", T.ArrayType(T.IntegerType()))])
-ARROW = pa.schema([
-    ("word", pa.binary()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("links", pa.list_(pa.int64())), ("origin", pa.int64()),
-    ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("codes", pa.list_(pa.int32()))])
-
-
-def told(word: bytes) -> int:
-    """A negative number for a word."""
-    return -1 - (int.from_bytes(blake2b(word, digest_size=8).digest(), "big") >> 1)
-
-
-def post(shared):
-    """(rid, flag, text, doc_id) -> a row per text with its pairs of class words, and rows of postings per other word.
-
-    A posting is 4 * (row number within the partition) + flag, the place in the text and a link.  Both tokens
-    of a pair of rare words stand in one batch of postings: a batch ends between texts.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        place, get, other = model.place, model.place.get, len(model.place)
-        words: list[bytes] = []
-        parts: list[tuple] = []
-        origin = 0
-
-        def out():
-            key, at, before, behind = (np.concatenate(c) for c in zip(*parts, strict=True))
-            coded = pa.array(words, pa.binary()).dictionary_encode()
-            number = coded.indices.to_numpy().astype(np.int64)
-            hashes = np.array([told(w) for w in coded.dictionary.to_pylist()], np.int64)
-            link = np.where(before != other, before, np.roll(hashes[number], 1))
-            on = behind != other
-            number = np.concatenate([number, number[on]])
-            order = np.argsort(number, kind="stable")
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(hashes)))]).astype(np.int32))
-            n = len(hashes)
-            columns = [
-                (np.concatenate([key, key[on]]), pa.int64()), (np.concatenate([at, at[on]]), pa.int32()),
-                (np.concatenate([link, CLASSES + behind[on]]), pa.int64())]
-            batch = pa.RecordBatch.from_arrays([
-                coded.dictionary, *[pa.ListArray.from_arrays(offsets, pa.array(c[order], t)) for c, t in columns],
-                pa.array(np.full(n, origin), pa.int64()), *[pa.nulls(n, t) for t in ARROW.types[5:]]], schema=ARROW)
-            words.clear()
-            parts.clear()
-            return batch
-
-        for batch in batches:
-            rows = []
-            for rid, flag, text, doc in zip(
-                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                ws = tokens(text.as_py())
-                ids = np.array([get(w, other) for w in ws], np.int64)
-                before = np.concatenate([[place[END]], ids[:-1]])
-                own = ids != other
-                i = ids[own]
-                origin = rid >> 33 << 33
-                key = (rid - origin) * 4 + flag
-                both = own & (before != other)
-                rows.append((rid, key, doc, len(ids), int(model.known[i].sum()), float(model.log_base[i].sum()), before[both] * other + ids[both]))
-                rare = np.flatnonzero(~own)  # never the last one, which is the end
-                if len(rare):
-                    words.extend([ws[x] for x in rare.tolist()])
-                    parts.append((np.full(len(rare), key), rare.astype(np.int32), before[rare], ids[rare + 1]))
-                if len(words) > FLUSH:
-                    yield out()
-            n = len(rows)
-            if n:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([b"\xff" + r[0].to_bytes(8, "big") for r in rows], pa.binary()), pa.array([[r[1]] for r in rows], pa.list_(pa.int64())),
-                    pa.array([[-1]] * n, pa.list_(pa.int32())), pa.array([[0]] * n, pa.list_(pa.int64())), pa.array([origin] * n, pa.int64()),
-                    *[pa.array([r[c] for r in rows], t) for c, t in enumerate(ARROW.types[5:], 2)]], schema=ARROW)
-        if words:
-            yield out()
+    by_class, held = table[table["x"] >= 0], table[table["x"] < 0]
+    matrices = np.zeros((2, k * k), np.int64)
+    matrices[0, by_class["x"]], matrices[1, by_class["x"]] = by_class["y"], by_class["z"]
+    held = np.stack([(-1 - held["x"]) // STEPS, held["z"] / held["y"].clip(1), held["y"]], 1).astype(float) if len(held) else np.zeros((0, 3))
+    model = Model(place, n, sums.v, counts, matrices.reshape(2, k, k), held)
+    model.dealing = dealing
+    model.rows = reduce(DataFrame.unionByName, [texts, found, answers.where(F.col("kind") == FOUND_PAIRS)])
+    return model
+
+
+class View(NamedTuple):
+    """What the chances of pairs come from: of all training texts, or without the deleted ones."""
+
+    dealing: Dealing
+    pair: np.ndarray
+    floor: np.ndarray
+    slope: np.ndarray
+    sums: np.ndarray
+
+    def chances(self, chunk: Chunk, count: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs of a chunk: the chance by class, that of the exact pair, and the bucket of its context (-1: not seen)."""
+        other = len(self.dealing.numbers)
+        cu, cw = chunk.classes[chunk.u], chunk.classes[chunk.w]
+        by_class = np.where(cw < other, self.pair[cu, np.minimum(cw, other - 1)], self.floor[cu] + self.slope[cu] * count[chunk.w])
+        seen = np.where(cu < other, self.sums[np.minimum(cu, other - 1)], count[chunk.u])
+        return by_class, pairs / np.maximum(seen, 1), np.where(seen > 0, bucket_of(seen), -1)
+
+
+def view(model: Model, kept: bool) -> View:
+    pair, floor, slope, table = model.kept if kept else (model.pair, model.floor, model.slope, model.counts)
+    return View(model.dealing, pair, floor, slope, table.sum(1)[:-1])
+
+
+def ratios(shared):
+    """A chunk of deleted texts -> b, step, m, r: its pairs with a rare word by context bucket and ratio of both chances, the sum of the ratios."""
+    schema = pa.schema([("b", pa.int32()), ("step", pa.int32()), ("m", pa.int64()), ("r", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        seen: View = shared.value
+        chunk = Chunk(table, seen.dealing)
+        by_class, exact, bucket = seen.chances(chunk, chunk.count - chunk.gone, chunk.pairs - chunk.pairs_gone)
+        other = len(seen.dealing.numbers)
+        on = ((chunk.classes[chunk.u] == other) | (chunk.classes[chunk.w] == other)) & (bucket >= 0)
+        m, b, r = np.bincount(chunk.pair, minlength=len(on))[on], bucket[on], exact[on] / by_class[on]
+        # In steps of an eighth of a power of two, with the mean of each: a table of bounded size.
+        step = np.where(r > 0, np.floor(8 * np.log2(np.where(r > 0, r, 1))), NEVER).astype(np.int64)
+        (b, step), at = np.unique(np.stack([b, step]), axis=1, return_inverse=True)
+        at = at.ravel()
+        columns = b, step, np.bincount(at, m, len(b)), np.bincount(at, m * r, len(b))
+        return pa.Table.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def low(c: Column) -> Column:
-    """A count of all training texts; the deleted ones stand above it."""
-    return c.bitwiseAND(F.lit(LOW))
-
+#: The step of pairs that the texts left have not.
+NEVER = -(1 << 20)
 
-def kept_part(c: Column) -> Column:
-    return low(c) - F.shiftright(c, 32)
-
-
-def pick(values: np.ndarray, at: Column) -> Column:
-    return F.get(F.lit(np.asarray(values, np.float64)), at)
 
+def paired(docs: DataFrame, model: Model, *, doc_id: str, text: str, modulus: int) -> DataFrame:
+    """The deleted texts' pairs with a rare word as ``ratios`` has them, a row per chunk, bucket and step.
 
-def chances(model: Model, kept: bool) -> tuple[Column, Column, Column]:
-    """Of a pair with a rare word: the chance by class, that of the exact pair, and the bucket of its context (null: not seen)."""
-    count = kept_part if kept else low
-    pair, floor, slope, table = model.kept if kept else (model.pair, model.floor, model.slope, model.counts)
-    other, h, c = len(model.place), F.col("h"), count(F.col("c"))
-    own = F.when(h < 0, F.lit(other)).otherwise(h)
-    by_class = F.when(h < CLASSES, pick(floor, own) + pick(slope, own) * c).otherwise(pick(pair[other], h - CLASSES))
-    sums = table.sum(1)[:-1]
-    seen = F.when(h < 0, count(F.col("u")).cast("double")).when(h < CLASSES, pick(sums, h)).otherwise(c.cast("double"))
-    bucket = F.when(h.between(0, CLASSES - 1), pick(bucket_of(sums), h)).otherwise(F.floor(F.log2(seen + 0.5)).cast("double"))
-    return by_class, F.when(seen > 0, count(F.col("l")) / seen), F.when(seen > 0, bucket.cast("int"))
+    ``docs`` and the names are those ``model`` was trained with: their chunks and counts are not made again.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(view(model, kept=True))
+    return model.rows.where("deleted").groupBy("chunk").applyInArrow(ratios(shared), "b int, step int, m bigint, r double")
 
 
 def pair_weights(model: Model, events: DataFrame) -> np.ndarray:
     """The weight of the exact pairs per bucket, by the deleted texts; only the ratio of both chances counts."""
-    by_class, exact, bucket = chances(model, kept=True)
-    ratio = exact / by_class
-    # In steps of an eighth of a power of two, with the mean of each: a table of bounded size.
-    binned = events.where("h is not null and key % 4 = 1").select(bucket.alias("b"), ratio.alias("r")).where("b is not null").groupBy(
-        "b", F.when(F.col("r") > 0, F.floor(8 * F.log2("r"))).alias("step")).agg(F.count("*").alias("m"), F.avg("r").alias("r")).toPandas()
+    binned = events.groupBy("b", "step").agg(F.sum("m").alias("m"), F.sum("r").alias("r")).toPandas()
     pair, _, _, table = model.kept
     sums, gone = table.sum(1), model.gone[:-1, :-1]
     u, w = np.nonzero(gone * (sums[:-1, None] > 0))
-    ratios = np.concatenate([binned["r"].to_numpy(float), table[u, w] / np.maximum(sums[u], 1) / pair[u, w]])
+    ratio = np.concatenate([(binned["r"] / binned["m"]).to_numpy(float), table[u, w] / np.maximum(sums[u], 1) / pair[u, w]])
     m = np.concatenate([binned["m"].to_numpy(float), gone[u, w].astype(float)])
     b = np.concatenate([binned["b"].to_numpy(np.int64), bucket_of(sums)[u]])
-    return learn_weights(m, np.stack([np.ones(len(m)), ratios], 1), b, 64)[:, 1]
-
-
-def class_pairs(shared):
-    """(key, codes) -> key and the sum of the log10 chances of its pairs of class words."""
-    schema = pa.schema([("key", pa.int64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            sums = [float(table[c.values.to_numpy()].sum()) for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], schema=schema)
+    return learn_weights(m, np.stack([np.ones(len(m)), ratio], 1), b, 64)[:, 1]
+
+
+def scored(shared, n: int, v: int):
+    """A chunk -> a row per text."""
+    def run(table: pa.Table) -> pa.Table:
+        seen, weight = shared.value
+        chunk = Chunk(table, seen.dealing)
+        by_class, exact, bucket = seen.chances(chunk, chunk.count, chunk.pairs)
+        share = np.where(bucket >= 0, weight[bucket], 0)
+        chance = np.log10(by_class * (1 - share) + exact * share)
+        base = np.log10((chunk.count + 0.1) / (n + 0.1 * (v + 1)))
+        starts = np.cumsum(chunk.lengths) - chunk.lengths
+        return pa.table({
+            "doc_id": pa.array(chunk.ids, pa.int64()), "n_tokens": chunk.lengths, "n_known": np.add.reduceat((chunk.count > 0).astype(np.int64)[chunk.tokens], starts),
+            "base_score": np.add.reduceat(base[chunk.tokens], starts), "score": np.add.reduceat(chance[chunk.pair], starts), "held_out": chunk.held})
 
     return run
 
 
-def paired(docs: DataFrame, model: Model, *, doc_id: str, text: str, modulus: int) -> DataFrame:
-    """A row per text (codes: its pairs of class words) and per pair with a rare word.
-
-    h: how it is linked; c, u, l: counts of its rare word, of its context where that is rare too, of the pair.  Those of deleted texts have
-    the deleted count in their upper half.
-    """
-    bucket = id_bucket(F.col(doc_id), modulus)
-    flag = F.least(bucket, F.lit(2)).cast("int")
-    # The row number is made once in this plan and never compared with another scan's.
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("rid"), flag.alias("flag"), F.col(text).cast("string").alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"))
-    spark = docs.sparkSession
-    rows = numbered.mapInArrow(post(spark.sparkContext.broadcast(model)), OUT).repartition("word")
-    carried = ["doc_id", "n_tokens", "n_known", "base", "codes"]
-    each = rows.select("*", F.posexplode("keys").alias("i", "k")).select(
-        "word", (F.col("origin") * 4 + F.col("k")).alias("key"), F.get("places", "i").alias("place"), F.get("links", "i").alias("link"), *carried)
-    one = F.when(F.col("key") % 4 == 1, F.lit(LOW + 2)).when(F.col("key") % 4 == 2, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    counted = each.withColumn("l", F.sum(one).over(Window.partitionBy("word", "link"))).withColumn(
-        "c", F.sum(F.when(F.col("link") < CLASSES, one)).over(Window.partitionBy("word")))
-    shown = lambda c: F.when(F.col("key") % 4 == 1, F.col(c)).otherwise(low(F.col(c))).alias(c)
-    linked = counted.select(
-        "key", "place", F.when(F.col("place") >= 0, F.greatest("link", F.lit(-1)).cast("int")).alias("h"), shown("c"), shown("l"), *carried)
-    # A rare context was followed by this word, not by a class word: its own posting is the one before.
-    back = F.lag("c").over(Window.partitionBy("key").orderBy("place", "h"))
-    return linked.withColumn("u", F.when(F.col("h") < 0, back)).drop("place")
-
-
 def score_texts(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulus: int = 10, min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if not 1 / 4000 <= min_share < 1:
-        raise ValueError("min_share is from 1/4000 to 1: a context class has 12 bits")
+        raise ValueError("min_share is from 1/4000 to 1: the table of class pairs stands in the memory of every task")
     model = train(docs, doc_id=doc_id, text=text, modulus=modulus, min_share=min_share)
-    events = written(paired(docs, model, doc_id=doc_id, text=text, modulus=modulus))
-    weight = pair_weights(model, events)
-    by_class, exact, bucket = chances(model, kept=False)
-    share = pick(weight, bucket)
-    chance = F.coalesce(by_class * (1 - share) + exact * share, by_class)
-    sums = model.counts.sum(1)[:-1]
-    mixed = np.where(sums > 0, weight[bucket_of(sums)], 0)[:, None]
-    table = np.log10(model.pair[:-1] * (1 - mixed) + model.counts[:-1, :-1] / np.maximum(sums, 1)[:, None] * mixed).ravel()
-    of_class = events.where("h is null").select("key", "codes").mapInArrow(
-        class_pairs(docs.sparkSession.sparkContext.broadcast(table)), "key bigint, score double")
-    target = F.col("h") < CLASSES
-    c = low(F.col("c")).cast("double")
-    parts = events.select(
-        "key", "doc_id", "n_tokens",
-        F.when(target, (c > 0).cast("bigint")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(target, F.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))).otherwise(F.col("base")).alias("base"),
-        F.when(F.col("h").isNotNull(), F.log10(chance)).alias("score")).unionByName(of_class, allowMissingColumns=True)
-    return parts.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), (F.max(F.col("key") % 4) == 0).alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).select(
+    weight = pair_weights(model, paired(docs, model, doc_id=doc_id, text=text, modulus=modulus))
+    shared = docs.sparkSession.sparkContext.broadcast((view(model, kept=False), weight))
+    return model.rows.groupBy("chunk").applyInArrow(scored(shared, model.n, model.v), SCORES).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")

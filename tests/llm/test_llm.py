@@ -1,7 +1,9 @@
+import contextlib
 import hashlib
 import importlib
 import os
 import random
+import threading
 import zlib
 from collections import Counter
 
@@ -11,6 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from logwarden.llm import chat, decontaminate, language_model, line_rules, ngram_join, quality, secrets, sentencepieces, suffixes, toxicity
+from logwarden.llm.common import shared_folder
 from logwarden.llm.queries import PIECES
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -352,6 +355,53 @@ def test_language_model_counts_rare_pairs(docs):
     assert chance(b"ra1", b"rb1") > 10 * chance(b"ra1", b"rb4")
 
 
+def test_language_model_in_small_chunks_and_buckets(docs, monkeypatch):
+    rows = [(i, " ".join([prose(i, 60), f"ra{i % 7} rb{i % 7} x{i}"]), "a") for i in range(200)] + [(None, None, "a"), (5, "", "a"), (5, "", "a")]
+    df = docs(*rows).coalesce(2)
+
+    def run():
+        return sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in language_model.score_texts(df).collect())
+
+    want = run()
+    for name, value in (("CHUNK", 300), ("WORD_BYTES", 2000), ("PAIR_BYTES", 700)):
+        monkeypatch.setattr(language_model, name, value)
+    assert run() == want and len(want) == len(rows)
+
+
+def test_language_model_takes_little_disk(spark, docs):
+    """What is shuffled and stored are packed words and pairs of chunks, not a row per token."""
+    rng = random.Random(0)
+    rows = [(i, " ".join(f"w{int(20_000 * rng.random() ** 2)}" for _ in range(1000)), "a") for i in range(300)]
+    df = docs(*rows).coalesce(2)
+    places = [shared_folder(spark).removeprefix("file://"), *spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def sizes():
+        out = {}
+        for top in places:
+            for folder, _, names in os.walk(top):
+                for f in [os.path.join(folder, n) for n in names]:
+                    with contextlib.suppress(OSError):  # files come and go
+                        out[f] = os.path.getsize(f)
+        return out
+
+    before, most, done = sizes(), {}, threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            for f, n in sizes().items():
+                most[f] = max(n, most.get(f, 0))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert len(language_model.score_texts(df).collect()) == 300
+    finally:
+        done.set()
+        watcher.join()
+    size = sum(n for f, n in most.items() if f not in before)
+    assert size < 30 * 300_000
+
+
 # --- classifiers -------------------------------------------------------------
 
 def test_factorization_machine_learns_pairs():
